@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import new_path, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +17,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orc_ids import ids_report, write_ids
+
+    path = new_path(spark, "orc-ids")
+    write_ids(read_table(spark, sf_dir, "documents"), path, tokenizer_file(WORD_BPE), end_id=1)
+    return ids_report(spark, path)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pretokens import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), limit=2048)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
@@ -24,6 +38,8 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_orc_token_ids": op3_orc_token_ids,
+    "op8_token_counts": op8_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
 }
 
