@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orc_ids import ids_report, write_ids
 
@@ -38,6 +44,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_orc_token_ids": op3_orc_token_ids,
     "op8_token_counts": op8_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
