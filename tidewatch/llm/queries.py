@@ -37,6 +37,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), limit=2048)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_orc_token_ids": op3_orc_token_ids,
     "op8_token_counts": op8_token_counts,
+    "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
 }
 
