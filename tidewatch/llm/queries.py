@@ -31,6 +31,12 @@ def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_report(spark, path)
 
 
+def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pretokens import token_counts
 
@@ -52,6 +58,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_orc_token_ids": op3_orc_token_ids,
+    "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
