@@ -23,6 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orc_ids import ids_report, write_ids
 
@@ -57,6 +63,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_spans": op2_pii_spans,
     "op3_orc_token_ids": op3_orc_token_ids,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_token_counts": op8_token_counts,
