@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +61,79 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, bounds, distinct
 
 
+_APOSTROPHE, _LESS = 39, 60
+_ASCII_KIND = np.zeros(256, np.uint8)  # 0: other, 1: letter, 2: digit, 9: not plain
+_ASCII_KIND[65:91] = _ASCII_KIND[97:123] = 1
+_ASCII_KIND[48:58] = 2
+_ASCII_KIND[0:33] = _ASCII_KIND[127:256] = 9
+_ASCII_KIND[[_APOSTROPHE, _LESS]] = 9
+
+
+def lower_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Pre-tokens of each text for tokenizers that lower-case: as words(), but words of printable ASCII without ' and <
+    and of the letters U+00C0 to U+00FF are lower-cased and cut into runs of letters, single digits and runs of other
+    characters. Other words stay whole."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    kept = ~space
+    packed = data[kept]
+    if not len(packed):
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), []
+    begins = kept.copy()
+    begins[1:] &= space[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    begins[inner] = kept[inner]
+    start = begins[kept]
+    kind = _ASCII_KIND[packed]
+    lead = packed == 0xC3  # U+00C0 to U+00FF, all letters but two signs
+    trail = np.zeros(len(packed), bool)
+    trail[1:] = lead[:-1]
+    if lead.any():
+        kind[lead | trail] = 1
+        kind[trail & ((packed == 0x97) | (packed == 0xB7))] = 9
+    odd = kind == 9
+    first = np.flatnonzero(start)
+    if odd.any():
+        plain = np.repeat(~np.logical_or.reduceat(odd, first), np.diff(np.append(first, len(packed))))
+    else:
+        plain = np.ones(len(packed), bool)
+    turn = kind == 2
+    turn[1:] |= kind[1:] != kind[:-1]
+    start |= turn & plain
+    upper = ((packed >= 65) & (packed <= 90)) | (trail & (packed >= 0x80) & (packed <= 0x9E))
+    packed = packed + (upper & plain) * np.uint8(32)
+    starts = np.flatnonzero(start).astype(np.int64)
+    codes, distinct = pieces(packed, starts)
+    return codes, np.searchsorted(starts, at(np.cumsum(kept), offsets)).astype(np.int64), distinct
+
+
+class Ragged:
+    """Rows of integers by key, kept up to a bound and then forgotten."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.begins, self.weight = array("I"), array("q", [0]), 0
+
+    def rows(self, keys: list[bytes], make: Callable[[list[bytes]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table (flat, begins), and the row of each key; make gives the rows of keys not met before."""
+        if self.weight > self.bound:
+            self.forget()
+        index = self.index
+        new = [k for k in keys if k not in index]
+        if new:
+            made = make(new)
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            self.begins.frombytes((np.cumsum(lengths) + self.begins[-1]).tobytes())
+            self.flat.extend(chain.from_iterable(made))
+            self.weight += 200 * len(new) + sum(map(len, new)) + 4 * int(lengths.sum())
+        where = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
+        return np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.begins, np.int64), where
+
+
 def ragged(flat: np.ndarray, begins: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Joins the rows codes of the ragged table (flat, begins): the values, and where each code's values end."""
     lengths = (begins[1:] - begins[:-1])[codes]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrays import slices, utf8
 from .pretokens import coder
 
-_BATCH_BYTES = 16 << 20
+_BATCH_BYTES = 6 << 20
 _SCHEMA = "shard int, row long, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 

@@ -49,6 +49,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), limit=2048)
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_report, plan_records, write_archives
+
+    folder = new_path(spark, "warc")
+    write_archives(plan_records(read_table(spark, sf_dir, "pages")), folder).agg(F.sum("n_records")).collect()
+    return archive_report(spark, folder)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -67,8 +75,19 @@ QUERIES = {
     "op3_orc_token_ids": op3_orc_token_ids,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_token_counts": op8_token_counts,
+    "op4_warc_archives": op4_warc_archives,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM h)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to,
+          true AS intact
+        FROM k""",
+}
