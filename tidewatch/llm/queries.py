@@ -69,12 +69,26 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(read_table(spark, sf_dir, "documents"), site="source")
+
+
+def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import recording_report, tones
+
+    return recording_report(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tones).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_spans": op2_pii_spans,
     "op3_orc_token_ids": op3_orc_token_ids,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_chroma_fingerprints": op10_chroma_fingerprints,
     "op4_warc_archives": op4_warc_archives,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
@@ -90,4 +104,17 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to,
           true AS intact
         FROM k""",
+    "op9_line_dedup": r"""
+        WITH d AS (SELECT doc_id, source, text, hash(text) AS k, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, k, source, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS raw FROM d),
+        t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        w AS (SELECT * FROM t WHERE regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]')),
+        b AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM w GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '')) >= 8),
+        g AS (SELECT w.doc_id, w.k, w.pos FROM w JOIN b USING (line) WHERE NOT (w.doc_id = b.first.d AND w.pos = b.first.p)),
+        s AS (SELECT l.doc_id, l.k, count(*) AS n_lines, count(g.pos) AS n_removed,
+                string_agg(CASE WHEN g.pos IS NULL THEN raw END, chr(10) ORDER BY l.pos) AS kept
+              FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k AND l.pos = g.pos GROUP BY l.doc_id, l.k)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+          CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(kept, '')) END AS text_md5
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id AND d.k = s.k""",
 }
