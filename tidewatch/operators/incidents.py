@@ -18,7 +18,7 @@ def gaps(ordinary: DataFrame) -> DataFrame:
     """ordinary with the previous alert's status and time, the gap (null for an incident's first alert) and its place."""
     w = _per_incident()
     out = ordinary.withColumns({"prev_status": F.lag("status").over(w), "prev_ms": F.lag("fired_ms").over(w), "place": F.row_number().over(w)})
-    return out.withColumn("gap", F.greatest(F.lit(0), F.col("fired_ms") - F.col("prev_ms")))
+    return out.withColumn("gap", F.when(F.col("prev_ms").isNotNull(), F.greatest(F.lit(0), F.col("fired_ms") - F.col("prev_ms"))))
 
 
 def incidents(ordinary: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ incidents AS (SELECT inc AS incident_id, any_value(scope_key) AS scope_key, any_
   min(fired_ms) AS first_alert_ms, arg_max(fired_ms, seq) AS last_alert_ms, arg_min(ingested_ms, seq) AS first_ingested_ms, arg_max(ingested_ms, seq) AS last_ingested_ms,
   CASE WHEN arg_max(status, seq)='resolved' THEN 'RESOLVED' ELSE 'ACKNOWLEDGED' END AS status,
   count(*) FILTER (WHERE prev_status='resolved' AND status<>'resolved') AS reopen_count,
-  coalesce(avg(greatest(0, fired_ms-prev_ms)), 0.0) AS mean_gap
+  coalesce(avg(CASE WHEN prev_ms IS NOT NULL THEN greatest(0, fired_ms-prev_ms) END), 0.0) AS mean_gap
   FROM og GROUP BY inc)"""
 
 EDGES = INCIDENTS + """,
