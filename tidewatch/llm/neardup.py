@@ -9,7 +9,7 @@
    confirmed on their full shingle sets; confirmed links give components.
 4. Buckets whose members then lie in several components may hold more links. Their members meet block by block (blocks of
    bounded size, each pair of blocks a group of its own), leave out pairs of one component and pairs that met in an
-   earlier band, and what the posterior leaves is confirmed like the rest. No bucket is capped.
+   earlier band, and what the posterior leaves is confirmed there and then. No bucket is capped.
 
 With 25 bands of 5 a pair at similarity 0.85 misses all bands with probability 4e-7, a pair above still less.
 
@@ -33,7 +33,7 @@ from .common import written
 from .components import components
 from .shingles import mixed, shingle_sets
 
-BANDS, ROWS, PLACES, STEP, BLOCK = 25, 5, 128, 16, 2048
+BANDS, ROWS, PLACES, STEP, BLOCK = 25, 5, 128, 16, 1024
 _BATCH_BYTES = 4 << 20
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -122,7 +122,22 @@ def _probable(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame
     return pairs.join(sigs, "a").join(others, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, text of the nodes that share a bucket. Merged at every size: the nodes grow with the data."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    return texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets (of distinct hashes) have 100 * intersection >= percent * union."""
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < percent * large:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,24 +146,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             good = []
             for low, high in slices(sides[0][1] + sides[1][1], _BATCH_BYTES):
                 (ka, ba), (kb, bb) = (shingle_sets(d[o[low] : o[high]], o[low : high + 1] - o[low]) for d, o in sides)
-                for k in range(high - low):
-                    x, y = ka[ba[k] : ba[k + 1]], kb[bb[k] : bb[k + 1]]
-                    small, large = sorted((len(x), len(y)))
-                    if 100 * small >= percent * large:
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * shared >= percent * (len(x) + len(y) - shared):
-                            good.append(low + k)
+                good += [low + k for k in range(high - low) if _alike(ka[ba[k] : ba[k + 1]], kb[bb[k] : bb[k + 1]], percent)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts.join(wanted, "node", "left_semi")
     first, second = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+
 
+def _within_blocks(members: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """members: bucket, node, comp, sig, text, size of mixed buckets. Confirmed links (a, b) between components, no more than members.
 
-def _within_blocks(members: DataFrame, least: list[int]) -> DataFrame:
-    """members: bucket, node, comp, sig, size of mixed buckets. Probable pairs (a, b) of different components, each from its first common band."""
+    Each pair is looked at in its first common band. What a task has linked already needs no further link.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -157,26 +166,31 @@ def _within_blocks(members: DataFrame, least: list[int]) -> DataFrame:
         node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
         signature = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES)
         keys = _band_keys(signature).view(np.int64)
-        bucket, block = table.column("bucket")[0].as_py(), table.column("block").to_numpy()
-        same_block = table.column("lo")[0] == table.column("hi")[0]
+        bucket, lo, block = table.column("bucket")[0].as_py(), table.column("lo")[0].as_py(), table.column("block").to_numpy()
+        one = lo == table.column("hi")[0].as_py()
         band = int(np.flatnonzero(keys[0] == bucket)[0])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        lo = table.column("lo")[0].as_py()
+        data, offsets = utf8(table.column("text"))
+        parts = [shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]) for x, y in slices(offsets, _BATCH_BYTES)]
+        sets = [key[begins[k] : begins[k + 1]] for key, begins in parts for k in range(len(begins) - 1)]
+        sizes = np.array([len(s) for s in sets])
+        label = np.unique(comp, return_inverse=True)[1]
+        links: list[tuple[int, int]] = []
         for i in range(len(node)):
-            if not same_block and block[i] != lo:
+            if not one and block[i] != lo:
                 continue
-            mates = np.flatnonzero((comp != comp[i]) & (node > node[i]) if same_block else (comp != comp[i]) & (block != lo))
+            ok = (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            mates = np.flatnonzero(ok & (node > node[i]) if one else ok & (block != lo))
+            if band and len(mates):
+                mates = mates[~(keys[mates, :band] == keys[i, :band]).any(1)]
             if not len(mates):
                 continue
-            if band:
-                mates = mates[~(keys[mates, :band] == keys[i, :band]).any(1)]
-            kept = mates[surviving(np.broadcast_to(signature[i], (len(mates), PLACES)), signature[mates], least)]
-            if len(kept):
-                found.append((np.minimum(node[kept], node[i]), np.maximum(node[kept], node[i])))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(b), "b": pa.array(a)})
+            for j in mates[surviving(np.broadcast_to(signature[i], (len(mates), PLACES)), signature[mates], least)]:
+                if label[j] != label[i] and _alike(sets[i], sets[j], percent):
+                    links.append((int(node[i]), int(node[j])))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return meets.select("bucket", "node", "comp", "sig", "block", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return meets.select("bucket", "node", "comp", "sig", "text", "block", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-9) -> DataFrame:
@@ -191,7 +205,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-9) -> D
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(hubs, "bucket"), "members")
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(written(_probable(pairs, classes, least), "probable"), docs, percent)
+    texts = written(_texts(docs, members), "texts")
+    links = _confirmed(written(_probable(pairs, classes, least), "probable"), texts, percent)
     # rows that share a doc_id but not their set link their classes
     same_id = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     shared = filled.join(same_id, "doc_id", "left_semi").select("f1", "f2", "n_shingles", "doc_id").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])
@@ -201,9 +216,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-9) -> D
     placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
     # the hub has met all the others
-    rest = placed.filter("node <> hub and size > 2").join(mixed_buckets, "bucket", "left_semi").join(classes.select("node", "sig"), "node")
-    more = written(_within_blocks(rest.select("bucket", "node", "comp", "sig", "size"), least), "more")
-    late = written(_confirmed(more, docs, percent), "late")
+    rest = placed.filter("node <> hub and size > 2").join(mixed_buckets.hint("merge"), "bucket", "left_semi").select("bucket", "node", "comp", "size")
+    rest = rest.join(classes.select("node", "sig").hint("merge"), "node").join(texts.hint("merge"), "node")
+    late = written(_within_blocks(rest, least, percent), "late")
     comp_of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     joined = late.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
