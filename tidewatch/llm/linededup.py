@@ -60,7 +60,8 @@ def _removals(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
 def _cleaned(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
     """docs with __gone and __text, the text without the lines that go."""
     gone = written(_removals(docs, site, min_sites), "removals").withColumnsRenamed({"__doc": "__gone_doc", "__key": "__gone_key", "gone": "__gone"})
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_doc")) & (F.col("__key") == F.col("__gone_key")), "left")
+    # merged at every size: what is removed grows with the data
+    joined = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_doc")) & (F.col("__key") == F.col("__gone_key")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.arrays_zip(kept.alias("i"), F.transform(kept, lambda i: F.lit(0)).alias("z")), lambda z: F.get(F.col("__lines"), z["i"])), "\n"))
