@@ -136,8 +136,9 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = html in keeper and keeper[html] != x.page_id
         assert (x.payload_bytes, x.payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
         assert (x.record_type, x.refers_to, x.intact) == (("revisit", keeper[html]) if revisit else ("response", None)) + (True,)
-    read = warc.read_archives(spark, folder, "false")
-    assert read.filter("record_type = 'revisit'").count() == 28 and read.count() == 42
+    read = lambda: warc.read_archives(spark, folder, "false")
+    assert read().filter("record_type = 'revisit'").count() == 28 and read().count() == 42
+    assert read().filter("record_type IN ('response') AND target_uri = 'http://x/1 z'").count() == 3
     assert spark.read.format("warc").option("payload", "true").option("partbytes", "300").load(folder).filter("payload is not null").count() == 42
 
 

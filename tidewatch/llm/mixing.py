@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE_CLASS, word_count, written
+from .common import WHITESPACE_CLASS, partitions, word_count, written
 
 BLOCK_WORDS, SHARD_SLOTS, BUCKETS, ROUNDS = 512, 4096, 1024, 12
 
@@ -73,7 +73,7 @@ def draw_slots(targets: DataFrame, seed: int, block: int = BLOCK_WORDS) -> DataF
     run = 4096
     plan = _plan(targets, block)
     # slots come forth in runs, spread over tasks before they are multiplied
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / run).cast("long")))).repartition("place", "run")
+    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / run).cast("long")))).repartition(partitions(targets.sparkSession), "place", "run")
     slots = runs.withColumn("k", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)))
     within = F.pmod("k", F.col("per_pass"))
     slots = slots.withColumns({"pass": F.floor(F.col("k") / F.col("per_pass")).cast("long"), "within": within})
@@ -104,7 +104,8 @@ def _drawn(packed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     stretches = packed.withColumn("block", F.explode(blocks))
     low, high = F.greatest(start, F.col("block") * block), F.least(start + size, (F.col("block") + 1) * block)
     stretches = stretches.withColumns({"low": low - F.col("block") * block, "high": high - F.col("block") * block})
-    joined = stretches.join(slots, ["place", "block"], "left")
+    # slots grow with the data, whatever their source's few rows make the planner think: never broadcast
+    joined = stretches.join(slots.hint("merge"), ["place", "block"], "left")
     return joined.withColumn("got", F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("high", "words") - F.col("low"))).cast("long"))
 
 

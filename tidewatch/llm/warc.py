@@ -243,6 +243,8 @@ class WarcDataSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, payload: str = "true") -> DataFrame:
+    """The records of a folder's archives. Load anew for each query: Spark 4.1 keeps the filters that one query pushed
+    down with the loaded relation, and a later query without filters on the same DataFrame would read with them."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", payload).load(folder)
