@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bpe import decode_documents, encode_documents
+from tidewatch.llm.bpe import recode_documents
 from tidewatch.llm.common import new_path, read_table, written
 from tidewatch.llm.linededup import remove_lines
 from tidewatch.llm.mixing import mix_documents
@@ -44,9 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of docs with ids, n_tokens and decoded."""
-    file = tokenizer_file(BYTE_BPE)
-    encoded = encode_documents(docs, file, ids="ids").withColumn("n_tokens", F.size("ids").cast("long"))
-    return decode_documents(encoded, file, ids="ids", text="decoded")
+    return recode_documents(docs, tokenizer_file(BYTE_BPE))
 
 
 STAGES = [

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import at, pieces, ragged, slices, utf8
+from .arrays import Ragged, at, pieces, ragged, slices, utf8
 
 #: Unicode's white space beyond ASCII, in UTF-8.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_BATCH_BYTES = 24 << 20
-_KEPT = 1 << 20
+_BATCH_BYTES = 8 << 20
+_KEPT, _KEPT_BYTES = 1 << 18, 80 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -82,7 +82,7 @@ class Codec:
         sizes = np.array([len(b) for b in self.token], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.table = np.frombuffer(b"".join(self.token), np.uint8)
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.kept = Ragged(_KEPT_BYTES)
 
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix of token, or -1."""
@@ -151,19 +151,15 @@ class Codec:
                 place -= len(self.token[trial])
                 trial = self.prefix(trial)
 
-    def encode_cut(self, cut: bytes) -> np.ndarray:
-        """Ids of a cut: a word with the space before it, or a run of white space."""
-        got = self.kept.get(cut)
-        if got is None:
+    def encode_cuts(self, cuts: list[bytes]) -> list[list[int]]:
+        """Ids of cuts: words with the space before them, or runs of white space."""
+        out = []
+        for cut in cuts:
             ids: list[int] = []
             for piece in self.cut.findall(cut.decode("utf-8")):
                 ids += self.encode_piece(piece.encode("utf-8"))
-            got = np.array(ids, np.uint32)
-            if len(cut) <= 256:
-                if len(self.kept) >= _KEPT:
-                    self.kept.clear()
-                self.kept[cut] = got
-        return got
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> list[int]:
         flat, bounds = self.encode_batch(*utf8(pa.array([text])))
@@ -177,15 +173,14 @@ class Codec:
         if len(special_at):
             forced = np.isin(starts, special_at)
         codes, distinct = pieces(data, starts)
-        table = [self.encode_cut(d) for d in distinct]
-        if forced is not None:
+        flat, begins, where = self.kept.rows(distinct, self.encode_cuts)
+        codes = where[codes] if len(codes) else codes
+        if len(special_at):
             # an occurrence of a special token is a cut of its own, whatever the same bytes encode to
-            base = len(table)
-            order = {int(p): base + k for k, p in enumerate(special_at)}
-            table += [np.array([i], np.uint32) for i in special_id]
-            codes[forced] = [order[int(p)] for p in starts[forced]]
-        begins = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
-        flat, ends = ragged(np.concatenate(table) if table else np.zeros(0, np.uint32), begins, codes)
+            forced = np.isin(starts, special_at)
+            codes[forced] = len(begins) - 1 + np.searchsorted(special_at, starts[forced])
+            flat, begins = np.concatenate([flat, np.array(special_id, np.uint32)]), np.concatenate([begins, begins[-1] + 1 + np.arange(len(special_id))])
+        flat, ends = ragged(flat, begins, codes)
         return flat, at(ends, np.searchsorted(starts, offsets))
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -266,6 +261,26 @@ def encode_documents(docs: DataFrame, file: str, text: str = "text", ids: str =
     return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
 
 
+def recode_documents(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
+    """docs with ids, n_tokens and decoded (the ids turned back into text), in one pass with one set of tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(file)
+        for batch in batches:
+            data, offsets = utf8(batch.column(text))
+            for low, high in slices(offsets, _BATCH_BYTES):
+                flat, bounds = coder.encode_batch(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                part = batch.slice(low, high - low)
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                decoded = pa.array([coder.decode(flat[a:b]).decode("utf-8") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), ids, pa.array(np.diff(bounds)), decoded], [*kept, *added])
+
+    added = ["ids", "n_tokens", "decoded"]
+    kept = [c for c in docs.columns if c not in added]
+    fields = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in docs.dtypes if n not in added)
+    return docs.mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, decoded string")
+
+
 def decode_documents(encoded: DataFrame, file: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """encoded with its ids turned back into text."""
 
