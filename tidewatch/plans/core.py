@@ -69,8 +69,8 @@ add("quiet_window", lambda f: f.incidents().filter("status <> 'RESOLVED'").agg(F
     "SELECT max(last_ingested_ms+5000) AS until_ms, CAST(sum(greatest(0,alert_count-1)) AS BIGINT) AS absorbed, round(avg(CASE WHEN mean_gap>0 THEN mean_gap END),3) AS mean_gap, count(*) FILTER (WHERE mean_gap>0) AS tracking FROM incidents WHERE status<>'RESOLVED'", INCIDENTS)
 
 # joins and latest rows
-_OWN = Window.partitionBy("inc").orderBy(F.desc("fired_ms"), F.desc("event_id"))
-add("incident_latest_event", lambda f: f.incidents().select("incident_id", "status").join(f.o().withColumn("rn", F.row_number().over(_OWN)).filter("rn = 1").select(F.col("inc").alias("incident_id"), "event_id", "message"), "incident_id", "left"),
+_OWN = lambda: Window.partitionBy("inc").orderBy(F.desc("fired_ms"), F.desc("event_id"))
+add("incident_latest_event", lambda f: f.incidents().select("incident_id", "status").join(f.o().withColumn("rn", F.row_number().over(_OWN())).filter("rn = 1").select(F.col("inc").alias("incident_id"), "event_id", "message"), "incident_id", "left"),
     "SELECT i.incident_id, i.status, l.event_id, l.message FROM incidents i LEFT JOIN (SELECT inc, arg_max(event_id, seq) AS event_id, arg_max(message, seq) AS message FROM o GROUP BY inc) l ON l.inc=i.incident_id", INCIDENTS)
 add("incident_context", lambda f: f.incidents().join(f.o().groupBy("inc").agg(F.max_by("message", F.struct("fired_ms", "event_id")).alias("message"), F.max_by("source", F.struct("fired_ms", "event_id")).alias("source")), F.col("incident_id") == F.col("inc")).select("incident_id", "title", "message", "source"),
     "SELECT incident_id, title, l.message, l.source FROM incidents JOIN (SELECT inc, arg_max(message, seq) AS message, arg_max(source, seq) AS source FROM o GROUP BY inc) l ON l.inc=incident_id", INCIDENTS)
@@ -119,8 +119,8 @@ add("noisiest", lambda f: f.incidents().orderBy(F.desc("alert_count"), "incident
 add("snapshot_incidents", lambda f: f.incidents().orderBy(F.desc("last_ingested_ms"), "incident_id").limit(100).select("incident_id", "status", "alert_count"), "SELECT incident_id, status, alert_count FROM incidents ORDER BY last_ingested_ms DESC, incident_id LIMIT 100", INCIDENTS)
 add("incidents_recent", lambda f: f.incidents().filter(F.col("last_ingested_ms") > I_CUT).select("incident_id", "last_ingested_ms"), "SELECT incident_id, last_ingested_ms FROM incidents WHERE last_ingested_ms > 1704108000000", INCIDENTS)
 I_CUT = 1704108000000
-_RANKED = F.row_number().over(Window.partitionBy("scope_key").orderBy(C.pick(F.col("severity"), C.PRIORITIES, 9), F.desc("last_ingested_ms"), "incident_id"))
-add("incidents_by_urgency", lambda f: f.incidents().select("incident_id", _RANKED.cast("long").alias("place")), "SELECT incident_id, row_number() OVER (PARTITION BY scope_key ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, last_ingested_ms DESC, incident_id) AS place FROM incidents", INCIDENTS)
+_RANKED = lambda: F.row_number().over(Window.partitionBy("scope_key").orderBy(C.pick(F.col("severity"), C.PRIORITIES, 9), F.desc("last_ingested_ms"), "incident_id"))
+add("incidents_by_urgency", lambda f: f.incidents().select("incident_id", _RANKED().cast("long").alias("place")), "SELECT incident_id, row_number() OVER (PARTITION BY scope_key ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, last_ingested_ms DESC, incident_id) AS place FROM incidents", INCIDENTS)
 sql("incident_search", "SELECT incident_id FROM {incidents} WHERE severity IN ('high','medium') AND contains(lower(title), 'auth') AND status <> 'RESOLVED'", "SELECT incident_id FROM incidents WHERE severity IN ('high','medium') AND contains(lower(title), 'auth') AND status <> 'RESOLVED'", INCIDENTS, "incidents")
 sql("normalize_incident", "SELECT incident_id, CASE status WHEN 'ACKNOWLEDGED' THEN 'ack' WHEN 'QUIESCENT' THEN 'quiet' WHEN 'RESOLVED' THEN 'closed' ELSE 'open' END AS lifecycle, coalesce(nullif(title,''),'untitled') AS title FROM {incidents}",
     "SELECT incident_id, CASE status WHEN 'ACKNOWLEDGED' THEN 'ack' WHEN 'QUIESCENT' THEN 'quiet' WHEN 'RESOLVED' THEN 'closed' ELSE 'open' END AS lifecycle, coalesce(nullif(title,''),'untitled') AS title FROM incidents", INCIDENTS, "incidents")
@@ -128,8 +128,8 @@ sql("audit_labels", "SELECT event_id, CASE WHEN bypass IS NOT NULL THEN 'Critica
     "SELECT event_id, CASE WHEN bypass IS NOT NULL THEN 'Critical bypass' WHEN row_number() OVER (PARTITION BY inc, bypass IS NULL ORDER BY fired_ms, event_id) > 1 THEN 'Aggregated' ELSE 'Recorded' END AS label FROM alerts", ALERTS, "alerts")
 
 # event-time windows
-_T = F.timestamp_millis("fired_ms")
-add("alerts_tumbling", lambda f: f.alerts().groupBy(F.window(_T, "15 minutes").alias("w"), "alertname").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "alertname", "n"), "SELECT fired_ms//900000*900000 AS start_ms, alertname, count(*) AS n FROM alerts GROUP BY ALL", ALERTS)
-add("alerts_sliding", lambda f: f.alerts().groupBy(F.window(_T, "30 minutes", "15 minutes").alias("w"), "scope_key").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "scope_key", "n"), "SELECT fired_ms//900000*900000 - s AS start_ms, scope_key, count(*) AS n FROM alerts, (SELECT unnest([0,900000]) AS s) GROUP BY ALL", ALERTS)
-add("alert_sessions", lambda f: f.alerts().groupBy("user_id", F.session_window(_T, "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_millis("w.start").alias("start_ms"), "n"),
+_T = lambda: F.timestamp_millis("fired_ms")
+add("alerts_tumbling", lambda f: f.alerts().groupBy(F.window(_T(), "15 minutes").alias("w"), "alertname").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "alertname", "n"), "SELECT fired_ms//900000*900000 AS start_ms, alertname, count(*) AS n FROM alerts GROUP BY ALL", ALERTS)
+add("alerts_sliding", lambda f: f.alerts().groupBy(F.window(_T(), "30 minutes", "15 minutes").alias("w"), "scope_key").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "scope_key", "n"), "SELECT fired_ms//900000*900000 - s AS start_ms, scope_key, count(*) AS n FROM alerts, (SELECT unnest([0,900000]) AS s) GROUP BY ALL", ALERTS)
+add("alert_sessions", lambda f: f.alerts().groupBy("user_id", F.session_window(_T(), "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_millis("w.start").alias("start_ms"), "n"),
     "SELECT user_id, min(fired_ms) AS start_ms, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY fired_ms, event_id) AS ep FROM (SELECT *, CASE WHEN fired_ms-lag(fired_ms) OVER (PARTITION BY user_id ORDER BY fired_ms, event_id) < 300000 THEN 0 ELSE 1 END AS brk FROM alerts)) GROUP BY user_id, ep", ALERTS)

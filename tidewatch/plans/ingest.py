@@ -10,18 +10,18 @@ from ..sources import payloads as P
 from .duck import ALERTS
 from .registry import add, sql
 
-_ISO = F.date_format(F.timestamp_millis("fired_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+_ISO = lambda: F.date_format(F.timestamp_millis("fired_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def _prom(f):
     """Three alerts to a payload; some without a start."""
-    alert = F.struct(F.col("status"), F.map_concat("labels", F.create_map(F.lit("service"), "service", F.lit("alertname"), "alertname", F.lit("severity"), "severity_raw")).alias("labels"), F.create_map(F.lit("summary"), "message").alias("annotations"), F.when(F.col("event_id") % 101 != 7, _ISO).alias("startsAt"))
+    alert = F.struct(F.col("status"), F.map_concat("labels", F.create_map(F.lit("service"), "service", F.lit("alertname"), "alertname", F.lit("severity"), "severity_raw")).alias("labels"), F.create_map(F.lit("summary"), "message").alias("annotations"), F.when(F.col("event_id") % 101 != 7, _ISO()).alias("startsAt"))
     bodies = f.alerts().groupBy((F.col("event_id") / 3).cast("long").alias("payload_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.to_json(alert).alias("a")))).alias("x"))
     return P.prometheus(bodies.select("payload_id", F.concat(F.lit('{"alerts":['), F.array_join(F.transform("x", lambda e: e["a"]), ","), F.lit("]}")).alias("body")))
 
 
 def _graf(f):
-    alert = F.struct(F.when(F.col("status") == "firing", "Alerting").otherwise("OK").alias("state"), F.map_concat("labels", F.create_map(F.lit("service_name"), "service", F.lit("alertname"), "alertname")).alias("labels"), F.lit(" ").alias("message"), F.create_map(F.lit("description"), "message").alias("annotations"), _ISO.alias("startsAt"), F.when(F.col("event_id") % 53 != 3, "fp").alias("fingerprint"))
+    alert = F.struct(F.when(F.col("status") == "firing", "Alerting").otherwise("OK").alias("state"), F.map_concat("labels", F.create_map(F.lit("service_name"), "service", F.lit("alertname"), "alertname")).alias("labels"), F.lit(" ").alias("message"), F.create_map(F.lit("description"), "message").alias("annotations"), _ISO().alias("startsAt"), F.when(F.col("event_id") % 53 != 3, "fp").alias("fingerprint"))
     return P.grafana(f.alerts().select(F.col("event_id").alias("payload_id"), F.to_json(F.struct(F.array(alert).alias("alerts"))).alias("body")))
 
 
@@ -39,7 +39,7 @@ add("src_datadog", lambda f: _dog(f).select("payload_id", "service", "alertname"
     """SELECT event_id AS payload_id, service, alertname, ['critical','high','medium','low'][CAST(k%4 AS INT)+1] AS severity_raw, CASE WHEN status='firing' THEN 'firing' WHEN event_id%9=0 THEN NULL ELSE 'resolved' END AS status,
     CASE WHEN event_id%2=0 THEN fired_ms ELSE fired_ms//1000*1000 END AS fired_ms, environment, '' AS flag, NOT (status<>'firing' AND event_id%9=0) AS accepted FROM alerts""", ALERTS)
 add("ingest_reject", lambda f: _prom(f).filter("not accepted").select("payload_id").distinct(), "SELECT DISTINCT event_id//3 AS payload_id FROM alerts WHERE event_id%101=7", ALERTS)
-add("ts_decode_epoch", lambda f: f.alerts().select("event_id", P.epoch_ms(F.when(F.col("event_id") % 3 == 0, F.col("fired_ms").cast("string")).when(F.col("event_id") % 3 == 1, F.floor(F.col("fired_ms") / 1000).cast("string")).otherwise(_ISO)).alias("ms")), "SELECT event_id, CASE WHEN event_id%3=1 THEN fired_ms//1000*1000 ELSE fired_ms END AS ms FROM alerts", ALERTS)
+add("ts_decode_epoch", lambda f: f.alerts().select("event_id", P.epoch_ms(F.when(F.col("event_id") % 3 == 0, F.col("fired_ms").cast("string")).when(F.col("event_id") % 3 == 1, F.floor(F.col("fired_ms") / 1000).cast("string")).otherwise(_ISO())).alias("ms")), "SELECT event_id, CASE WHEN event_id%3=1 THEN fired_ms//1000*1000 ELSE fired_ms END AS ms FROM alerts", ALERTS)
 TOKENS = "prom:t1:production/*,dog:t2:*,broken,graf:t3:staging/c1,:x,open:t4"
 
 

@@ -16,8 +16,8 @@ add("outbox_priority", lambda f: f.outbox().select("outbox_id", "priority", (F.c
 add("outbox_batch", lambda f: f.outbox().filter(f"status = 'pending' AND next_attempt_ms <= {NOW}").orderBy("priority", "outbox_id").limit(10).select("outbox_id", "priority"), f"SELECT outbox_id, priority FROM outbox WHERE status='pending' AND next_attempt_ms<={NOW} ORDER BY priority, outbox_id LIMIT 10", OUTBOX)
 add("outbox_claim", lambda f: f.outbox().filter(f"status = 'pending' AND next_attempt_ms <= {NOW} AND (locked_until_ms IS NULL OR locked_until_ms < {NOW}) AND channel IN ('slack','email')").orderBy("priority", "outbox_id").limit(10).select("outbox_id", F.lit(NOW + 60000).alias("locked_until_ms")),
     f"SELECT outbox_id, {NOW + 60000} AS locked_until_ms FROM outbox WHERE status='pending' AND next_attempt_ms<={NOW} AND (locked_until_ms IS NULL OR locked_until_ms<{NOW}) AND channel IN ('slack','email') ORDER BY priority, outbox_id LIMIT 10", OUTBOX)
-_BY_CHANNEL = Window.partitionBy("channel").orderBy("priority", "outbox_id")
-add("half_open_trim", lambda f: f.outbox().filter("status = 'pending'").withColumn("rn", F.row_number().over(_BY_CHANNEL)).filter("rn <= 3").select("channel", "outbox_id"), "SELECT channel, outbox_id FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY priority, outbox_id) AS rn FROM outbox WHERE status='pending') WHERE rn<=3", OUTBOX)
+_BY_CHANNEL = lambda: Window.partitionBy("channel").orderBy("priority", "outbox_id")
+add("half_open_trim", lambda f: f.outbox().filter("status = 'pending'").withColumn("rn", F.row_number().over(_BY_CHANNEL())).filter("rn <= 3").select("channel", "outbox_id"), "SELECT channel, outbox_id FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY priority, outbox_id) AS rn FROM outbox WHERE status='pending') WHERE rn<=3", OUTBOX)
 add("queue_depth", lambda f: f.outbox().groupBy("channel", "status").count().withColumnRenamed("count", "n"), "SELECT channel, status, count(*) AS n FROM outbox GROUP BY ALL", OUTBOX)
 
 
