@@ -22,9 +22,10 @@ def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: in
     now = now.withColumn("b", F.explode(F.array(F.floor(F.col("ct") / window_ms), F.floor(F.col("ct") / window_ms) - 1)))
     seen = ordinary.select("scope_key", F.col("inc").alias("ni"), F.col("fired_ms").alias("nt"), F.col("event_id").alias("ne"), F.col("status").alias("ns"), F.floor(F.col("fired_ms") / window_ms).alias("b"))
     pairs = now.join(seen, ["scope_key", "b"]).filter((F.col("nt") >= F.col("ct") - window_ms) & ((F.col("nt") < F.col("ct")) | ((F.col("nt") == F.col("ct")) & (F.col("ne") <= F.col("event_id")))))
-    latest = pairs.groupBy("event_id", "ct", "scope_key", "ci", "ni").agg(F.max(F.struct("nt", "ne", "ns")).alias("last"))
-    active = latest.filter("last.ns <> 'resolved'")
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("last.nt").desc(), F.col("last.ne").desc()))
+    # the latest alert's time, id and state in one number (ids below 2^42), so that the aggregation is by hash, without a sort
+    packed = F.shiftleft(F.col("nt") - F.col("ct") + window_ms, 43) + F.shiftleft("ne", 1) + (F.col("ns") == "resolved").cast("long")
+    active = pairs.groupBy("event_id", "ct", "scope_key", "ci", "ni").agg(F.max(packed).alias("last")).filter(F.col("last").bitwiseAND(1) == 0)
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("last").desc()))
     return active.withColumn("rk", rank).filter(F.col("rk") <= neighbours).select("event_id", "ct", "scope_key", "ci", "ni", "rk")
 
 
