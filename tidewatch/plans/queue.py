@@ -85,7 +85,7 @@ led AS (SELECT inc, event_id, row_number() OVER (PARTITION BY inc ORDER BY seq)
 chain(inc, n, event_id, h) AS (SELECT inc, n, event_id, sha256(repeat('0',64)||p) FROM led WHERE n=1 UNION ALL SELECT l.inc, l.n, l.event_id, sha256(c.h||l.p) FROM chain c JOIN led l ON l.inc=c.inc AND l.n=c.n+1)"""
 add("hash_chain", lambda f: folds.hash_chain(f.o()).select("event_id", "row_hash"), "SELECT event_id, h AS row_hash FROM chain", _CHAIN)
 add("verify_chain", lambda f: folds.verify_chain(folds.tampered(folds.hash_chain(f.o()))), "SELECT inc, min(n) AS first_bad FROM (SELECT inc, n FROM led WHERE event_id%997=5) GROUP BY inc", _CHAIN)
-add("stream_deltas", lambda f: folds.ledger(f.o()).filter("seq <= 3").select("inc", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("seq") * 10 + i)).alias("stream_id")).filter("stream_id > 12"),
+add("stream_deltas", lambda f: folds.ledger(f.o()).select("inc", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("seq") * 10 + i)).alias("stream_id")).filter("stream_id > 12"),
     "SELECT inc, s*10+i AS stream_id FROM (SELECT inc, row_number() OVER (PARTITION BY inc ORDER BY seq) AS s FROM o), (SELECT unnest([1,2,3,4]) AS i) WHERE s<=3 AND s*10+i>12", ALERTS)
 add("breaker_fold", lambda f: folds.breaker(f.outbox()))
 add("outage_intervals", lambda f: folds.outages(folds.breaker(f.outbox())))
