@@ -109,7 +109,31 @@ add("excerpt_rows", lambda f: _files(f).filter(F.trim("text") != "").select("doc
 add("context_digest", lambda f: _files(f).groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "size"))), lambda x: F.concat_ws("|", x["path"], x["size"].cast("string"))), "\n"), 256).alias("digest")),
     f"SELECT source, sha256(string_agg(path||'|'||size, chr(10) ORDER BY path, size)) AS digest FROM {_FILES.format(d='documents')} GROUP BY source")
 add("evidence_grounding", lambda f: _files(f).select("doc_id", F.size(F.split("text", "\n", -1)).alias("lines")).filter((F.col("doc_id") % 5 + 1 <= F.col("lines")) & (F.col("doc_id") % 5 + 1 >= 1)).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id%5+1 <= len(text)-len(replace(text, chr(10), ''))+1")
-add("sanitize_text", lambda f: f.table("documents").select("doc_id", F.substring(F.trim(F.regexp_replace(F.regexp_replace("text", r"(?i)(token|secret|password)\s*=\s*\"?[^\s\"]+\"?", "[redacted]"), r"[\x20\x09-\x0D]+", " ")), 1, 80).alias("clean")),
+# the classes of Python's regular expressions over text, which Java's \s and \b are not
+_S = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_RULES = [
+    (r"(?s)```.*?```", "[source code omitted]"),
+    (r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "[secret omitted]"),
+    (rf"{_B}(?:gh[pousr]_[A-Za-z0-9_]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}){_E}", "[GitHub token omitted]"),
+    (rf"(?iu){_B}Bearer{_S}+[A-Za-z0-9._~+/-]{{8,}}", "Bearer [token omitted]"),
+    (rf"(?iu){_B}(?:api[_-]?key|token|secret|password){_S}*[:=]{_S}*['\"]?[^{_S[1:-1]},;\])'\"]{{6,}}", "[secret omitted]"),
+]
+_LINE = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+_SOURCE = rf"^{_S}*(?:async{_S}+def{_E}|(?:def|class|function|import|from|return|const|let|var|package|#include){_E}|[A-Za-z_][A-Za-z0-9_.]*{_S}*={_S}*[^=])"
+
+
+def sanitize_text(text, maximum=None):
+    """Explanation text without code blocks, secrets and lines like source code, on one line; cut to maximum characters if given."""
+    for pattern, instead in _RULES:
+        text = F.regexp_replace(text, pattern, instead)
+    lines = F.transform(F.split(text, _LINE, -1), lambda x: F.when(x.rlike(_SOURCE), "[source code omitted]").otherwise(x))
+    clean = F.trim(F.regexp_replace(F.array_join(lines, " "), f"{_S}+", " "))
+    clean = F.when(clean == "", "[details omitted]").otherwise(clean)
+    return clean if maximum is None else F.substring(clean, 1, maximum)
+
+
+add("sanitize_text", lambda f: f.table("documents").select("doc_id", sanitize_text(F.col("text")).alias("clean")),
     r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '(?i)(token|secret|password)[\t\n\f\r ]*=[\t\n\f\r ]*"?[^\t\n\f\r "]+"?', '[redacted]', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 80) AS clean FROM documents""")
 add("incident_signals", lambda f: f.alerts().select("event_id", F.size(F.array_distinct(F.concat(F.array("service", "alertname", "severity_raw"), F.map_keys("labels"), F.map_values("labels")))).cast("long").alias("n")), "SELECT event_id, len(list_distinct([service, alertname, severity_raw, 'cluster', 'environment', 'pod', cluster, environment, pod])) AS n FROM alerts", ALERTS)
 
