@@ -5,6 +5,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch import catalog
 from tidewatch.plans.duck import ALERTS
@@ -58,3 +59,16 @@ def test_sanitize_text_equals_plain_python_on_every_rule_and_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.clean for r in catalog.QUERIES["sanitize_text"](spark, SF).collect()}
     assert got == {r.doc_id: sanitized(r.text) for r in docs} and max(map(len, got.values())) > 80
+
+
+def test_tree_walk_reaches_every_level_and_refuses_more_than_its_bound(spark, tmp_path):
+    from tidewatch.plans.extra import tree_walk
+
+    chain = spark.range(14).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    assert {r.id: (r.path, r.depth) for r in tree_walk(chain, 13).collect()} == {k: ("/".join(f"n{i}" for i in range(k + 1)), k) for k in range(14)}
+    with pytest.raises(ValueError, match="deeper than 2"):
+        tree_walk(chain, 2)
+    assert tree_walk(chain.filter("id > 0")).count() == 0
+    keys = [1, 8, 64, 512, 4096, 32768, 262144, 2097152]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted((r.id, r.depth) for r in catalog.QUERIES["tree_walk"](spark, str(tmp_path)).collect()) == [(k, d) for d, k in enumerate(keys)]
