@@ -72,3 +72,11 @@ def test_tree_walk_reaches_every_level_and_refuses_more_than_its_bound(spark, tm
     keys = [1, 8, 64, 512, 4096, 32768, 262144, 2097152]
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted((r.id, r.depth) for r in catalog.QUERIES["tree_walk"](spark, str(tmp_path)).collect()) == [(k, d) for d, k in enumerate(keys)]
+
+
+def test_patch_plan_takes_long_documents_up_to_its_byte_bound(spark, tmp_path):
+    sizes = {1: 100, 2: 9000, 3: 60000, 4: 70000, 7: 70000}
+    rows = [(k, "s", "a line\n" * (n // 7), n) for k, n in sizes.items()]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.operation for r in catalog.QUERIES["patch_plan"](spark, str(tmp_path)).collect()}
+    assert got == {"s/1": "update", "s/2": "update", "s/3": "update", "s/7": "delete"}
