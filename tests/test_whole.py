@@ -80,3 +80,20 @@ def test_patch_plan_takes_long_documents_up_to_its_byte_bound(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.path: r.operation for r in catalog.QUERIES["patch_plan"](spark, str(tmp_path)).collect()}
     assert got == {"s/1": "update", "s/2": "update", "s/3": "update", "s/7": "delete"}
+
+
+def test_an_open_channel_alone_degrades_the_verdict(spark):
+    from tidewatch.operators import folds
+    from tidewatch.plans.queue import NOW, channel_signals, verdict
+
+    def outbox(https):
+        rows = [(c, i, NOW + i, h, 1, "sent") for i, (c, h) in enumerate(https)]
+        return spark.createDataFrame(rows, "channel string, outbox_id long, created_ms long, http int, k int, status string")
+
+    alerts = spark.createDataFrame([(NOW, NOW)], "fired_ms long, ingested_ms long")
+    bad = outbox([("slack", 503)] * 3 + [("email", 200)])
+    assert tuple(channel_signals(folds.breaker(bad)).first()) == ("slack", 1)
+    assert tuple(verdict(bad, alerts).first())[:2] == ("degraded", "channel-open")
+    good = outbox([("slack", 503)] * 2 + [("slack", 200), ("email", 200)])
+    assert tuple(channel_signals(folds.breaker(good)).first()) == ("", 0)
+    assert tuple(verdict(good, alerts).first())[:2] == ("ok", "")

@@ -55,17 +55,24 @@ sql("outbox_signals", f"{_SIG} {{outbox}}", f"SELECT count(*) FILTER (WHERE stat
 sql("selfcheck_signals", "SELECT max(ingested_ms) AS latest_ms, max(abs(fired_ms-ingested_ms)) AS worst_skew_ms FROM {alerts}", "SELECT max(ingested_ms) AS latest_ms, max(abs(fired_ms-ingested_ms)) AS worst_skew_ms FROM alerts", ALERTS, "alerts")
 
 
-def _verdict(f):
-    box = f.outbox().agg(F.count_if(F.col("status") == "dead").alias("dead"), ((F.lit(NOW) - F.min(F.when(F.col("status") == "pending", F.col("created_ms")))) / 1000).alias("oldest_s"))
-    skew = f.alerts().agg(F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("skew"))
-    s = box.join(F.broadcast(skew))
+def channel_signals(folded):
+    """open_channels (by name) and ongoing_outages: from each channel's latest state of the breaker."""
+    last = folded.groupBy("channel").agg(F.max_by("state", F.struct("hour", "at_ms", "outbox_id")).alias("state"))
+    return last.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("state") == "OPEN", F.col("channel")))), ",").alias("open_channels"), F.count_if(F.col("state") != "CLOSED").alias("ongoing_outages"))
+
+
+def verdict(outbox, alerts):
+    box = outbox.agg(F.count_if(F.col("status") == "dead").alias("dead"), ((F.lit(NOW) - F.min(F.when(F.col("status") == "pending", F.col("created_ms")))) / 1000).alias("oldest_s"))
+    skew = alerts.agg(F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("skew"))
+    s = box.join(F.broadcast(skew)).join(F.broadcast(channel_signals(folds.breaker(outbox))))
     fatal = F.array_compact(F.array(F.when(F.col("oldest_s") > 900, "stalled")))
-    degraded = F.array_compact(F.array(F.when(F.col("dead") > 10, "dead-letters"), F.when(F.col("skew") > 120000, "clock-skew")))
-    verdict = F.when(F.size(fatal) > 0, "unhealthy").when(F.size(degraded) > 0, "degraded").otherwise("ok")
-    return s.select(verdict.alias("verdict"), F.array_join(F.concat(fatal, degraded), ",").alias("reasons"), (F.size(fatal) == 0).alias("should_heartbeat"))
+    degraded = F.array_compact(F.array(F.when(F.col("open_channels") != "", "channel-open"), F.when(F.col("dead") > 10, "dead-letters"), F.when(F.col("skew") > 120000, "clock-skew")))
+    found = F.when(F.size(fatal) > 0, "unhealthy").when(F.size(degraded) > 0, "degraded").otherwise("ok")
+    return s.select(found.alias("verdict"), F.array_join(F.concat(fatal, degraded), ",").alias("reasons"), (F.size(fatal) == 0).alias("should_heartbeat"))
 
 
-add("selfcheck_verdict", _verdict, f"""SELECT CASE WHEN oldest_s>900 THEN 'unhealthy' WHEN dead>10 OR skew>120000 THEN 'degraded' ELSE 'ok' END AS verdict,
+add("selfcheck_channels", lambda f: channel_signals(folds.breaker(f.outbox())))
+add("selfcheck_verdict", lambda f: verdict(f.outbox(), f.alerts()), f"""SELECT CASE WHEN oldest_s>900 THEN 'unhealthy' WHEN dead>10 OR skew>120000 THEN 'degraded' ELSE 'ok' END AS verdict,
     concat_ws(',', CASE WHEN oldest_s>900 THEN 'stalled' END, CASE WHEN dead>10 THEN 'dead-letters' END, CASE WHEN skew>120000 THEN 'clock-skew' END) AS reasons, NOT oldest_s>900 AS should_heartbeat
     FROM (SELECT count(*) FILTER (WHERE status='dead') AS dead, ({NOW}-min(CASE WHEN status='pending' THEN created_ms END))/1000.0 AS oldest_s FROM outbox), (SELECT max(abs(fired_ms-ingested_ms)) AS skew FROM alerts)""", OUTBOX)
 add("external_ref_map", lambda f: f.outbox().filter("external_ref IS NOT NULL").groupBy("channel", "external_ref").agg(F.max_by("incident_id", "outbox_id").alias("incident_id")), "SELECT channel, external_ref, arg_max(incident_id, outbox_id) AS incident_id FROM outbox WHERE external_ref IS NOT NULL GROUP BY ALL", OUTBOX)
