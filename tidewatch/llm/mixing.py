@@ -1,18 +1,20 @@
 """Mixing sources to target weights, on DataFrame operations alone.
 
 Words stand for tokens. Each source's documents, in a pseudorandom order, are packed into blocks of a fixed number of
-words (the last may be short). A source's target gives its number of slots; a pseudorandom permutation of all slots deals
-them to the output shards, so a shard's source counts are a multinomial draw, conditioned on the sources' totals (free
-draws would miss the targets by chance). Within a source, slots run through the blocks by index permutations, a new one
-for each pass, and blocks join slots by (source, index). The last slot of a source is cut where its target is met.
+words (the last may be short). A source's target gives its number of slots. For each output shard the sources' counts are
+a multinomial draw by the shares of the slots. Free draws miss the targets by chance, so each source's running total over
+the shards is then stretched to end at its slots: a shard's counts differ from its draw by a factor near 1 and rounding.
+Within a source, slots run through the blocks by index permutations, a new one for each pass, and blocks join slots by
+(source, index). The last slot of a source is cut where its target is met.
 
 Permutations are swap-or-not shuffles: a bijection of any 0..n-1 from a few hashes per round, without a sort or a table.
 
-Running sums go by (source, hash bucket) and then over the buckets' totals, so that a source with most of the rows is
-shared out. Only tables of one row per source are ever ordered as a whole.
+Running sums go by (source, hash bucket) and then over the buckets' totals; buckets grow in number with their source, so
+that a source with most of the rows is shared out. Only tables of one row per source are ever ordered as a whole.
 
 Defined results: null and empty texts have size 0 and nothing is taken of them; a null source is the last source; rows
-with equal doc_id, and repeated rows, each count and keep their row; an empty table gives an empty result.
+with equal doc_id, and repeated rows, each count and keep their row; an empty table gives an empty result; other columns
+may have any name that does not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE_CLASS, partitions, word_count, written
+from .common import WHITESPACE_CLASS, bound, partitions, word_count, written
 
-BLOCK_WORDS, SHARD_SLOTS, BUCKETS, ROUNDS = 512, 4096, 1024, 12
+#: Words of a block, slots of an output shard, documents of a bucket (about), rounds of a permutation.
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_DOCS, ROUNDS = 512, 4096, 20_000, 12
 
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
@@ -36,8 +39,8 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """src, place, source_size, target: shares by weight; a target above most times its source stops there, and what is over goes to the others by weight."""
-    totals = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.min("source").alias("source"))
+    """src, place, n_docs, source_size, target: shares by weight; a target above most times its source stops there, and what is over goes to the others by weight."""
+    totals = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.min("source").alias("source"), F.count(F.lit(1)).alias("n_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     totals = totals.withColumn("place", (F.row_number().over(by_name) - 1).cast("long"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -51,11 +54,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     totals = totals.withColumn("capped", F.col("left") * F.col("weight") / F.col("weight_left") > F.col("cap"))
     level = F.max_by(F.when(~F.col("capped"), F.col("left") / F.col("weight_left")), F.when(~F.col("capped"), -F.col("cap") / F.col("weight"))).over(everything)
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * level))
-    return totals.select("src", "place", "source_size", target.cast("double").alias("target"))
+    return totals.select("src", "place", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
 def _plan(targets: DataFrame, block: int) -> DataFrame:
-    """targets with each source's blocks, the slots of a pass, all slots, the words of its last slot, and the slots before it."""
+    """targets with each source's blocks, the slots of a pass, all slots, and the words of its last slot."""
     size, wanted = F.col("source_size"), F.col("wanted")
     out = targets.withColumn("wanted", F.round("target").cast("long")).filter((F.col("wanted") > 0) & (F.col("source_size") > 0))
     out = out.withColumns({"full": F.floor(size / block).cast("long")}).withColumn("tail", size - F.col("full") * block)
@@ -64,31 +67,56 @@ def _plan(targets: DataFrame, block: int) -> DataFrame:
     out = out.withColumn("over_full", F.least(F.floor(F.col("over") / block).cast("long"), F.col("full")))
     out = out.withColumn("rest", F.col("over") - F.col("over_full") * block)
     out = out.withColumn("slots", F.col("passes") * F.col("per_pass") + F.col("over_full") + (F.col("rest") > 0).cast("long"))
-    place = Window.orderBy("place")
-    return out.withColumns({"slots_before": F.sum("slots").over(place.rowsBetween(Window.unboundedPreceding, -1)), "all_slots": F.sum("slots").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return out
+
+
+def shard_counts(plan: DataFrame, seed: int) -> DataFrame:
+    """shard, place, drawn, n, before: each shard's multinomial draw of sources, and the slots it gets of each of them.
+
+    drawn sums to SHARD_SLOTS over a shard (the last may have fewer); n sums to the source's slots over all shards, and
+    before is that sum over the shards before.
+    """
+    spark = plan.sparkSession
+    # a row of one entry per source
+    shares = plan.agg(F.array_sort(F.collect_list(F.struct("place", "slots"))).alias("s"), F.sum("slots").alias("all_slots"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda t, x: t + x["slots"]))
+    shares = shares.filter("all_slots > 0").select(ends.alias("ends"), F.transform("s", lambda x: x["place"]).alias("places"), "all_slots")
+    shards = shares.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / SHARD_SLOTS).cast("long")))).repartition(partitions(spark), "shard")
+    here = F.least(F.lit(SHARD_SLOTS), F.col("all_slots") - F.col("shard") * SHARD_SLOTS)
+    draws = shards.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), here.cast("long"))))
+    at = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "draw"), F.col("all_slots"))
+    drawn = draws.select("shard", F.element_at("places", (F.size(F.filter("ends", lambda e: e <= at)) + 1).cast("int")).alias("place"))
+    drawn = drawn.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("drawn"))
+    # a source that no shard drew has its slots in the first one
+    known = plan.select("place", "slots").join(drawn, "place", "left").select("place", "slots", F.coalesce("shard", F.lit(0)).alias("shard"), F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    so_far = Window.partitionBy("place").orderBy("shard")
+    total = F.sum("drawn").over(Window.partitionBy("place"))
+    stretched = lambda run: F.when(total == 0, F.col("slots")).otherwise(F.round(run * F.col("slots").cast("double") / total)).cast("long")
+    run = F.sum("drawn").over(so_far)
+    out = known.withColumns({"end": stretched(run), "before": F.when(total == 0, F.lit(0)).otherwise(stretched(run - F.col("drawn"))).cast("long")})
+    return out.select("shard", "place", "drawn", (F.col("end") - F.col("before")).alias("n"), "before")
 
 
 def draw_slots(targets: DataFrame, seed: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """place, block, pass, words, shard: a row for each slot of the mix."""
-    run = 4096
+    """place, block, pass, words, shard, shard_slots (slots of the source in the shard): a row for each slot of the mix."""
     plan = _plan(targets, block)
-    # slots come forth in runs, spread over tasks before they are multiplied
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / run).cast("long")))).repartition(partitions(targets.sparkSession), "place", "run")
-    slots = runs.withColumn("k", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)))
+    counts = shard_counts(plan, seed).filter("n > 0").repartition(partitions(targets.sparkSession), "place", "shard")
+    # the plan has a row per source
+    slots = counts.join(plan.drop("src"), "place").withColumn("k", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     within = F.pmod("k", F.col("per_pass"))
     slots = slots.withColumns({"pass": F.floor(F.col("k") / F.col("per_pass")).cast("long"), "within": within})
     key = F.xxhash64(F.lit(seed), "place", "pass")
     index = F.when(F.col("within") < F.col("full"), permuted(F.col("within"), F.greatest("full", F.lit(1)), key)).otherwise(F.col("full"))
-    dealt = permuted(F.coalesce("slots_before", F.lit(0)) + F.col("k"), F.col("all_slots"), F.xxhash64(F.lit(seed), F.lit("shards")))
-    slots = slots.withColumns({"block": index, "shard": F.floor(dealt / SHARD_SLOTS).cast("long")})
+    slots = slots.withColumn("block", index)
     cut = (F.col("k") == F.col("slots") - 1) & (F.col("rest") > 0)
     words = F.when(cut, F.col("rest")).when(F.col("block") == F.col("full"), F.col("tail")).otherwise(F.lit(block))
-    return slots.select("place", "block", "pass", words.cast("long").alias("words"), "shard")
+    return slots.select("place", "block", "pass", words.cast("long").alias("words"), "shard", F.col("n").alias("shard_slots"))
 
 
 def pack(sizes: DataFrame, targets: DataFrame, seed: int, block: int = BLOCK_WORDS) -> DataFrame:
     """sizes with place and start: the words of the source before the document."""
-    placed = sizes.join(targets.select("src", "place"), "src").withColumns({"bucket": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_key"), F.lit(BUCKETS)), "order": F.xxhash64(F.lit(seed + 1), "doc_id", "row_key")})
+    buckets = F.ceil(F.col("n_docs") / BUCKET_DOCS)
+    placed = sizes.join(targets.select("src", "place", "n_docs"), "src").withColumns({"bucket": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_key"), buckets), "order": F.xxhash64(F.lit(seed + 1), "doc_id", "row_key")})
     ranked = Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size")
     running = placed.withColumns({"at": F.row_number().over(ranked), "inner": F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     totals = placed.groupBy("place", "bucket").agg(F.sum("size").alias("total"))
@@ -114,12 +142,13 @@ def _sized(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 5, block: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_slots and first_shard of each document."""
+    """doc_id, size, source_size, target, taken, n_slots, first_shard and first_shard_slots (the slots of its source in
+    that shard) of each document."""
     sizes = written(_sized(docs), "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets")
     drawn = _drawn(pack(sizes, targets, seed, block), draw_slots(targets, seed, block), block)
-    taken = drawn.groupBy("place", "bucket", "at").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("got").alias("taken"), F.sum((F.col("got") > 0).cast("long")).alias("n_slots"), F.min(F.when(F.col("got") > 0, F.col("shard"))).alias("first_shard"))
-    return taken.join(targets, "place").select("doc_id", "size", "source_size", "target", "taken", "n_slots", "first_shard")
+    taken = drawn.groupBy("place", "bucket", "at").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("got").alias("taken"), F.sum((F.col("got") > 0).cast("long")).alias("n_slots"), F.min(F.when(F.col("got") > 0, F.struct("shard", "shard_slots"))).alias("first"))
+    return taken.join(targets, "place").select("doc_id", "size", "source_size", "target", "taken", "n_slots", F.col("first.shard").alias("first_shard"), F.col("first.shard_slots").alias("first_shard_slots"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 5, block: int = BLOCK_WORDS) -> DataFrame:
@@ -143,6 +172,6 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     keyed = keyed.withColumn("__copy_of", F.row_number().over(Window.partitionBy("doc_id", "__k", "__s").orderBy("__k")))
     joined = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__key")) & (F.col("__s") == F.col("__src")) & (F.col("__copy_of") == F.col("__copy")))
     words = F.split(F.regexp_replace("text", f"^{WHITESPACE_CLASS}+", ""), rf"(?<={WHITESPACE_CLASS})(?!{WHITESPACE_CLASS})")
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, p["b"] + 1, p["n"]))), "")
+    cut = bound(words, lambda ws: F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(ws, p["b"] + 1, p["n"]))), ""))
     text = F.when(F.col("__got") == F.col("__size"), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).select(*docs.columns)
