@@ -2,14 +2,21 @@
 
 Fixed patterns with checks give the base spans (e-mail, IP address, card, phone). High-recall generators propose further,
 overlapping spans: long runs of key characters, digit groups, e-mail addresses in disguise. Boosted trees over format and
-context features score each; a span is taken if its score reaches its kind's threshold, the lowest at which the precision
-on held-out examples has a lower confidence bound of 0.98, and if it overlaps no base span. The trees are trained on the
-driver from generated examples (a fixed seed and number) and enter the plan as an expression.
+context features score each; a span is taken if its score reaches its kind's threshold and it overlaps no base span.
+
+Trees and thresholds come from marked documents: prose with personal data and look-alikes planted at known places (a fixed
+seed and number). The generators run over them, and a candidate is right if it is a planted span exactly. One set fits the
+trees, on the driver; another, held out, sets each threshold: the lowest at which the precision has a lower confidence
+bound of 0.98. The trees enter the plan as an expression.
+
+What the generators can propose is bounded by their patterns, for every text alike: a secret has 20 key characters or
+more, a number 7 to 32 characters, an address in disguise names of up to 64 and up to 9 host parts; the features see the
+24 characters before a candidate and nothing after it, and take numbers of 40 digits or more for no card.
 
 Positions come from the pieces between matches: both extraction and splitting run the same matcher. Patterns use
 possessive loops and look behind instead of retrying inside a run, so that long runs take linear time and no stack.
 
-Defined results: null and empty texts have no spans; rows repeat as they come; other columns do not matter.
+Defined results: null and empty texts have no spans; rows repeat as they come; other columns may have any name and stay.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from __future__ import annotations
 import base64
 import math
 import random
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -44,6 +52,7 @@ _WORDS = {"secret": "token|key|secret|passw|pwd|auth|bearer|credential|apikey",
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 _CHUNK = 256
 FEATURES = ["length", "digits", "letters", "separators", "distinct", "hex", "luhn", "word", "assigned", "quoted", "paren"]
+#: Marked documents of a kind for fitting, and for the threshold.
 EXAMPLES, CONTEXT = 900, 24
 
 
@@ -119,8 +128,6 @@ def _features(kind: str, m: Column, before: Column) -> list[Column]:
 
 def example_features(kind: str, m: str, before: str) -> list[float]:
     """The same features of a generated example."""
-    import re
-
     digits = re.sub("[^0-9]", "", m)
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -130,43 +137,56 @@ def example_features(kind: str, m: str, before: str) -> list[float]:
     return [len(m), len(digits), len(re.sub("[^A-Za-z]", "", m)), len(re.sub("[A-Za-z0-9]", "", m)), len(set(m)), float(bool(re.fullmatch("[0-9a-f]+", m))), float(1 < len(digits) < 40 and total % 10 == 0), float(bool(re.search(_WORDS[kind], before.lower()))), float(bool(re.search(r"""[=:]\s*["']?$""", before))), float(bool(re.search(r"""["']$""", before))), float("(" in m)]
 
 
-def examples(kind: str, seed: int, n: int = EXAMPLES) -> list[tuple[list[float], bool]]:
-    """Generated candidates of a kind with the truth."""
-    r = random.Random(f"{kind}-{seed}")
+def planted(kind: str, r: random.Random) -> tuple[str, str, bool]:
+    """A span of the kind or a look-alike, the text before it, and which of both it is."""
     syllables = ["er", "tion", "the", "an", "lich", "que", "ment", "ing", "st", "ou", "ble", "re"]
     word = lambda k: "".join(r.choice(syllables) for _ in range(k))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    plain = lambda: f"{word(2)} {word(1)} {word(2)}{r.choice([' ', ', ', '. '])}"[-CONTEXT:]
+    plain = lambda: f"{word(2)} {word(1)} {word(2)}{r.choice([' ', ', ', '. '])}"
+    good = r.random() < 0.5
+    if kind == "secret":
+        raw = r.randbytes(r.randint(12, 48))
+        name = r.choice(["token", "api_key", "secret", "password", "Authorization", "key", "auth"])
+        if good:
+            span = r.choice([raw.hex(), base64.b64encode(raw).decode().rstrip("="), "sk-" + raw.hex(), "ghp_" + base64.b64encode(raw).decode().rstrip("=").replace("+", "a").replace("/", "b")])
+            before = plain() + name + r.choice([' = "', "=", ": ", "='", ' = "', " "])
+        else:
+            span = r.choice([word(r.randint(6, 12)), "-".join(word(2) for _ in range(5)), "/".join(word(2) for _ in range(6)), digits(r.randint(20, 30)), "-" * r.randint(20, 60), "_".join(word(1) + digits(2) for _ in range(6)), word(8).upper()])
+            before = r.choice([plain(), plain(), plain() + "key: ", plain() + 'href="'])
+    elif kind == "number":
+        if good:
+            span = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}"])
+            before = plain() + r.choice(["phone: ", "call ", "Tel. ", "SSN ", "fax ", "mobile ", "account ", "card "])
+        else:
+            span = r.choice([digits(r.randint(7, 20)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(2)}", f"{digits(1)} {digits(2)} {digits(3)} {digits(2)}", f"{digits(2)}.{digits(3)} {digits(2)}", f"{digits(16)}", f"{digits(3)}-{digits(4)}"])
+            before = r.choice([plain(), plain(), plain() + "in ", plain() + "call " if len(span) < 9 else plain()])
+    elif good:
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), ("{at}", "{dot}"), (" [at] ", " [dot] ")])
+        span = f"{word(2)}.{digits(2)}{at}{word(2)}{dot}{r.choice(['com', 'org', 'net'])}"
+        before = r.choice([plain(), plain() + "mail ", plain() + "contact: "])
+    else:
+        span = f"{r.choice(['a', 'x1', word(1)])}{r.choice(['(at)', '[at]'])}{r.choice(['b', '3', 'n'])}.{digits(1)}"
+        before = plain()
+    return span, before, good
+
+
+def marked_documents(kind: str, seed: int, n: int = EXAMPLES) -> list[tuple[str, int, int, bool]]:
+    """Texts with one planted span or look-alike each: text, its start and end, and whether it is a span of the kind."""
+    r = random.Random(f"{kind}-{seed}")
     out = []
     for _ in range(n):
-        good = r.random() < 0.5
-        if kind == "secret":
-            if good:
-                raw = r.randbytes(r.randint(12, 48))
-                m = r.choice([raw.hex(), base64.b64encode(raw).decode().rstrip("="), "sk-" + raw.hex(), "ghp_" + base64.b64encode(raw).decode().rstrip("=").replace("+", "a").replace("/", "b")])
-                name = r.choice(["token", "api_key", "secret", "password", "Authorization", "key", "auth"])
-                before = (plain() + name + r.choice([' = "', "=", ": ", "='", ' = "', " "]))[-CONTEXT:]
-            else:
-                m = r.choice([word(r.randint(6, 12)), "-".join(word(2) for _ in range(5)), "/".join(word(2) for _ in range(6)), digits(r.randint(20, 30)), "-" * r.randint(20, 60), "_".join(word(1) + digits(2) for _ in range(6)), word(8).upper()])
-                before = r.choice([plain(), plain(), (plain() + "key: ")[-CONTEXT:], (plain() + "href=\"")[-CONTEXT:]])
-            if len(m) < 20:
-                continue
-        elif kind == "number":
-            if good:
-                m = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}"])
-                before = (plain() + r.choice(["phone: ", "call ", "Tel. ", "SSN ", "fax ", "mobile ", "account ", "card "]))[-CONTEXT:]
-            else:
-                m = r.choice([digits(r.randint(7, 20)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(2)}", f"{digits(1)} {digits(2)} {digits(3)} {digits(2)}", f"{digits(2)}.{digits(3)} {digits(2)}", f"{digits(16)}", f"{digits(3)}-{digits(4)}"])
-                before = r.choice([plain(), plain(), (plain() + "in ")[-CONTEXT:], (plain() + "call ")[-CONTEXT:] if len(m) < 9 else plain()])
-        else:
-            if good:
-                at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), ("{at}", "{dot}"), (" [at] ", " [dot] ")])
-                m = f"{word(2)}.{digits(2)}{at}{word(2)}{dot}{r.choice(['com', 'org', 'net'])}"
-                before = r.choice([plain(), (plain() + "mail ")[-CONTEXT:], (plain() + "contact: ")[-CONTEXT:]])
-            else:
-                m = f"{r.choice(['a', 'x1', word(1)])}{r.choice(['(at)', '[at]'])}{r.choice(['b', '3', 'n'])}.{digits(1)}"
-                before = plain()
-        out.append((example_features(kind, m, before), good))
+        span, before, good = planted(kind, r)
+        after = r.choice(["", '"', ".", ", and so on", " of the year", "\n"])
+        out.append((before + span + after, len(before), len(before) + len(span), good))
+    return out
+
+
+def examples(kind: str, seed: int, n: int = EXAMPLES) -> list[tuple[list[float], bool]]:
+    """What the kind's generator proposes in marked documents, as features, with the truth."""
+    out = []
+    for text, begin, end, good in marked_documents(kind, seed, n):
+        for m in re.finditer(PATTERNS[kind], text):
+            out.append((example_features(kind, m.group(), text[max(0, m.start() - CONTEXT) : m.start()]), good and m.span() == (begin, end)))
     return out
 
 
@@ -214,7 +234,8 @@ def _accepted(trees: list[Tree], threshold: float) -> Callable[[Column], Column]
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_spans and all_spans (arrays of struct b, k, e: start, place in KINDS, end)."""
-    out = find_matches(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), KINDS)
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = find_matches(docs, KINDS)
     base = []
     for k, kind in enumerate(KINDS[:4]):
         out = out.withColumn(f"base_{kind}", _as_spans(F.filter(f"found_{kind}", _passes(_CHECKS[kind])), k))
@@ -227,18 +248,31 @@ def find_spans(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"scored_{kind}", F.when(F.size(f"found_{kind}") > 0, F.transform(f"found_{kind}", _featured(kind))))
         taken = F.filter(f"scored_{kind}", _accepted(trees, threshold))
         more.append(F.coalesce(_as_spans(taken, k), F.array().cast("array<struct<b:bigint,k:int,e:bigint>>")))
-    return out.withColumn("all_spans", F.concat("base_spans", *more))
+    out = out.withColumn("all_spans", F.concat("base_spans", *more))
+    # a generator of one row: filters on the spans stay above it, where pushed down they would repeat the whole search
+    found = ["base_spans", "all_spans", *(f"n_{kind}" for kind in KINDS[:4])]
+    return out.select(*docs.columns, F.explode(F.array(F.struct(*found))).alias("__found")).select(*docs.columns, *(F.col("__found")[c].alias(c) for c in found))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_sha256 and spans."""
+    """doc_id, the base counts, base_sha256, spans; n_secret, n_number, n_address and n_spans (all kinds), and has_pii."""
     found = find_spans(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"))
+    more = [F.size(F.filter("all_spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[4:], 4)]
+    n_spans = F.size("all_spans").cast("long")
+    base = F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base, _joined(F.col("all_spans")).alias("spans"), *more, n_spans.alias("n_spans"), (n_spans > 0).alias("has_pii"))
+
+
+def _of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["k"] == k
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     """docs with its spans replaced by their kind's mark (overlapping spans by the first one's)."""
-    found = find_spans(docs)
+    # the columns travel under names of our own, so that none of theirs can clash
+    own = [f"__c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    found = find_spans(docs.toDF(*own).withColumn("text", F.col(own[at])))
     names = F.array(*(F.lit(mark.format(k)) for k in KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -249,4 +283,5 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     done = F.aggregate(F.array_sort("all_spans"), start, step)
     found = found.withColumn("__done", done)
     text = F.concat(F.array_join(F.col("__done")["out"], ""), F.substring(F.col("text"), (F.col("__done")["at"] + 1).cast("int"), F.length("text")))
-    return found.withColumn("text", text).select(*docs.columns)
+    whole = F.when(F.col(own[at]).isNotNull(), text)
+    return found.withColumn("__text", whole).select(*(F.col("__text" if i == at else c) for i, c in enumerate(own))).toDF(*docs.columns)
