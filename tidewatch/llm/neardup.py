@@ -6,12 +6,13 @@
    candidates stay linear in the members, however large a bucket is.
 3. Candidates are verified in sequence: batches of signature places are compared, and a pair goes once the posterior
    probability of a similarity at the threshold, or above, falls under a chosen miss probability. Survivors are
-   confirmed on their full shingle sets; confirmed links give components.
+   confirmed on their full shingle sets, as sets of 64-bit hashes of all shingles; confirmed links give components.
 4. Buckets whose members then lie in several components may hold more links. Their members meet block by block (blocks of
    bounded size, each pair of blocks a group of its own), leave out pairs of one component and pairs that met in an
    earlier band, and what the posterior leaves is confirmed there and then. No bucket is capped.
 
-With 25 bands of 5 a pair at similarity 0.85 misses all bands with probability 4e-7, a pair above still less.
+With 25 bands of 5 a pair at similarity 0.85 misses all bands with probability 8e-7, a pair above still less; at 0.8,
+which the corpus pipeline asks for, with probability 5e-5.
 
 Defined results: texts without words have an empty set and link with nothing; rows that share a doc_id share its
 component; rows without a doc_id link with nothing; rows repeat as they come; other columns do not matter.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, utf8
-from .common import written
+from .common import join_spread, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -202,8 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-9) -> D
     classes = written(classes, "classes")
 
     buckets = written(_buckets(classes), "buckets")
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(buckets.join(hubs, "bucket"), "members")
+    hubs = written(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "hubs")
+    members = written(join_spread(buckets, hubs, ["bucket"], "size", ["node"]), "members")
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     texts = written(_texts(docs, members), "texts")
     links = _confirmed(written(_probable(pairs, classes, least), "probable"), texts, percent)
