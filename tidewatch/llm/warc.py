@@ -137,11 +137,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = filesystem(self.path)
-        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".warc.gz") and not f.base_name.startswith(("_", ".")))
         return [FilePart(path, begin, min(size, begin + self.part_bytes)) for path, size in files for begin in range(0, size, self.part_bytes)]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         fs, _ = filesystem(self.path)
         rows: list[tuple] = []
         held = 0
