@@ -1,4 +1,8 @@
-"""The co-occurrence graph: a bounded interval self-join, decayed weights, root causes, storms."""
+"""The co-occurrence graph: a bounded interval self-join, decayed weights, root causes, storms.
+
+Who was there is decided on our clock (ingest time, in order of arrival); how old evidence is, on the sources' clocks. An
+alert that arrives late ages nothing: elapsed time is never below 0.
+"""
 
 from __future__ import annotations
 
@@ -6,50 +10,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .incidents import ARRIVAL
+from .store import written
 
 WINDOW_MS, NEIGHBOURS, HALF_LIFE = 900_000, 25, 3_600_000.0
+BUCKET_MS, SLICE_MS = 60_000, 3_600_000
 MIN_SUPPORT, FULL_SUPPORT, MIN_CONFIDENCE, MIN_DOMINANCE = 1.5, 6.0, 0.35, 0.25
+STORM_WEIGHT, ROUNDS = 1.5, 50
 
 
 def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """An alert with the incidents of its scope seen within the window before it (itself among them), active at their last
-    alert by then, newest first, at most neighbours: event_id, ct, scope_key, ci, ni, rk.
+    """An alert with the incidents of its scope that were active and had arrived within the window before it (itself among
+    them), latest arrivals first, at most neighbours: event_id, ct, cf, scope_key, ci, ni, nf, rk (t: arrival, f: fired).
 
-    The band join is by time bucket: an alert meets its own bucket and the one before, so a scope's rows spread over many
-    keys. Each bucket keeps one row for each incident and alert pair only until the latest is taken, map-side first.
+    An incident's alert stands for it until its next one arrives, at most for the window. These stretches and the alerts
+    meet by scope and short time bucket, so a scope's rows spread over many keys, and an alert meets each incident once,
+    however many alerts the incident has had.
     """
-    now = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("inc").alias("ci"), F.col("fired_ms").alias("ct"), "event_id")
-    now = now.withColumn("b", F.explode(F.array(F.floor(F.col("ct") / window_ms), F.floor(F.col("ct") / window_ms) - 1)))
-    seen = ordinary.select("scope_key", F.col("inc").alias("ni"), F.col("fired_ms").alias("nt"), F.col("event_id").alias("ne"), F.col("status").alias("ns"), F.floor(F.col("fired_ms") / window_ms).alias("b"))
-    pairs = now.join(seen, ["scope_key", "b"]).filter((F.col("nt") >= F.col("ct") - window_ms) & ((F.col("nt") < F.col("ct")) | ((F.col("nt") == F.col("ct")) & (F.col("ne") <= F.col("event_id")))))
-    # the latest alert's time, id and state in one number (ids below 2^42), so that the aggregation is by hash, without a sort
-    packed = F.shiftleft(F.col("nt") - F.col("ct") + window_ms, 43) + F.shiftleft("ne", 1) + (F.col("ns") == "resolved").cast("long")
-    active = pairs.groupBy("event_id", "ct", "scope_key", "ci", "ni").agg(F.max(packed).alias("last")).filter(F.col("last").bitwiseAND(1) == 0)
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("last").desc()))
-    return active.withColumn("rk", rank).filter(F.col("rk") <= neighbours).select("event_id", "ct", "scope_key", "ci", "ni", "rk")
-
-
-def _decayed(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
-    """Sum of exp(-ln2 * age / half-life) by keys. Ages are taken from the scope's own time base first, so that the sum is one pass."""
-    base = rows.groupBy(*keys).agg(F.max("ct").alias("mx"))
-    joined = rows.join(base, keys)
-    return joined.groupBy(*keys).agg(F.first("scope_key").alias("scope") if "scope_key" not in keys else F.count(F.lit(1)).alias("scope"), F.sum(C.decay(F.lit(1.0), F.col("mx") - F.col("ct"), HALF_LIFE)).alias(value), F.max("ct").alias(latest), F.count(F.lit(1)).alias("n"))
+    per_incident = Window.partitionBy("inc").orderBy(*ARRIVAL)
+    seen = ordinary.select("scope_key", F.col("inc").alias("ni"), F.col("ingested_ms").alias("nt"), F.col("event_id").alias("ne"), F.col("fired_ms").alias("nf"), "status", F.lead("ingested_ms").over(per_incident).alias("until"), F.lead("event_id").over(per_incident).alias("until_id"))
+    seen = seen.filter("status <> 'resolved'").drop("status")
+    end = F.least(F.coalesce("until", F.col("nt") + window_ms), F.col("nt") + window_ms)
+    seen = seen.withColumn("b", F.explode(F.sequence(F.floor(F.col("nt") / BUCKET_MS), F.floor(end / BUCKET_MS))))
+    now = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("inc").alias("ci"), F.col("ingested_ms").alias("ct"), F.col("fired_ms").alias("cf"), "event_id", F.floor(F.col("ingested_ms") / BUCKET_MS).alias("b"))
+    arrived = (F.col("nt") < F.col("ct")) | ((F.col("nt") == F.col("ct")) & (F.col("ne") <= F.col("event_id")))
+    latest = F.col("until").isNull() | (F.col("ct") < F.col("until")) | ((F.col("ct") == F.col("until")) & (F.col("event_id") < F.col("until_id")))
+    pairs = now.join(seen.hint("shuffle_hash"), ["scope_key", "b"]).filter(arrived & latest & (F.col("nt") >= F.col("ct") - window_ms))
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("nt"), F.desc("ne")))
+    return pairs.withColumn("rk", rank).filter(F.col("rk") <= neighbours).select("event_id", "ct", "cf", "scope_key", "ci", "ni", "nf", "rk")
+
+
+def decayed(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
+    """keys, value, latest, n: one for each row (ct, event_id: arrival; cf: its time), halved for each half-life that passes.
+
+    Of n rows in order of arrival the k-th has aged by the sum of the elapsed times after it, each at least 0. That sum is
+    taken within slices of arrival time first, each a group of its own, and then over the few slices of a key: no key's
+    rows meet in one task.
+    """
+    ordered = Window.partitionBy(*keys, "slice").orderBy(F.desc("ct"), F.desc("event_id"))
+    sliced = rows.select(*keys, "ct", "event_id", "cf", F.floor(F.col("ct") / SLICE_MS).alias("slice"))
+    sliced = sliced.withColumn("step", F.greatest(F.lit(0), F.coalesce(F.lag("cf").over(ordered) - F.col("cf"), F.lit(0))))
+    sliced = sliced.withColumn("age", F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("ct", "event_id")
+    parts = sliced.groupBy(*keys, "slice").agg(F.sum(C.decay(F.lit(1.0), F.col("age"), HALF_LIFE)).alias("w"), F.max("age").alias("span"), F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.count(F.lit(1)).alias("m"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("slice"))
+    between = F.greatest(F.lit(0), F.lag("first_cf").over(later) - F.col("last_cf")) + F.lag("span").over(later)
+    parts = parts.withColumn("step", F.coalesce(between, F.lit(0)))
+    parts = parts.withColumn("age", F.sum("step").over(later.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*keys).agg(F.sum(C.decay(F.col("w"), F.col("age"), HALF_LIFE)).alias(value), F.max_by("last_cf", "slice").alias(latest), F.sum("m").alias("n"))
 
 
 def edges(observed: DataFrame) -> DataFrame:
-    """src, dst, scope_key, weight, last_seen_ms, n: src was active when dst fired."""
-    rows = observed.filter("ni <> ci").select(F.col("ni").alias("src"), F.col("ci").alias("dst"), "scope_key", "ct")
-    return _decayed(rows, ["src", "dst"], "weight", "last_seen_ms").withColumnRenamed("scope", "scope_key")
+    """scope_key, src, dst, weight, last_seen_ms, n: src had fired by the time dst did."""
+    leads = F.col("nf") <= F.col("cf")
+    rows = observed.filter("ni <> ci").select("scope_key", F.when(leads, F.col("ni")).otherwise(F.col("ci")).alias("src"), F.when(leads, F.col("ci")).otherwise(F.col("ni")).alias("dst"), "ct", "event_id", "cf")
+    return decayed(rows, ["scope_key", "src", "dst"], "weight", "last_seen_ms")
 
 
 def node_stats(observed: DataFrame) -> DataFrame:
-    rows = observed.select(F.col("ni").alias("node"), "scope_key", "ct")
-    return _decayed(rows, ["node"], "observations", "last_observed_ms").withColumnRenamed("scope", "scope_key").drop("n")
+    """scope_key, node, observations, last_observed_ms: in how many rounds a node took part."""
+    return decayed(observed.withColumn("node", F.col("ni")), ["scope_key", "node"], "observations", "last_observed_ms").drop("n")
 
 
 def scope_stats(ordinary: DataFrame) -> DataFrame:
-    rows = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("fired_ms").alias("ct"))
-    return _decayed(rows, ["scope_key"], "rounds", "last_observed_ms").drop("scope").withColumnRenamed("n", "observed_revision")
+    """scope_key, rounds, last_observed_ms, observed_revision: every alert that leaves its incident active is a round."""
+    rows = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("ingested_ms").alias("ct"), "event_id", F.col("fired_ms").alias("cf"))
+    return decayed(rows, ["scope_key"], "rounds", "last_observed_ms").withColumnRenamed("n", "observed_revision")
 
 
 def rank_candidates(incidents: DataFrame) -> DataFrame:
@@ -60,6 +86,13 @@ def rank_candidates(incidents: DataFrame) -> DataFrame:
     return live.withColumn("rk", rank).filter(F.col("rk") <= NEIGHBOURS).select("scope_key", "incident_id", F.col("rk").cast("long").alias("rk"))
 
 
+def among(edges_: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The edges with both ends among the candidates."""
+    ends = candidates.select("scope_key", "incident_id")
+    inside = edges_.join(ends.withColumnRenamed("incident_id", "src"), ["scope_key", "src"], "left_semi")
+    return inside.join(ends.withColumnRenamed("incident_id", "dst"), ["scope_key", "dst"], "left_semi")
+
+
 def node_lead(edges_: DataFrame, nodes: DataFrame | None, scopes: DataFrame | None) -> DataFrame:
     """For each node: outbound and inbound contributions (decayed weight times lift), support and mean lift."""
     reference = edges_.groupBy("scope_key").agg(F.max("last_seen_ms").alias("ref"))
@@ -67,13 +100,16 @@ def node_lead(edges_: DataFrame, nodes: DataFrame | None, scopes: DataFrame | No
     if nodes is None:
         e = e.withColumn("lift", F.lit(1.0))
     else:
-        side = lambda name: nodes.select(F.col("node").alias(name), F.col("observations").alias(f"o_{name}"))
-        e = e.join(side("src"), "src", "left").join(side("dst"), "dst", "left").join(scopes.select("scope_key", "rounds"), "scope_key", "left")
+        side = lambda name: nodes.select("scope_key", F.col("node").alias(name), F.col("observations").alias(f"o_{name}"))
+        e = e.join(side("src"), ["scope_key", "src"], "left").join(side("dst"), ["scope_key", "dst"], "left").join(scopes.select("scope_key", "rounds"), "scope_key", "left")
         e = e.withColumn("lift", C.lift(F.col("w"), F.col("rounds"), F.col("o_src"), F.col("o_dst")))
     e = e.withColumn("c", F.col("w") * F.col("lift"))
     # one pass: an edge counts outbound for its source and inbound for its target
-    both = e.select("scope_key", F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("c").alias("o"), F.lit(0.0).alias("i"), F.col("w").alias("s"), F.col("lift").alias("l"), F.lit(1).alias("k")), F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("o"), F.col("c").alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("l"), F.lit(0).alias("k")))).alias("x")).select("scope_key", "x.*")
-    return both.groupBy("scope_key", "node").agg(F.sum("o").alias("outbound"), F.sum("i").alias("inbound"), F.sum("s").alias("support"), F.sum("l").alias("lifts"), F.sum("k").alias("n_out")).withColumn("mean_lift", F.col("lifts") / F.greatest("n_out", F.lit(1)))
+    source = F.struct(F.col("src").alias("node"), F.col("c").alias("o"), F.lit(0.0).alias("i"), F.col("w").alias("s"), F.col("lift").alias("l"), F.lit(1).alias("k"))
+    target = F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("o"), F.col("c").alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("l"), F.lit(0).alias("k"))
+    both = e.select("scope_key", F.explode(F.array(source, target)).alias("x")).select("scope_key", "x.*")
+    summed = both.groupBy("scope_key", "node").agg(F.sum("o").alias("outbound"), F.sum("i").alias("inbound"), F.sum("s").alias("support"), F.sum("l").alias("lifts"), F.sum("k").alias("n_out"))
+    return summed.withColumn("mean_lift", F.col("lifts") / F.greatest("n_out", F.lit(1)))
 
 
 def root_cause(lead: DataFrame) -> DataFrame:
@@ -83,25 +119,50 @@ def root_cause(lead: DataFrame) -> DataFrame:
     first = net.withColumns({"rk": F.row_number().over(order), "second": F.coalesce(F.lead("net").over(order), F.lit(0.0))}).filter("rk = 1")
     confidence = (F.col("net") - F.col("second")) / F.col("net") * F.least(F.lit(1.0), F.col("support") / FULL_SUPPORT)
     out = first.withColumns({"dominance": F.col("net") / F.col("outbound"), "confidence": confidence})
-    return out.filter((F.col("support") >= MIN_SUPPORT) & (F.col("dominance") >= MIN_DOMINANCE) & (F.col("confidence") >= MIN_CONFIDENCE)).select("scope_key", F.col("node").alias("leader"), "confidence", "support", "mean_lift")
+    clear = (F.col("support") >= MIN_SUPPORT) & (F.col("dominance") >= MIN_DOMINANCE) & (F.col("confidence") >= MIN_CONFIDENCE)
+    return out.filter(clear).select("scope_key", F.col("node").alias("leader"), "confidence", "support", "mean_lift")
 
 
-def components(strong: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (least node) of an edge table (src, dst): alternating stars, lineage cut by checkpoint()."""
-    spark = strong.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def hints(candidates: DataFrame, verdicts: DataFrame, incidents: DataFrame) -> DataFrame:
+    """scope_key, incident_id, hint of every candidate: its scope's verdict, or null, which withdraws what was said before."""
+    titled = verdicts.join(incidents.select(F.col("incident_id").alias("leader"), "title"), "leader", "left")
+    label = F.coalesce(F.nullif("title", F.lit("")), F.col("leader"))
+    said = titled.select("scope_key", F.concat(label, F.lit(" (confidence "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%)")).alias("hint"))
+    return candidates.select("scope_key", "incident_id").join(said, "scope_key", "left")
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
-    stars = strong.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct().checkpoint()
+
+def strong_neighbours(edges_: DataFrame, active: DataFrame, least: float = STORM_WEIGHT) -> DataFrame:
+    """scope_key, node, other, weight: of each active incident its strongest active neighbours in the scope, either way."""
+    strong = among(edges_.filter(F.col("weight") >= least), active)
+    both = strong.select("scope_key", F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionByName(strong.select("scope_key", F.col("dst").alias("node"), F.col("src").alias("other"), "weight"))
+    best = both.groupBy("scope_key", "node", "other").agg(F.max("weight").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("scope_key", "node").orderBy(F.round("weight", 6).desc(), "other"))
+    return best.withColumn("rk", rank).filter(F.col("rk") <= NEIGHBOURS).drop("rk")
+
+
+def group_roots(edges_: DataFrame, members: DataFrame) -> DataFrame:
+    """component, root (which most leads the others of its group, the least id of equals; null without inner edges), outbound."""
+    at = lambda name: members.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+    inside = edges_.join(at("src"), "src").join(at("dst"), "dst").filter("c_src = c_dst")
+    outbound = inside.groupBy(F.col("c_src").alias("component"), "src").agg(F.round(F.sum("weight"), 6).alias("outbound"))
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("outbound"), "src"))
+    return outbound.withColumn("rk", first).filter("rk = 1").select("component", F.col("src").alias("root"), "outbound")
+
+
+def components(strong: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """node, component (least node) of an edge table (src, dst): alternating stars, each round a table in the shared folder."""
+    stars = written(strong.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        stars = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().checkpoint()
+        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
+        stars = written(small.filter("u <> v").distinct(), "stars")
         state = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import incidents as I
-from .duck import ALERTS, INCIDENTS
+from .duck import ALERTS, INCIDENTS, RHYTHM
 from .registry import add, sql
 
 LABELS = "'cluster='||cluster||',environment='||environment||',pod='||pod"
@@ -33,18 +33,13 @@ add("fsm_transitions", lambda f: f.spark.createDataFrame([(s, t) for s in ("OPEN
 # roll-ups
 _ROLL = ["incident_id", "scope_key", "alert_count", "first_alert_ms", "last_alert_ms", "first_ingested_ms", "last_ingested_ms", "status", "severity", "title", "reopen_count"]
 add("incidents_rollup", lambda f: f.incidents().select(*_ROLL), f"SELECT {', '.join(_ROLL)} FROM incidents", INCIDENTS)
-add("noise_totals", lambda f: f.incidents().agg(F.sum("alert_count").alias("alerts_in"), F.count(F.lit(1)).alias("surfaced"), F.count_if(F.col("severity") == "critical").alias("paged"), F.round((F.sum("alert_count") - F.count(F.lit(1))) / F.sum("alert_count") * 100, 4).alias("reduction"), F.count_if(F.col("mean_gap") > 0).alias("firing")),
-    "SELECT CAST(sum(alert_count) AS BIGINT) AS alerts_in, count(*) AS surfaced, count(*) FILTER (WHERE severity='critical') AS paged, round((sum(alert_count)-count(*))/sum(alert_count)*100,4) AS reduction, count(*) FILTER (WHERE mean_gap>0) AS firing FROM incidents", INCIDENTS)
 sql("severity_mix", "SELECT severity, count(*) AS count, sum(alert_count) AS alerts, max(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS place FROM {incidents} GROUP BY severity",
     "SELECT severity, count(*) AS count, CAST(sum(alert_count) AS BIGINT) AS alerts, max(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS place FROM incidents GROUP BY severity", INCIDENTS, "incidents")
-sql("routing_mix", "SELECT CASE WHEN severity='critical' THEN 'pagerduty' ELSE 'slack' END AS route, count(*) AS count FROM {alerts} GROUP BY 1", "SELECT CASE WHEN severity='critical' THEN 'pagerduty' ELSE 'slack' END AS route, count(*) AS count FROM alerts GROUP BY 1", ALERTS, "alerts")
 add("lifecycle_counts", lambda f: f.incidents().groupBy("status").count().join(F.broadcast(f.spark.createDataFrame([(s,) for s in ("OPEN", "ACKNOWLEDGED", "QUIESCENT", "RESOLVED")], "status string")), "status", "right").select("status", F.coalesce("count", F.lit(0)).alias("n")),
     "SELECT s.status, count(i.status) AS n FROM (SELECT unnest(['OPEN','ACKNOWLEDGED','QUIESCENT','RESOLVED']) AS status) s LEFT JOIN incidents i ON i.status=s.status GROUP BY s.status", INCIDENTS)
 _SKEW = "CAST(fired_ms-ingested_ms AS BIGINT)"
-add("clock_skew", lambda f: f.alerts().groupBy("source", "scope_key").agg(F.max_by(F.col("fired_ms") - F.col("ingested_ms"), F.struct("fired_ms", "event_id")).alias("last_skew_ms"), F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("max_abs_skew_ms"), F.count(F.lit(1)).alias("samples")),
-    f"SELECT source, scope_key, arg_max({_SKEW}, {{'t': fired_ms, 'e': event_id}}) AS last_skew_ms, max(abs({_SKEW})) AS max_abs_skew_ms, count(*) AS samples FROM alerts GROUP BY ALL", ALERTS)
-add("clock_skew_worst", lambda f: f.alerts().groupBy("source", "scope_key").agg(F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("worst")).orderBy(F.desc("worst"), "source", "scope_key").limit(10),
-    f"SELECT source, scope_key, max(abs({_SKEW})) AS worst FROM alerts GROUP BY ALL ORDER BY worst DESC, source, scope_key LIMIT 10", ALERTS)
+add("clock_skew", lambda f: f.alerts().groupBy("source", "scope_key").agg(F.max_by(F.col("fired_ms") - F.col("ingested_ms"), F.struct("ingested_ms", "event_id")).alias("last_skew_ms"), F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("max_abs_skew_ms"), F.count(F.lit(1)).alias("samples")),
+    f"SELECT source, scope_key, arg_max({_SKEW}, {{'t': ingested_ms, 'e': event_id}}) AS last_skew_ms, max(abs({_SKEW})) AS max_abs_skew_ms, count(*) AS samples FROM alerts GROUP BY ALL", ALERTS)
 add("distinct_services", lambda f: f.o().select("scope_key", "service").distinct(), "SELECT DISTINCT scope_key, service FROM o", ALERTS)
 add("distinct_fps", lambda f: f.alerts().groupBy("scope_key").agg(F.countDistinct("inc").alias("n")), "SELECT scope_key, count(DISTINCT inc) AS n FROM alerts GROUP BY scope_key", ALERTS)
 
@@ -65,68 +60,24 @@ def _bucket_sql(n: int, columns: str) -> str:
 
 add("volume_histogram", lambda f: _buckets(8, f).select("bucket", F.col("ingested").alias("alerts")), _bucket_sql(8, "bucket, CAST(coalesce(ingested,0) AS BIGINT) AS alerts"), INCIDENTS)
 add("consolidation_series", lambda f: _buckets(12, f), _bucket_sql(12, "bucket, CAST(coalesce(ingested,0) AS BIGINT) AS ingested, coalesce(consolidated,0) AS consolidated"), INCIDENTS)
-add("quiet_window", lambda f: f.incidents().filter("status <> 'RESOLVED'").agg(F.max(F.col("last_ingested_ms") + 5000).alias("until_ms"), F.sum(F.greatest(F.lit(0), F.col("alert_count") - 1)).alias("absorbed"), F.round(F.avg(F.when(F.col("mean_gap") > 0, F.col("mean_gap"))), 3).alias("mean_gap"), F.count_if(F.col("mean_gap") > 0).alias("tracking")),
-    "SELECT max(last_ingested_ms+5000) AS until_ms, CAST(sum(greatest(0,alert_count-1)) AS BIGINT) AS absorbed, round(avg(CASE WHEN mean_gap>0 THEN mean_gap END),3) AS mean_gap, count(*) FILTER (WHERE mean_gap>0) AS tracking FROM incidents WHERE status<>'RESOLVED'", INCIDENTS)
-
 # joins and latest rows
-_OWN = lambda: Window.partitionBy("inc").orderBy(F.desc("fired_ms"), F.desc("event_id"))
-add("incident_latest_event", lambda f: f.incidents().select("incident_id", "status").join(f.o().withColumn("rn", F.row_number().over(_OWN())).filter("rn = 1").select(F.col("inc").alias("incident_id"), "event_id", "message"), "incident_id", "left"),
-    "SELECT i.incident_id, i.status, l.event_id, l.message FROM incidents i LEFT JOIN (SELECT inc, arg_max(event_id, seq) AS event_id, arg_max(message, seq) AS message FROM o GROUP BY inc) l ON l.inc=i.incident_id", INCIDENTS)
-add("incident_context", lambda f: f.incidents().join(f.o().groupBy("inc").agg(F.max_by("message", F.struct("fired_ms", "event_id")).alias("message"), F.max_by("source", F.struct("fired_ms", "event_id")).alias("source")), F.col("incident_id") == F.col("inc")).select("incident_id", "title", "message", "source"),
+add("incident_context", lambda f: f.incidents().join(f.o().groupBy("inc").agg(F.max_by("message", F.struct("ingested_ms", "event_id")).alias("message"), F.max_by("source", F.struct("ingested_ms", "event_id")).alias("source")), F.col("incident_id") == F.col("inc")).select("incident_id", "title", "message", "source"),
     "SELECT incident_id, title, l.message, l.source FROM incidents JOIN (SELECT inc, arg_max(message, seq) AS message, arg_max(source, seq) AS source FROM o GROUP BY inc) l ON l.inc=incident_id", INCIDENTS)
 add("asof_prev_alert", lambda f: I.gaps(f.o()).select("event_id", "prev_ms", "prev_status"), "SELECT event_id, prev_ms, prev_status FROM og", INCIDENTS)
-add("upsert_latest_per_key", lambda f: f.alerts().groupBy("source", "service").agg(F.max_by(F.struct("event_id", "status", "fired_ms"), F.struct("fired_ms", "event_id")).alias("r")).select("source", "service", "r.*"),
-    "SELECT source, service, event_id, status, fired_ms FROM (SELECT *, row_number() OVER (PARTITION BY source, service ORDER BY fired_ms DESC, event_id DESC) AS rn FROM alerts) WHERE rn=1", ALERTS)
-add("insert_or_ignore_first", lambda f: f.alerts().withColumn("rn", F.row_number().over(Window.partitionBy("inc").orderBy("fired_ms", "event_id"))).select("event_id", (F.col("rn") == 1).cast("int").alias("inserted")),
-    "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY inc ORDER BY fired_ms, event_id)=1 THEN 1 ELSE 0 END AS inserted FROM alerts", ALERTS)
+add("upsert_latest_per_key", lambda f: f.alerts().groupBy("source", "service").agg(F.max_by(F.struct("event_id", "status", "fired_ms"), F.struct("ingested_ms", "event_id")).alias("r")).select("source", "service", "r.*"),
+    "SELECT source, service, event_id, status, fired_ms FROM (SELECT *, row_number() OVER (PARTITION BY source, service ORDER BY ingested_ms DESC, event_id DESC) AS rn FROM alerts) WHERE rn=1", ALERTS)
+add("insert_or_ignore_first", lambda f: f.alerts().withColumn("rn", F.row_number().over(Window.partitionBy("inc").orderBy("ingested_ms", "event_id"))).select("event_id", (F.col("rn") == 1).cast("int").alias("inserted")),
+    "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY inc ORDER BY ingested_ms, event_id)=1 THEN 1 ELSE 0 END AS inserted FROM alerts", ALERTS)
 
 # windows and rhythm
 add("alert_gaps", lambda f: I.gaps(f.o()).select("event_id", "gap"), "SELECT event_id, greatest(0, fired_ms-prev_ms) AS gap FROM og WHERE prev_ms IS NOT NULL UNION ALL SELECT event_id, NULL FROM og WHERE prev_ms IS NULL", INCIDENTS)
-_EWMA = INCIDENTS.replace("WITH ", "") + """,
-g AS (SELECT *, list(greatest(0, fired_ms-prev_ms)) FILTER (WHERE prev_ms IS NOT NULL) OVER (PARTITION BY inc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS gs, first_value(ingested_ms) OVER (PARTITION BY inc ORDER BY seq) AS first_ms FROM og),
-h AS (SELECT *, coalesce(len(gs),0) AS n FROM g),
-fold AS (SELECT *, CASE WHEN n>0 THEN list_reduce(list_transform(gs, lambda x: {'m': CAST(x AS DOUBLE), 'v': CAST(0 AS DOUBLE)}), lambda s, x: {'m': (1-2.0::DOUBLE/(n+1))*s.m + 2.0::DOUBLE/(n+1)*x.m, 'v': (1-2.0::DOUBLE/(n+1))*(s.v + 2.0::DOUBLE/(n+1)*pow(x.m-s.m,2))}) END AS f FROM h),
-ew AS (SELECT *, CASE WHEN status='resolved' THEN 0 WHEN n<=1 THEN CAST(coalesce(greatest(0, fired_ms-prev_ms),0) AS DOUBLE) ELSE f.m END AS mean_ms, CASE WHEN status='resolved' OR n<=1 THEN 0 ELSE f.v END AS variance FROM fold),
-qd AS (SELECT *, ingested_ms + CASE WHEN n>1 THEN CAST(greatest(1, ceil(least(mean_ms+sqrt(variance), 300000.0))) AS BIGINT) ELSE 5000 END AS raw_at FROM ew),
-dl AS (SELECT *, CASE WHEN status='resolved' THEN NULL WHEN first_ms<=0 OR raw_at<=first_ms+600000 THEN raw_at ELSE greatest(first_ms+600000, ingested_ms+1) END AS quiet_at_ms FROM qd)"""
-add("ewma_prefix", lambda f: I.rhythm(f.o()).select("event_id", F.round("mean_ms", 3).alias("mean_ms"), F.round(F.sqrt("variance"), 2).alias("deviation")), "SELECT event_id, round(mean_ms,3) AS mean_ms, round(sqrt(variance),2) AS deviation FROM dl", _EWMA)
-add("quiet_deadline", lambda f: I.rhythm(f.o()).select("event_id", "quiet_at_ms"), "SELECT event_id, quiet_at_ms FROM dl", _EWMA)
-add("quiet_transitions", lambda f: I.quiet_transitions(f.o()).select("inc", "quiet_at_ms"),
-    """SELECT inc, arg_min(quiet_at_ms, seq) AS quiet_at_ms FROM (SELECT *, lead(ingested_ms) OVER (PARTITION BY inc ORDER BY seq) AS nx,
-    sum(CASE WHEN status<>'resolved' AND (prev_status IS NULL OR prev_status='resolved') THEN 1 ELSE 0 END) OVER (PARTITION BY inc ORDER BY seq) AS stretch FROM dl)
-    WHERE quiet_at_ms IS NOT NULL AND (nx IS NULL OR quiet_at_ms<nx) GROUP BY inc, stretch""", _EWMA)
-add("reopen_count", lambda f: I.gaps(f.o()).select("event_id", F.sum(((F.col("prev_status") == "resolved") & (F.col("status") != "resolved")).cast("int")).over(Window.partitionBy("inc").orderBy("fired_ms", "event_id")).cast("long").alias("reopens")).withColumn("reopens", F.coalesce("reopens", F.lit(0))),
+add("ewma_prefix", lambda f: I.rhythm(f.o()).select("event_id", F.round("mean_ms", 3).alias("mean_ms"), F.round(F.sqrt("variance"), 2).alias("deviation")), "SELECT event_id, round(mean_ms,3) AS mean_ms, round(sqrt(variance),2) AS deviation FROM dl", RHYTHM)
+add("quiet_deadline", lambda f: I.rhythm(f.o()).select("event_id", "quiet_at_ms"), "SELECT event_id, quiet_at_ms FROM dl", RHYTHM)
+add("reopen_count", lambda f: I.gaps(f.o()).select("event_id", F.sum(((F.col("prev_status") == "resolved") & (F.col("status") != "resolved")).cast("int")).over(Window.partitionBy("inc").orderBy("ingested_ms", "event_id")).cast("long").alias("reopens")).withColumn("reopens", F.coalesce("reopens", F.lit(0))),
     "SELECT event_id, CAST(sum(CASE WHEN prev_status='resolved' AND status<>'resolved' THEN 1 ELSE 0 END) OVER (PARTITION BY inc ORDER BY seq) AS BIGINT) AS reopens FROM og", INCIDENTS)
-add("silence_threshold", lambda f: f.incidents().select("incident_id", C.silence_threshold(F.col("mean_gap"), F.lit(0.0), F.col("severity"), F.col("reopen_count")).alias("threshold_ms")),
-    "SELECT incident_id, CAST(floor(least(greatest(mean_gap*6, 900000.0)*CASE WHEN severity='critical' THEN 20.0/6.0 ELSE 1.0 END*pow(1.5, CAST(least(reopen_count,6) AS DOUBLE)), 21600000.0)) AS BIGINT) AS threshold_ms FROM incidents", INCIDENTS)
-add("silence_overdue", lambda f: _overdue(f), """SELECT incident_id, now_ms-last_ingested_ms AS silent_ms FROM incidents, (SELECT max(ingested_ms) AS now_ms FROM o)
-    WHERE status<>'RESOLVED' AND now_ms-last_ingested_ms >= floor(least(greatest(mean_gap*6, 900000.0)*CASE WHEN severity='critical' THEN 20.0/6.0 ELSE 1.0 END*pow(1.5, CAST(least(reopen_count,6) AS DOUBLE)), 21600000.0))""", INCIDENTS)
-
-
-def _overdue(f):
-    now = f.o().agg(F.max("ingested_ms").alias("now_ms"))
-    silent = f.incidents().filter("status <> 'RESOLVED'").join(F.broadcast(now)).withColumn("silent_ms", F.col("now_ms") - F.col("last_ingested_ms"))
-    return silent.filter(F.col("silent_ms") >= C.silence_threshold(F.col("mean_gap"), F.lit(0.0), F.col("severity"), F.col("reopen_count"))).select("incident_id", "silent_ms")
-
-
-add("silence_episodes", lambda f: f.o().select("inc", F.timestamp_millis("fired_ms").alias("t")).groupBy("inc", F.session_window("t", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("inc", F.unix_millis("w.start").alias("start_ms"), "n"),
-    """SELECT inc, min(fired_ms) AS start_ms, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY inc ORDER BY seq) AS ep FROM (SELECT *, CASE WHEN prev_ms IS NULL OR fired_ms-prev_ms>=900000 THEN 1 ELSE 0 END AS brk FROM og)) GROUP BY inc, ep""", INCIDENTS)
-add("recover_deadlines", lambda f: I.rhythm(f.o()).groupBy("inc").agg(F.max_by(F.struct("status", "quiet_at_ms", "ingested_ms"), F.struct("fired_ms", "event_id")).alias("r")).filter("r.status <> 'resolved' AND r.quiet_at_ms > r.ingested_ms + 10000").select("inc", "r.quiet_at_ms"),
-    "SELECT inc, arg_max(quiet_at_ms, seq) AS quiet_at_ms FROM dl GROUP BY inc HAVING arg_max(status, seq)<>'resolved' AND arg_max(quiet_at_ms, seq) > arg_max(ingested_ms, seq)+10000", _EWMA)
-
 # sorting and top-k
 add("noisiest", lambda f: f.incidents().orderBy(F.desc("alert_count"), "incident_id").limit(5).select("incident_id", "alert_count"), "SELECT incident_id, alert_count FROM incidents ORDER BY alert_count DESC, incident_id LIMIT 5", INCIDENTS)
 add("snapshot_incidents", lambda f: f.incidents().orderBy(F.desc("last_ingested_ms"), "incident_id").limit(100).select("incident_id", "status", "alert_count"), "SELECT incident_id, status, alert_count FROM incidents ORDER BY last_ingested_ms DESC, incident_id LIMIT 100", INCIDENTS)
-add("incidents_recent", lambda f: f.incidents().filter(F.col("last_ingested_ms") > I_CUT).select("incident_id", "last_ingested_ms"), "SELECT incident_id, last_ingested_ms FROM incidents WHERE last_ingested_ms > 1704108000000", INCIDENTS)
-I_CUT = 1704108000000
-_RANKED = lambda: F.row_number().over(Window.partitionBy("scope_key").orderBy(C.pick(F.col("severity"), C.PRIORITIES, 9), F.desc("last_ingested_ms"), "incident_id"))
-add("incidents_by_urgency", lambda f: f.incidents().select("incident_id", _RANKED().cast("long").alias("place")), "SELECT incident_id, row_number() OVER (PARTITION BY scope_key ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, last_ingested_ms DESC, incident_id) AS place FROM incidents", INCIDENTS)
-sql("incident_search", "SELECT incident_id FROM {incidents} WHERE severity IN ('high','medium') AND contains(lower(title), 'auth') AND status <> 'RESOLVED'", "SELECT incident_id FROM incidents WHERE severity IN ('high','medium') AND contains(lower(title), 'auth') AND status <> 'RESOLVED'", INCIDENTS, "incidents")
-sql("normalize_incident", "SELECT incident_id, CASE status WHEN 'ACKNOWLEDGED' THEN 'ack' WHEN 'QUIESCENT' THEN 'quiet' WHEN 'RESOLVED' THEN 'closed' ELSE 'open' END AS lifecycle, coalesce(nullif(title,''),'untitled') AS title FROM {incidents}",
-    "SELECT incident_id, CASE status WHEN 'ACKNOWLEDGED' THEN 'ack' WHEN 'QUIESCENT' THEN 'quiet' WHEN 'RESOLVED' THEN 'closed' ELSE 'open' END AS lifecycle, coalesce(nullif(title,''),'untitled') AS title FROM incidents", INCIDENTS, "incidents")
-sql("audit_labels", "SELECT event_id, CASE WHEN bypass IS NOT NULL THEN 'Critical bypass' WHEN row_number() OVER (PARTITION BY inc, bypass IS NULL ORDER BY fired_ms, event_id) > 1 THEN 'Aggregated' ELSE 'Recorded' END AS label FROM {alerts}",
-    "SELECT event_id, CASE WHEN bypass IS NOT NULL THEN 'Critical bypass' WHEN row_number() OVER (PARTITION BY inc, bypass IS NULL ORDER BY fired_ms, event_id) > 1 THEN 'Aggregated' ELSE 'Recorded' END AS label FROM alerts", ALERTS, "alerts")
-
 # event-time windows
 _T = lambda: F.timestamp_millis("fired_ms")
 add("alerts_tumbling", lambda f: f.alerts().groupBy(F.window(_T(), "15 minutes").alias("w"), "alertname").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "alertname", "n"), "SELECT fired_ms//900000*900000 AS start_ms, alertname, count(*) AS n FROM alerts GROUP BY ALL", ALERTS)

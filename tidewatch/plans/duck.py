@@ -1,4 +1,7 @@
-"""The alert model in DuckDB SQL: common table expressions that the oracle queries build on."""
+"""The alert model in DuckDB SQL: common table expressions that the oracle queries build on.
+
+Alerts are numbered in their order of arrival: ingest time, then id.
+"""
 
 ALERTS = """
 ev AS (SELECT *, CAST(json_extract_string(props,'$.k') AS INT) AS k, epoch_us(ts)//1000 AS ms FROM events),
@@ -20,31 +23,55 @@ alerts AS (SELECT *, scope_key||'|'||service||'|'||alertname||'|'||severity_raw
    WHEN regexp_matches(txt,'payment|billing|checkout') AND regexp_matches(txt,'failure|failed|declined|error') THEN 'PAYMENT_FAILURE'
    WHEN regexp_matches(txt,'auth|authentication|login|identity') AND regexp_matches(txt,'outage|unavailable|failure|failed|down') THEN 'AUTH_OUTAGE'
    WHEN regexp_matches(txt,'data|database|storage|backup|replication') AND regexp_matches(txt,'loss|corrupt|deleted|destroyed') THEN 'DATA_LOSS' END AS bypass FROM a1),
-o AS (SELECT *, row_number() OVER (ORDER BY fired_ms, event_id) AS seq FROM alerts WHERE bypass IS NULL)"""
+o AS (SELECT *, row_number() OVER (ORDER BY ingested_ms, event_id) AS seq FROM alerts WHERE bypass IS NULL)"""
+
+#: The mean and variance that a list of gaps folds into, from its first one on.
+FOLD = """list_reduce(list_transform({gs}, lambda x: {{'m': CAST(x AS DOUBLE), 'v': CAST(0 AS DOUBLE)}}),
+    lambda s, x: {{'m': (1-2.0::DOUBLE/({n}+1))*s.m + 2.0::DOUBLE/({n}+1)*x.m, 'v': (1-2.0::DOUBLE/({n}+1))*(s.v + 2.0::DOUBLE/({n}+1)*pow(x.m-s.m,2))}})"""
+#: When an incident is quiet: after now, of n gaps, within the span from first.
+QUIET = """CASE WHEN {first}<=0 OR {now}+{w}<={first}+600000 THEN {now}+{w} ELSE greatest({first}+600000, {now}+1) END"""
+WAIT = "(CASE WHEN {n}>1 THEN CAST(greatest(1, ceil(least({m}+sqrt({v}), 300000.0))) AS BIGINT) ELSE 5000 END)"
 
-INCIDENTS = ALERTS + """,
+INCIDENTS = ALERTS + f""",
 og AS (SELECT *, lag(status) OVER w AS prev_status, lag(fired_ms) OVER w AS prev_ms FROM o WINDOW w AS (PARTITION BY inc ORDER BY seq)),
-incidents AS (SELECT inc AS incident_id, any_value(scope_key) AS scope_key, any_value(service) AS service, any_value(alertname) AS alertname,
-  any_value(severity) AS severity, any_value(service||' — '||alertname) AS title, count(*) AS alert_count,
-  min(fired_ms) AS first_alert_ms, arg_max(fired_ms, seq) AS last_alert_ms, arg_min(ingested_ms, seq) AS first_ingested_ms, arg_max(ingested_ms, seq) AS last_ingested_ms,
+i0 AS (SELECT inc AS incident_id, any_value(scope_key) AS scope_key, any_value(service) AS service, any_value(alertname) AS alertname,
+  any_value(severity) AS severity, any_value(service||' — '||alertname) AS title, arg_max(message, seq) AS summary, count(*) AS alert_count,
+  arg_min(fired_ms, seq) AS first_alert_ms, arg_max(fired_ms, seq) AS last_alert_ms, min(ingested_ms) AS first_ingested_ms, max(ingested_ms) AS last_ingested_ms,
   CASE WHEN arg_max(status, seq)='resolved' THEN 'RESOLVED' ELSE 'ACKNOWLEDGED' END AS status,
   count(*) FILTER (WHERE prev_status='resolved' AND status<>'resolved') AS reopen_count,
-  coalesce(avg(CASE WHEN prev_ms IS NOT NULL THEN greatest(0, fired_ms-prev_ms) END), 0.0) AS mean_gap
-  FROM og GROUP BY inc)"""
+  list(greatest(0, fired_ms-prev_ms) ORDER BY seq) FILTER (WHERE prev_ms IS NOT NULL) AS gs
+  FROM og GROUP BY inc),
+i1 AS (SELECT *, coalesce(len(gs),0) AS n, CASE WHEN status<>'RESOLVED' AND len(gs)>0 THEN {FOLD.format(gs="gs", n="len(gs)")} END AS f FROM i0),
+i2 AS (SELECT *, coalesce(f.m, 0.0) AS mean_gap, coalesce(f.v, 0.0) AS variance FROM i1),
+i3 AS (SELECT *, {WAIT.format(n="n", m="mean_gap", v="variance")} AS wait FROM i2),
+incidents AS (SELECT * EXCLUDE (gs, n, f, wait), CASE WHEN status<>'RESOLVED' THEN {QUIET.format(first="first_ingested_ms", now="last_ingested_ms", w="wait")} END AS quiet_at_ms,
+  CASE WHEN severity='critical' THEN 'pagerduty' ELSE 'slack' END AS route FROM i3)"""
+
+RHYTHM = INCIDENTS + f""",
+g AS (SELECT *, list(greatest(0, fired_ms-prev_ms)) FILTER (WHERE prev_ms IS NOT NULL) OVER (PARTITION BY inc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS gs, first_value(ingested_ms) OVER (PARTITION BY inc ORDER BY seq) AS first_ms FROM og),
+h AS (SELECT *, coalesce(len(gs),0) AS n FROM g),
+fold AS (SELECT *, CASE WHEN n>0 THEN {FOLD.format(gs="gs", n="n")} END AS f FROM h),
+ew AS (SELECT *, CASE WHEN status='resolved' THEN 0 WHEN n<=1 THEN CAST(coalesce(greatest(0, fired_ms-prev_ms),0) AS DOUBLE) ELSE f.m END AS mean_ms, CASE WHEN status='resolved' OR n<=1 THEN 0 ELSE f.v END AS variance FROM fold),
+dw AS (SELECT *, {WAIT.format(n="n", m="mean_ms", v="variance")} AS wait FROM ew),
+dl AS (SELECT *, CASE WHEN status<>'resolved' THEN {QUIET.format(first="first_ms", now="ingested_ms", w="wait")} END AS quiet_at_ms FROM dw)"""
+
+
+def _aged(rows: str, keys: str, value: str, latest: str) -> str:
+    """One for each row (cs: arrival, ct: its time), halved each hour of the time that passes after it, late arrivals ageing nothing."""
+    return f"""(SELECT {keys}, sum(exp(-ln(2.0)*age/3600000.0)) AS {value}, arg_max(ct, cs) AS {latest}, count(*) AS n FROM (
+    SELECT *, sum(d) OVER (PARTITION BY {keys} ORDER BY cs DESC ROWS UNBOUNDED PRECEDING) AS age FROM (
+    SELECT *, greatest(0, coalesce(lag(ct) OVER (PARTITION BY {keys} ORDER BY cs DESC) - ct, 0)) AS d FROM {rows})) GROUP BY {keys})"""
+
 
-EDGES = INCIDENTS + """,
-pairs AS (SELECT c.seq AS cs, c.inc AS ci, c.scope_key, c.fired_ms AS ct, n.inc AS ni, max(n.seq) AS ns
-  FROM o c JOIN o n ON n.scope_key=c.scope_key AND n.seq<=c.seq AND n.fired_ms>=c.fired_ms-900000
+EDGES = INCIDENTS + f""",
+pairs AS (SELECT c.seq AS cs, c.event_id, c.inc AS ci, c.scope_key, c.fired_ms AS ct, n.inc AS ni, max(n.seq) AS ns
+  FROM o c JOIN o n ON n.scope_key=c.scope_key AND n.seq<=c.seq AND n.ingested_ms>=c.ingested_ms-900000
   WHERE c.status<>'resolved' GROUP BY ALL),
-act AS (SELECT p.*, row_number() OVER (PARTITION BY cs ORDER BY ns DESC) AS rk FROM pairs p JOIN o ON o.seq=p.ns WHERE o.status<>'resolved'),
-obs AS (SELECT ni AS src, ci AS dst, ct, scope_key FROM act WHERE rk<=25 AND ni<>ci),
-edges AS (SELECT src, dst, any_value(scope_key) AS scope_key, sum(exp(-ln(2.0)*(mx-ct)/3600000.0)) AS weight, max(mx) AS last_seen_ms, count(*) AS n
-  FROM (SELECT *, max(ct) OVER (PARTITION BY src,dst) AS mx FROM obs) GROUP BY src,dst),
-nobs AS (SELECT ni AS node, scope_key, ct FROM act WHERE rk<=25),
-nodes AS (SELECT node, any_value(scope_key) AS scope_key, sum(exp(-ln(2.0)*(mx-ct)/3600000.0)) AS observations, max(mx) AS last_observed_ms
-  FROM (SELECT *, max(ct) OVER (PARTITION BY node) AS mx FROM nobs) GROUP BY node),
-scopes AS (SELECT scope_key, sum(exp(-ln(2.0)*(mx-ct)/3600000.0)) AS rounds, max(mx) AS last_observed_ms, count(*) AS observed_revision
-  FROM (SELECT scope_key, fired_ms AS ct, max(fired_ms) OVER (PARTITION BY scope_key) AS mx FROM o WHERE status<>'resolved') GROUP BY scope_key)"""
+act AS (SELECT * FROM (SELECT p.*, o.fired_ms AS nf, row_number() OVER (PARTITION BY cs ORDER BY ns DESC) AS rk FROM pairs p JOIN o ON o.seq=p.ns WHERE o.status<>'resolved') WHERE rk<=25),
+obs AS (SELECT scope_key, CASE WHEN nf<=ct THEN ni ELSE ci END AS src, CASE WHEN nf<=ct THEN ci ELSE ni END AS dst, ct, cs FROM act WHERE ni<>ci),
+edges AS {_aged("obs", "scope_key, src, dst", "weight", "last_seen_ms")},
+nodes AS {_aged("(SELECT scope_key, ni AS node, ct, cs FROM act)", "scope_key, node", "observations", "last_observed_ms")},
+scopes AS (SELECT * RENAME (n AS observed_revision) FROM {_aged("(SELECT scope_key, fired_ms AS ct, seq AS cs FROM o WHERE status<>'resolved')", "scope_key", "rounds", "last_observed_ms")})"""
 
 OUTBOX = INCIDENTS + """,
 outbox AS (SELECT event_id AS outbox_id, inc AS incident_id, ['slack','pagerduty','email'][CAST(event_id%3 AS INT)+1] AS channel,

@@ -58,7 +58,6 @@ _REL = "CASE WHEN s<5 THEN 'just now' WHEN s<60 THEN concat(s,'s ago') WHEN m<60
 _REL_SQL = "SELECT event_id, {rel} AS ago FROM (SELECT *, CAST(floor(h/24.0+0.5) AS BIGINT) AS d FROM (SELECT *, CAST(floor(m/60.0+0.5) AS BIGINT) AS h FROM (SELECT *, CAST(floor(s/60.0+0.5) AS BIGINT) AS m FROM (SELECT event_id, CAST(floor((1704180000000-fired_ms)/1000.0+0.5) AS BIGINT) AS s FROM {t}) w) x) y) z"
 sql("relative_time", _REL_SQL.format(rel=_REL, t="{alerts}"), _REL_SQL.format(rel=_REL, t="alerts"), ALERTS, "alerts")
 
-sql("hint_parse", "SELECT event_id, CAST(regexp_extract(h, '\\\\(confidence ([0-9]+)%\\\\)$', 1) AS INT) AS confidence FROM (SELECT event_id, concat(alertname, ' (confidence ', k, '%)') AS h FROM {alerts})", "SELECT event_id, k AS confidence FROM alerts", ALERTS, "alerts")
 
 # documents stand for repository files
 _PATH = "concat(source, CASE doc_id%11 WHEN 3 THEN '/node_modules/' WHEN 5 THEN '/../' ELSE '/' END, 'f', doc_id, CASE doc_id%7 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.exe' WHEN 3 THEN '.ts' ELSE '.md' END)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph, incidents
+from ..operators.store import written
 from ..sources.alerts import ordinary, read_alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,13 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query need: written once, to the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = written(build(), name)
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -64,6 +72,16 @@ def add(name: str, build: Callable[[Frames], DataFrame], oracle: str | None = No
         ORACLE_SQL[name] = f"WITH {ctes}\n{oracle}" if ctes else oracle
 
 
+def query(name: str, oracle: str | None = None, ctes: str | None = None) -> Callable:
+    """Registers the decorated function of the model's tables under name."""
+
+    def register(build: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
+        add(name, build, oracle, ctes)
+        return build
+
+    return register
+
+
 def sql(name: str, spark_text: str, oracle: str, ctes: str | None, *tables: str) -> None:
     """Registers a query that is Spark SQL over model tables, named in braces."""
 
