@@ -2,31 +2,65 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import LIFECYCLE
+from ..functions.columns import LIFECYCLE, PRIORITIES
 
-GENESIS = "0" * 64
+GENESIS, SLICE_MS = "0" * 64, 3_600_000
 FLAP_REOPENS, FLAP_DIGEST_MS = 3, 1_800_000
 THRESHOLD, PROBE_BASE, PROBE_MAX = 3, 5, 120
 
 
+def counted(rows: DataFrame, keys: list[str], ms: str, by: list[str], **what: Column) -> DataFrame:
+    """rows with, for each of what, how many rows of the key hold it up to each row, in the order of by (ms first).
+
+    Counted within slices of time, each a group of its own, and then over the slices' totals: no key's rows meet in one task.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col(ms) / SLICE_MS))
+    within = Window.partitionBy(*keys, "__slice").orderBy(*by)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*keys, "__slice").agg(*(F.count_if(c).alias(f"__all_{n}") for n, c in what.items()))
+    totals = totals.select(*keys, "__slice", *(F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in what))
+    # a join on nothing but the slice where there is no key
+    out = sliced.join(totals, [*keys, "__slice"])
+    out = out.withColumns({n: F.col(f"__before_{n}") + F.coalesce(F.sum(c.cast("long")).over(within), F.lit(0)) for n, c in what.items()})
+    return out.drop("__slice", *(f"__before_{n}" for n in what))
+
+
 def ledger(ordinary: DataFrame) -> DataFrame:
-    """Each incident's alerts in order of arrival; the payload is what the chain covers."""
-    seq = F.row_number().over(Window.partitionBy("inc").orderBy("fired_ms", "event_id")).cast("long")
-    return ordinary.select("inc", "event_id", seq.alias("seq"), F.concat_ws("|", "status", "message", F.col("fired_ms").cast("string")).alias("payload"))
+    """Alerts in order of arrival: seq within the incident, ledger_seq within the whole ledger; the payload is what the chain covers."""
+    seq = F.row_number().over(Window.partitionBy("inc").orderBy("ingested_ms", "event_id")).cast("long")
+    payload = F.concat_ws("|", "status", "message", F.col("fired_ms").cast("string"))
+    numbered = counted(ordinary, [], "ingested_ms", ["ingested_ms", "event_id"], ledger_seq=F.lit(True))
+    return numbered.select("inc", "event_id", "ingested_ms", seq.alias("seq"), "ledger_seq", payload.alias("payload"))
 
 
 def hash_chain(ordinary: DataFrame) -> DataFrame:
-    """inc, event_id, seq, payload, prev_hash, row_hash: each incident's chain starts from the genesis hash."""
-    rows = ledger(ordinary).groupBy("inc").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "payload"))).alias("rows"))
-    hashes = F.aggregate("rows", F.array(F.lit(GENESIS)), lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), r["payload"]), 256))))
-    each = rows.select("inc", F.explode(F.arrays_zip(F.col("rows").alias("r"), F.slice(hashes, F.lit(1), F.size("rows")).alias("p"), F.slice(hashes, F.lit(2), F.size("rows")).alias("h"))).alias("x"))
-    return each.select("inc", "x.r.event_id", "x.r.seq", "x.r.payload", F.col("x.p").alias("prev_hash"), F.col("x.h").alias("row_hash"))
+    """inc, event_id, seq, payload, prev_hash, row_hash: each incident's chain starts from the genesis hash.
+
+    A chain is serial; sorted partitions stream by, and one hash is held at a time, however long the chain.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, GENESIS
+        for frame in frames:
+            before, after = [], []
+            for inc, payload in zip(frame["inc"], frame["payload"], strict=True):
+                if inc != key:
+                    key, last = inc, GENESIS
+                before.append(last)
+                last = hashlib.sha256((last + payload).encode()).hexdigest()
+                after.append(last)
+            yield frame.assign(prev_hash=before, row_hash=after)
+
+    rows = ordinary.withColumn("seq", F.row_number().over(Window.partitionBy("inc").orderBy("ingested_ms", "event_id")).cast("long"))
+    rows = rows.select("inc", "event_id", "seq", F.concat_ws("|", "status", "message", F.col("fired_ms").cast("string")).alias("payload"))
+    return rows.sortWithinPartitions("inc", "seq").mapInPandas(run, "inc string, event_id long, seq long, payload string, prev_hash string, row_hash string")
 
 
 def tampered(chain: DataFrame) -> DataFrame:
@@ -74,7 +108,7 @@ def lifecycle(ordinary: DataFrame) -> DataFrame:
                 rows.append((inc, event, state["state"], state["alert_count"], state["reopen_count"], bool(state["notify"])))
             yield pd.DataFrame(rows, columns=["incident_id", "event_id", "state", "alert_count", "reopen_count", "notify"])
 
-    ordered = ordinary.select("inc", "event_id", "status", "ingested_ms", "fired_ms").repartition("inc").sortWithinPartitions("inc", "fired_ms", "event_id")
+    ordered = ordinary.select("inc", "event_id", "status", "ingested_ms").repartition("inc").sortWithinPartitions("inc", "ingested_ms", "event_id")
     return ordered.mapInPandas(run, "incident_id string, event_id long, state string, alert_count long, reopen_count long, notify boolean")
 
 
@@ -99,37 +133,54 @@ def breaker_step(state: dict, kind: str, at_ms: int, retry_after: float | None =
     return new
 
 
-def breaker(outbox: DataFrame) -> DataFrame:
-    """channel, outbox_id, at_ms, state, failures, step after each delivery result, channel by channel and hour by hour.
+def results(outbox: DataFrame) -> DataFrame:
+    """What the channel answers: kind (ok, message_fatal, transient, channel_down, probe_ok or probe_fail) of each row, with the
+    rows pending and the urgent ones among them so far, and the stretch: successes before it. A success closes the breaker
+    whatever came before, so stretches are folded apart from each other."""
+    k, http = F.col("k"), F.col("http")
+    sent = F.when((http >= 200) & (http < 300), "ok").when(http == 429, "transient").when(http.isin(401, 403) | (http >= 500), "channel_down").otherwise("message_fatal")
+    kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "probe_ok").otherwise("probe_fail")).otherwise(sent)
+    urgent = (F.col("status") == "pending") & (F.coalesce(F.col("priority") if "priority" in outbox.columns else F.lit(PRIORITIES["medium"]), F.lit(2)) <= 1)
+    rows = outbox.withColumn("kind", kind)
+    rows = counted(rows, ["channel"], "created_ms", ["created_ms", "outbox_id"], oks=F.col("kind") == "ok", queued=F.col("status") == "pending", urgent=urgent)
+    return rows.select("channel", (F.col("oks") - (F.col("kind") == "ok").cast("long")).alias("stretch"), "outbox_id", F.col("created_ms").alias("at_ms"), "kind", "queued", "urgent")
 
-    A breaker's state is serial in its channel; the hour is a reset point (a drained queue), which bounds a fold's length.
-    """
+
+def breaker(outbox: DataFrame) -> DataFrame:
+    """channel, stretch, outbox_id, at_ms, kind, state, failures, step, probe_ms, queued, urgent after each result of a channel, in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for frame in frames:
             rows = []
-            for channel, hour, box, at, http, k in zip(frame.channel, frame.hour, frame.outbox_id, frame.created_ms, frame.http, frame.k, strict=True):
-                if (channel, hour) != key:
-                    key, state = (channel, hour), {"state": "CLOSED", "failures": 0, "step": 0, "opened": None, "probe": None}
-                if state["state"] == "OPEN":
-                    kind = "probe_ok" if k % 3 == 0 else "probe_fail"
-                else:
-                    kind = "ok" if k % 7 == 0 else "transient" if http == 429 else "channel_down" if http in (401, 503) else "message_fatal" if http >= 400 else "ok"
+            for channel, stretch, at, kind in zip(frame["channel"], frame["stretch"], frame["at_ms"], frame["kind"], strict=True):
+                if (channel, stretch) != key:
+                    key, state = (channel, stretch), {"state": "CLOSED", "failures": 0, "step": 0, "opened": None, "probe": None}
                 state = breaker_step(state, kind, int(at))
-                rows.append((channel, hour, box, at, kind, state["state"], state["failures"], state["step"]))
-            yield pd.DataFrame(rows, columns=["channel", "hour", "outbox_id", "at_ms", "kind", "state", "failures", "step"])
+                rows.append((state["state"], state["failures"], state["step"], state["probe"]))
+            found = pd.DataFrame(rows, columns=["state", "failures", "step", "probe_ms"], index=frame.index)
+            yield frame.assign(state=found["state"], failures=found["failures"], step=found["step"], probe_ms=found["probe_ms"].astype("float64"))
 
-    ordered = outbox.select("channel", F.floor(F.col("created_ms") / 3600000).alias("hour"), "outbox_id", "created_ms", "http", "k").repartition("channel", "hour").sortWithinPartitions("channel", "hour", "created_ms", "outbox_id")
-    return ordered.mapInPandas(run, "channel string, hour long, outbox_id long, at_ms long, kind string, state string, failures int, step int")
+    ordered = results(outbox).repartition("channel", "stretch").sortWithinPartitions("channel", "stretch", "at_ms", "outbox_id")
+    folded = ordered.mapInPandas(run, "channel string, stretch long, outbox_id long, at_ms long, kind string, queued long, urgent long, state string, failures int, step int, probe_ms double")
+    return folded.withColumn("probe_ms", F.col("probe_ms").cast("long"))
 
 
 def outages(folded: DataFrame) -> DataFrame:
-    """channel, detected_ms, recovered_ms (null while open), probes: from the state changes of the breaker."""
-    w = Window.partitionBy("channel", "hour").orderBy("at_ms", "outbox_id")
-    down = folded.withColumns({"is_down": F.col("state") != "CLOSED", "was_down": F.coalesce(F.lag(F.col("state") != "CLOSED").over(w), F.lit(False))})
-    numbered = down.withColumn("outage", F.sum((F.col("is_down") & ~F.col("was_down")).cast("int")).over(w)).filter("is_down or was_down")
-    return numbered.groupBy("channel", "hour", "outage").agg(F.min("at_ms").alias("detected_ms"), F.max(F.when(~F.col("is_down"), F.col("at_ms"))).alias("recovered_ms"), F.count_if(F.col("kind") == "probe_fail").alias("probes"))
+    """channel, detected_ms, recovered_ms (null while open), probes, queued_at_peak, failed_over: from the breaker's state changes.
+
+    A stretch ends with the success that closes the breaker, so it holds one outage at most.
+    """
+    place = F.struct("at_ms", "outbox_id")
+    down = F.col("state") != "CLOSED"
+    grouped = folded.groupBy("channel", "stretch").agg(
+        F.min(F.when(down, F.struct("at_ms", "outbox_id", "queued", "urgent"))).alias("d"),
+        F.max_by("kind", place).alias("last"),
+        F.max("at_ms").alias("end_ms"),
+        F.count_if(down & (F.col("kind") == "probe_fail")).alias("probes"),
+    )
+    recovered = F.when(F.col("last") == "ok", F.col("end_ms"))
+    return grouped.filter("d IS NOT NULL").select("channel", F.col("d.at_ms").alias("detected_ms"), recovered.alias("recovered_ms"), "probes", F.col("d.queued").alias("queued_at_peak"), F.col("d.urgent").alias("failed_over"))
 
 
 def installations(orders: DataFrame) -> DataFrame:
@@ -154,7 +205,8 @@ def installations(orders: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key, *state)], columns=["inst", "at_us", "prio", "revision", "action"])
 
     action = F.element_at(F.array(*map(F.lit, ["created", "suspend", "unsuspend", "removed", "deleted"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    prio = F.when(action == "deleted", 100).when(action == "suspend", 90).when(action == "removed", 70).otherwise(10)
+    # some events open all repositories
+    prio = F.when(action == "deleted", 100).when(action == "suspend", 90).when(F.col("o_orderkey") % 7 == 3, 80).when(action == "removed", 70).otherwise(10)
     events = orders.select(F.col("o_custkey").alias("inst"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at_us"), prio.alias("prio"), action.alias("action"), "o_orderkey")
     ordered = events.repartition("inst").sortWithinPartitions("inst", "o_orderkey")
     return ordered.mapInPandas(run, "inst long, at_us long, prio int, revision long, action string")
@@ -167,7 +219,7 @@ def skew_warnings(alerts: DataFrame) -> DataFrame:
         key, last = None, None
         for frame in frames:
             rows = []
-            for source, scope, event, at, skew in zip(frame.source, frame.scope_key, frame.event_id, frame.ingested_ms, frame.skew, strict=True):
+            for source, scope, event, at, skew in zip(frame["source"], frame["scope_key"], frame["event_id"], frame["ingested_ms"], frame["skew"], strict=True):
                 if (source, scope) != key:
                     key, last = (source, scope), None
                 if abs(skew) >= 120_000 and (last is None or at - last >= 300_000):

@@ -199,12 +199,12 @@ def silence_threshold(f: Frames) -> DataFrame:
 @query(
     "silence_overdue",
     f"""SELECT incident_id, now_ms-last_ingested_ms AS silent_ms, 'silence:'||incident_id||':'||(now_ms//60000) AS idempotency_key, 'inferred_silence' AS reason
-    FROM incidents, (SELECT max(ingested_ms) AS now_ms FROM o) WHERE status<>'RESOLVED' AND now_ms-last_ingested_ms >= {_THRESHOLD}""",
+    FROM incidents, (SELECT max(ingested_ms)+10800000 AS now_ms FROM o) WHERE status<>'RESOLVED' AND now_ms-last_ingested_ms >= {_THRESHOLD}""",
     INCIDENTS,
 )
 def silence_overdue(f: Frames) -> DataFrame:
-    """Active incidents that have been silent for their threshold by the newest arrival: resolved by inference, once a minute."""
-    now = f.o().agg(F.max("ingested_ms").alias("now_ms"))  # one row
+    """Active incidents that a sweep three hours after the newest arrival finds silent for their threshold: resolved by inference, once a minute."""
+    now = f.o().agg((F.max("ingested_ms") + 10_800_000).alias("now_ms"))  # one row
     silent = f.incidents().filter("status <> 'RESOLVED'").join(F.broadcast(now)).withColumn("silent_ms", F.col("now_ms") - F.col("last_ingested_ms"))
     key = F.concat_ws(":", F.lit("silence"), "incident_id", F.floor(F.col("now_ms") / 60000).cast("string"))
     return silent.filter(F.col("silent_ms") >= _threshold()).select("incident_id", "silent_ms", key.alias("idempotency_key"), F.lit("inferred_silence").alias("reason"))

@@ -31,11 +31,6 @@ def _coalesced(f):
 add("coalesce_pending", _coalesced, """SELECT outbox_id, CASE WHEN outbox_id<winner THEN 'superseded' ELSE 'pending' END AS status, CASE WHEN outbox_id<winner THEN winner END AS superseded_by,
     CASE WHEN outbox_id=winner THEN coalesce(carried, via) ELSE via END AS via FROM (SELECT *, max(outbox_id) OVER w AS winner, arg_max(via, CASE WHEN via IS NOT NULL THEN outbox_id END) OVER w AS carried FROM outbox WHERE status='pending' WINDOW w AS (PARTITION BY incident_id, channel))""", OUTBOX)
 add("effective_action", lambda f: f.outbox().join(f.incidents().select("incident_id", F.col("status").alias("live")), "incident_id", "left").select("outbox_id", F.when(F.col("live") == "RESOLVED", "resolve").otherwise(F.col("action")).alias("action")), "SELECT outbox_id, CASE WHEN i.status='RESOLVED' THEN 'resolve' ELSE action END AS action FROM outbox LEFT JOIN incidents i USING (incident_id)", OUTBOX)
-add("hydrate_payloads", lambda f: f.outbox().filter("status = 'pending'").join(f.incidents().select("incident_id", "title", "severity", F.col("status").alias("state"), "alert_count"), "incident_id", "left").select("outbox_id", "title", "severity", "state", "alert_count"), "SELECT outbox_id, title, severity, i.status AS state, alert_count FROM outbox b LEFT JOIN incidents i USING (incident_id) WHERE b.status='pending'", OUTBOX)
-_KIND = "CASE WHEN http=429 THEN 'transient' WHEN http IN (401,403) THEN 'channel_down' WHEN http BETWEEN 500 AND 599 THEN 'channel_down' WHEN http BETWEEN 400 AND 499 THEN 'message_fatal' ELSE 'ok' END"
-sql("failure_classify", f"SELECT outbox_id, http, {_KIND} AS kind FROM {{outbox}}", f"SELECT outbox_id, http, {_KIND} AS kind FROM outbox", OUTBOX, "outbox")
-_OUT = "SELECT outbox_id, CASE kind WHEN 'ok' THEN 'sent' WHEN 'message_fatal' THEN 'dead' WHEN 'channel_down' THEN 'pending' ELSE CASE WHEN attempts+1>=5 THEN 'dead' ELSE 'pending' END END AS status, CASE WHEN kind='transient' THEN attempts+1 ELSE attempts END AS attempts, CASE kind WHEN 'channel_down' THEN created_ms+1000 WHEN 'transient' THEN created_ms+CAST(least(power(2.0, attempts+1), 300.0) AS BIGINT)*1000 END AS next_ms"
-sql("delivery_outcome", f"{_OUT} FROM (SELECT *, {_KIND} AS kind FROM {{outbox}})", f"{_OUT} FROM (SELECT *, {_KIND} AS kind FROM outbox)", OUTBOX, "outbox")
 add("failover_select", lambda f: _failover(f.outbox()), "SELECT outbox_id, channel, CASE channel WHEN 'slack' THEN 'email' WHEN 'pagerduty' THEN 'slack' END AS target FROM outbox", OUTBOX)
 
 
@@ -44,62 +39,13 @@ def _failover(outbox, available=("email", "slack")):
     return outbox.select("outbox_id", "channel", F.get(F.filter(chain, lambda c: c.isin(*available)), F.lit(0)).alias("target"))
 
 
-add("failover_pending", lambda f: f.outbox().filter("status = 'pending' AND coalesce(priority, 2) <= 1 AND channel = 'slack' AND via IS NULL").select("outbox_id", F.lit("pagerduty").alias("channel"), F.when(F.col("action") == "update", "create").otherwise(F.col("action")).alias("action"), F.col("outbox_id").alias("failover_of")),
-    "SELECT outbox_id, 'pagerduty' AS channel, CASE WHEN action='update' THEN 'create' ELSE action END AS action, outbox_id AS failover_of FROM outbox WHERE status='pending' AND coalesce(priority,2)<=1 AND channel='slack' AND via IS NULL", OUTBOX)
-_DIG_I = f"SELECT count(*) AS touched, count_if(severity='critical') AS critical, count_if(status='RESOLVED') AS resolved FROM {{i}} WHERE last_ingested_ms BETWEEN {NOW - 9000000} AND {NOW + 9000000}"
-_DIG_O = f"SELECT count_if(status='pending') AS queued, count_if(status='superseded') AS collapsed, count_if(failover_of IS NOT NULL) AS failed_over FROM {{o}} WHERE created_ms BETWEEN {NOW - 9000000} AND {NOW + 9000000}"
-_DIG = "SELECT CAST(touched AS BIGINT) AS touched, CAST(coalesce(critical,0) AS BIGINT) AS critical, CAST(coalesce(resolved,0) AS BIGINT) AS resolved, CAST(coalesce(queued,0) AS BIGINT) AS queued, CAST(coalesce(collapsed,0) AS BIGINT) AS collapsed, CAST(coalesce(failed_over,0) AS BIGINT) AS failed_over FROM ({a}) x, ({b}) y WHERE touched>0 OR queued>0"
-sql("recovery_digest", _DIG.format(a=_DIG_I.format(i="{incidents}"), b=_DIG_O.format(o="{outbox}")), _DIG.format(a=_DIG_I.format(i="incidents"), b=_DIG_O.format(o="outbox")), OUTBOX, "incidents", "outbox")
 _SIG = f"SELECT count_if(status='pending') AS pending, count_if(status='dead') AS dead, {NOW}-min(CASE WHEN status='pending' THEN created_ms END) AS oldest_ms FROM"
 sql("outbox_signals", f"{_SIG} {{outbox}}", f"SELECT count(*) FILTER (WHERE status='pending') AS pending, count(*) FILTER (WHERE status='dead') AS dead, {NOW}-min(CASE WHEN status='pending' THEN created_ms END) AS oldest_ms FROM outbox", OUTBOX, "outbox")
-sql("selfcheck_signals", "SELECT max(ingested_ms) AS latest_ms, max(abs(fired_ms-ingested_ms)) AS worst_skew_ms FROM {alerts}", "SELECT max(ingested_ms) AS latest_ms, max(abs(fired_ms-ingested_ms)) AS worst_skew_ms FROM alerts", ALERTS, "alerts")
 
 
-def channel_signals(folded):
-    """open_channels (by name) and ongoing_outages: from each channel's latest state of the breaker."""
-    last = folded.groupBy("channel").agg(F.max_by("state", F.struct("hour", "at_ms", "outbox_id")).alias("state"))
-    return last.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("state") == "OPEN", F.col("channel")))), ",").alias("open_channels"), F.count_if(F.col("state") != "CLOSED").alias("ongoing_outages"))
-
-
-def verdict(outbox, alerts):
-    box = outbox.agg(F.count_if(F.col("status") == "dead").alias("dead"), ((F.lit(NOW) - F.min(F.when(F.col("status") == "pending", F.col("created_ms")))) / 1000).alias("oldest_s"))
-    skew = alerts.agg(F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("skew"))
-    s = box.join(F.broadcast(skew)).join(F.broadcast(channel_signals(folds.breaker(outbox))))
-    fatal = F.array_compact(F.array(F.when(F.col("oldest_s") > 900, "stalled")))
-    degraded = F.array_compact(F.array(F.when(F.col("open_channels") != "", "channel-open"), F.when(F.col("dead") > 10, "dead-letters"), F.when(F.col("skew") > 120000, "clock-skew")))
-    found = F.when(F.size(fatal) > 0, "unhealthy").when(F.size(degraded) > 0, "degraded").otherwise("ok")
-    return s.select(found.alias("verdict"), F.array_join(F.concat(fatal, degraded), ",").alias("reasons"), (F.size(fatal) == 0).alias("should_heartbeat"))
-
-
-add("selfcheck_channels", lambda f: channel_signals(folds.breaker(f.outbox())))
-add("selfcheck_verdict", lambda f: verdict(f.outbox(), f.alerts()), f"""SELECT CASE WHEN oldest_s>900 THEN 'unhealthy' WHEN dead>10 OR skew>120000 THEN 'degraded' ELSE 'ok' END AS verdict,
-    concat_ws(',', CASE WHEN oldest_s>900 THEN 'stalled' END, CASE WHEN dead>10 THEN 'dead-letters' END, CASE WHEN skew>120000 THEN 'clock-skew' END) AS reasons, NOT oldest_s>900 AS should_heartbeat
-    FROM (SELECT count(*) FILTER (WHERE status='dead') AS dead, ({NOW}-min(CASE WHEN status='pending' THEN created_ms END))/1000.0 AS oldest_s FROM outbox), (SELECT max(abs(fired_ms-ingested_ms)) AS skew FROM alerts)""", OUTBOX)
 add("external_ref_map", lambda f: f.outbox().filter("external_ref IS NOT NULL").groupBy("channel", "external_ref").agg(F.max_by("incident_id", "outbox_id").alias("incident_id")), "SELECT channel, external_ref, arg_max(incident_id, outbox_id) AS incident_id FROM outbox WHERE external_ref IS NOT NULL GROUP BY ALL", OUTBOX)
 add("inbound_dedup", lambda f: f.outbox().filter("external_ref IS NOT NULL").groupBy("external_ref").agg(F.min("outbox_id").alias("applied"), (F.count(F.lit(1)) - 1).alias("replays")), "SELECT external_ref, min(outbox_id) AS applied, count(*)-1 AS replays FROM outbox WHERE external_ref IS NOT NULL GROUP BY ALL", OUTBOX)
 add("external_fanout", lambda f: f.outbox().filter("external_ref IS NOT NULL").select("outbox_id", "channel", F.explode(F.array(*map(F.lit, ["slack", "pagerduty", "email"]))).alias("target")).filter("target <> channel").select("outbox_id", "target"), "SELECT outbox_id, target FROM outbox, (SELECT unnest(['slack','pagerduty','email']) AS target) WHERE external_ref IS NOT NULL AND target<>channel", OUTBOX)
 add("pd_projection", lambda f: f.outbox().select("outbox_id", C.pick(F.col("priority"), {0: "critical", 1: "error", 2: "warning", 3: "info"}, "info").alias("severity"), C.pick(F.col("action"), {"create": "trigger", "update": "acknowledge", "resolve": "resolve"}).alias("event_action")),
     "SELECT outbox_id, CASE priority WHEN 0 THEN 'critical' WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS severity, CASE action WHEN 'create' THEN 'trigger' WHEN 'update' THEN 'acknowledge' ELSE action END AS event_action FROM outbox", OUTBOX)
 add("backoff_schedule", lambda f: f.spark.range(0, 12).select(F.col("id").cast("int").alias("n"), C.retry_backoff(F.col("id")).alias("retry_s"), C.probe_delay(F.col("id")).alias("probe_s")), "SELECT n, CAST(least(pow(2.0,n),300) AS BIGINT) AS retry_s, CAST(least(5*pow(2.0,n),120) AS BIGINT) AS probe_s FROM (SELECT CAST(unnest(range(12)) AS INT) AS n)")
-add("email_subjects", lambda f: f.incidents().select("incident_id", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.when(F.col("status") == "RESOLVED", "Resolved: ").otherwise(""), "title").alias("subject")), "SELECT incident_id, '['||upper(severity)||'] '||CASE WHEN status='RESOLVED' THEN 'Resolved: ' ELSE '' END||title AS subject FROM incidents", INCIDENTS)
-add("storm_card", lambda f: f.incidents().groupBy("scope_key").agg(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("alert_count"), "incident_id"))), 1, 8).alias("m"), F.count(F.lit(1)).alias("n")).select("scope_key", "n", F.array_join(F.transform("m", lambda x: x["incident_id"]), ",").alias("shown")),
-    "SELECT scope_key, n, array_to_string(list_transform(m[1:8], lambda x: x.i), ',') AS shown FROM (SELECT scope_key, list({'c': -alert_count, 'i': incident_id} ORDER BY -alert_count, incident_id) AS m, count(*) AS n FROM incidents GROUP BY scope_key)", INCIDENTS)
-
-# ledger: a hash chain for each incident, folded over its ordered rows
-add("ledger_seq", lambda f: folds.ledger(f.o()).select("event_id", "seq"), "SELECT event_id, row_number() OVER (PARTITION BY inc ORDER BY seq) AS seq FROM o", ALERTS)
-_CHAIN = ALERTS.replace("ev AS", "RECURSIVE ev AS", 1) + """,
-led AS (SELECT inc, event_id, row_number() OVER (PARTITION BY inc ORDER BY seq) AS n, status||'|'||message||'|'||fired_ms AS p FROM o),
-chain(inc, n, event_id, h) AS (SELECT inc, n, event_id, sha256(repeat('0',64)||p) FROM led WHERE n=1 UNION ALL SELECT l.inc, l.n, l.event_id, sha256(c.h||l.p) FROM chain c JOIN led l ON l.inc=c.inc AND l.n=c.n+1)"""
-add("hash_chain", lambda f: folds.hash_chain(f.o()).select("event_id", "row_hash"), "SELECT event_id, h AS row_hash FROM chain", _CHAIN)
-add("verify_chain", lambda f: folds.verify_chain(folds.tampered(folds.hash_chain(f.o()))), "SELECT inc, min(n) AS first_bad FROM (SELECT inc, n FROM led WHERE event_id%997=5) GROUP BY inc", _CHAIN)
-add("stream_deltas", lambda f: folds.ledger(f.o()).select("inc", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("seq") * 10 + i)).alias("stream_id")).filter("stream_id > 12"),
-    "SELECT inc, s*10+i AS stream_id FROM (SELECT inc, row_number() OVER (PARTITION BY inc ORDER BY seq) AS s FROM o), (SELECT unnest([1,2,3,4]) AS i) WHERE s<=3 AND s*10+i>12", ALERTS)
-add("breaker_fold", lambda f: folds.breaker(f.outbox()))
-add("outage_intervals", lambda f: folds.outages(folds.breaker(f.outbox())))
-add("incident_lifecycle", lambda f: folds.lifecycle(f.o()).groupBy("incident_id").agg(F.max_by("state", "alert_count").alias("state"), F.max("alert_count").alias("alert_count"), F.max("reopen_count").alias("reopen_count")),
-    "SELECT incident_id, status AS state, alert_count, reopen_count FROM incidents", INCIDENTS)
-add("flap_notifications", lambda f: folds.lifecycle(f.o()).filter("notify").groupBy("incident_id").agg(F.count(F.lit(1)).alias("cards")))
-add("installation_fold", lambda f: folds.installations(f.table("orders")))
-add("skew_warnings", lambda f: folds.skew_warnings(f.alerts()))
-add("redirect_deliveries", lambda f: f.outbox().filter("status = 'pending'").join(f.incidents().groupBy("scope_key").agg(F.min(F.struct("first_alert_ms", "incident_id"))["incident_id"].alias("anchor")), F.substring_index("incident_id", "|", 1) == F.col("scope_key")).select("outbox_id", "anchor"),
-    "SELECT outbox_id, anchor FROM outbox JOIN (SELECT scope_key, arg_min(incident_id, {'t': first_alert_ms, 'i': incident_id}) AS anchor FROM incidents GROUP BY scope_key) a ON split_part(incident_id,'|',1)=a.scope_key WHERE status='pending'", OUTBOX)
