@@ -51,7 +51,7 @@ TEXTS = [
 
 
 def test_sanitize_text_equals_plain_python_on_every_rule_and_document(spark):
-    from tidewatch.plans.ingest import sanitize_text
+    from tidewatch.functions.text import sanitize_text
 
     rows = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "t string")
     for maximum in (None, 30, 2000):
@@ -84,7 +84,7 @@ def test_patch_plan_takes_long_documents_up_to_its_byte_bound(spark, tmp_path):
 
 def test_an_open_channel_alone_degrades_the_verdict(spark):
     from tidewatch.operators import folds
-    from tidewatch.plans.queue import NOW, channel_signals, verdict
+    from tidewatch.plans.delivery import NOW, channel_signals, verdict
 
     def outbox(https):
         rows = [(c, i, NOW + i, h, 1, "sent") for i, (c, h) in enumerate(https)]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import new_path
 from .duck import OUTBOX
 from .registry import add
 
@@ -34,7 +32,7 @@ def tree_walk(entries: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """id, path, depth of a tree given as (id, parent, name): one join for each level until one is empty, roots have no parent;
     cycles are never reached from a root. What lies deeper than depth is an error."""
     spark = entries.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")).rstrip("/") + f"/tree-{uuid.uuid4().hex[:12]}"
+    folder = new_path(spark, "tree")
     level, paths = entries.filter("parent IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), []
     while True:
         # each level is kept as a table, read again by the next one and by the result
@@ -50,7 +48,7 @@ def tree_walk(entries: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 
 add("tree_walk", lambda f: tree_walk(f.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 8, F.expr("p_partkey div 8")).alias("parent"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))),
     """WITH RECURSIVE e AS (SELECT p_partkey AS id, CASE WHEN p_partkey>=8 THEN p_partkey//8 END AS parent, 'n'||p_partkey AS name FROM part),
-    w(id, path, depth) AS (SELECT id, name, 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path||'/'||e.name, w.depth+1 FROM w JOIN e ON e.parent=w.id WHERE w.depth<5) SELECT id, path, depth FROM w""")
+    w(id, path, depth) AS (SELECT id, name, 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path||'/'||e.name, w.depth+1 FROM w JOIN e ON e.parent=w.id WHERE w.depth<64) SELECT id, path, depth FROM w""")
 
 
 def causal_layers(edges: DataFrame) -> DataFrame:

@@ -136,9 +136,12 @@ LIFTED, UNLIFTED = _LEAD.replace("{unit}", "false"), _LEAD.replace("{unit}", "tr
 
 
 def _lead(f: Frames, lifted: bool = True) -> DataFrame:
-    observed = f.kept("observed", f.observed)
-    inside = G.among(G.edges(observed), G.rank_candidates(f.incidents()))
-    return G.node_lead(inside, G.node_stats(observed) if lifted else None, f.scopes() if lifted else None)
+    candidates = f.kept("candidates", lambda: G.rank_candidates(f.incidents()))
+    # of each scope a few nodes are in question: their rounds alone are summed
+    rounds = f.observed().join(candidates.select("scope_key", F.col("incident_id").alias("ni")), ["scope_key", "ni"], "left_semi")
+    observed = f.kept("observed", lambda: rounds)
+    inside = observed.join(candidates.select("scope_key", F.col("incident_id").alias("ci")), ["scope_key", "ci"], "left_semi")
+    return G.node_lead(G.edges(inside), G.node_stats(observed) if lifted else None, f.scopes() if lifted else None)
 
 
 def _verdicts(f: Frames, lifted: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Payload sources, ingest authorisation, text functions and the repository model."""
+"""Payload sources and ingest authorisation."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import pick
 from ..sources import payloads as P
 from .duck import ALERTS
-from .registry import add, sql
+from .registry import add, query, sql
 
 _ISO = lambda: F.date_format(F.timestamp_millis("fired_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -50,100 +50,51 @@ def _tokens(spark):
 
 
 add("parse_tokens", lambda f: _tokens(f.spark), "SELECT unnest(['prom','dog','graf','open']) AS name, unnest(['t1','t2','t3','t4']) AS token, unnest(['production/*','*','staging/c1','*']) AS scope")
-add("ingest_scope_filter", lambda f: f.alerts().withColumn("token", pick(F.col("source"), {"prometheus": "t1", "datadog": "t2", "grafana": "t3"})).join(F.broadcast(_tokens(f.spark)), "token").filter((F.col("scope") == "*") | F.expr("startswith(scope_key, rtrim('*', scope))")).select("event_id", "name"),
-    "SELECT event_id, CASE source WHEN 'prometheus' THEN 'prom' WHEN 'datadog' THEN 'dog' ELSE 'graf' END AS name FROM alerts WHERE source='datadog' OR (source='prometheus' AND starts_with(scope_key,'production/')) OR (source='grafana' AND starts_with(scope_key,'staging/c1'))", ALERTS)
-sql("redact_settings", "SELECT name, CASE WHEN name RLIKE '(?i)token|secret|password|key' THEN '***' ELSE value END AS value FROM VALUES ('API_TOKEN','a'),('PORT','80'),('db_password','b'),('HOST','c') AS t(name, value)",
-    "SELECT name, CASE WHEN regexp_matches(name, '(?i)token|secret|password|key') THEN '***' ELSE value END AS value FROM (VALUES ('API_TOKEN','a'),('PORT','80'),('db_password','b'),('HOST','c')) AS t(name, value)", None)
+#: Nine alerts to a posted batch.
+BATCH = 9
+
+
+def authorised(alerts, tokens_):
+    """alerts (with batch and token) and the name of the token that may post them: a scope of *, or a prefix before a *. One
+    alert outside its token's scope vetoes the whole batch."""
+    # the parsed setting: a row for each configured token
+    known = alerts.join(F.broadcast(tokens_), "token", "left")
+    allowed = F.coalesce((F.col("scope") == "*") | F.expr("startswith(scope_key, rtrim('*', scope))"), F.lit(False))
+    return known.withColumn("ok", F.min(allowed).over(Window.partitionBy("batch"))).filter("ok")
+
+
+@query(
+    "ingest_scope_filter",
+    f"""SELECT event_id, name FROM (SELECT *, bool_and(fits) OVER (PARTITION BY batch) AS ok FROM (SELECT event_id, event_id//{BATCH}*3+event_id%3 AS batch, CASE source WHEN 'prometheus' THEN 'prom' WHEN 'datadog' THEN 'dog' ELSE 'graf' END AS name,
+    source='datadog' OR (source='prometheus' AND starts_with(scope_key,'production/')) OR (source='grafana' AND starts_with(scope_key,'staging/c1')) AS fits FROM alerts)) WHERE ok""",
+    ALERTS,
+)
+def ingest_scope_filter(f):
+    """Batches of one source each that their token may post as a whole."""
+    token = pick(F.col("source"), {"prometheus": "t1", "datadog": "t2", "grafana": "t3"})
+    batch = F.expr(f"event_id div {BATCH}") * 3 + F.col("event_id") % 3
+    return authorised(f.alerts().select("event_id", "scope_key", token.alias("token"), batch.alias("batch")), _tokens(f.spark)).select("event_id", "name")
+
+
+# Parts of names that are secret, and one that is although it does not say so.
+SENSITIVE, SENSITIVE_NAMES = ["TOKEN", "SECRET", "PASSWORD", "KEY", "CREDENTIAL"], ["HEARTBEAT_URL"]
+
+
+def redacted(name, value):
+    """A setting's value as it may be shown: secret ones are not, unless they are empty."""
+    upper = F.upper(name)
+    secret = upper.isin(SENSITIVE_NAMES) | upper.rlike("|".join(SENSITIVE))
+    return F.when(secret & (F.coalesce(value, F.lit("")) != ""), "***redacted***").otherwise(value)
+
+
+_SETTINGS = [("API_TOKEN", "a"), ("PORT", "80"), ("db_password", "b"), ("HOST", "c"), ("heartbeat_url", "https://h"), ("HEARTBEAT_URLS", "n"), ("GITHUB_CREDENTIALS", "d"), ("EMPTY_KEY", ""), ("NO_SECRET", None)]
+
+
+@query("redact_settings", "SELECT * FROM (VALUES ('API_TOKEN','***redacted***'),('PORT','80'),('db_password','***redacted***'),('HOST','c'),('heartbeat_url','***redacted***'),('HEARTBEAT_URLS','n'),('GITHUB_CREDENTIALS','***redacted***'),('EMPTY_KEY',''),('NO_SECRET',NULL)) AS t(name, value)")
+def redact_settings(f):
+    return f.spark.createDataFrame(_SETTINGS, "name string, value string").select("name", redacted(F.col("name"), F.col("value")).alias("value"))
+
+
 _REL = "CASE WHEN s<5 THEN 'just now' WHEN s<60 THEN concat(s,'s ago') WHEN m<60 THEN concat(m,'m ago') WHEN h<24 THEN concat(h,'h ago') ELSE concat(d,'d ago') END"
 _REL_SQL = "SELECT event_id, {rel} AS ago FROM (SELECT *, CAST(floor(h/24.0+0.5) AS BIGINT) AS d FROM (SELECT *, CAST(floor(m/60.0+0.5) AS BIGINT) AS h FROM (SELECT *, CAST(floor(s/60.0+0.5) AS BIGINT) AS m FROM (SELECT event_id, CAST(floor((1704180000000-fired_ms)/1000.0+0.5) AS BIGINT) AS s FROM {t}) w) x) y) z"
 sql("relative_time", _REL_SQL.format(rel=_REL, t="{alerts}"), _REL_SQL.format(rel=_REL, t="alerts"), ALERTS, "alerts")
-
-
-# documents stand for repository files
-_PATH = "concat(source, CASE doc_id%11 WHEN 3 THEN '/node_modules/' WHEN 5 THEN '/../' ELSE '/' END, 'f', doc_id, CASE doc_id%7 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.exe' WHEN 3 THEN '.ts' ELSE '.md' END)"
-_FILES = f"(SELECT doc_id, source, {_PATH} AS path, n_chars AS size, text FROM {{d}})"
-_SAFE = "doc_id%11 NOT IN (3,5) AND doc_id%7 NOT IN (1,2)"
-SUFFIXES = ["c", "cc", "cpp", "cs", "css", "go", "h", "hpp", "html", "java", "js", "json", "jsx", "kt", "md", "php", "py", "rb", "rs", "sh", "sql", "toml", "ts", "tsx", "txt", "yaml", "yml"]  # fixed values: suffixes that may be read
-
-
-def safe_path(path):
-    """Whether a repository path may be read: relative, plain, neither generated nor secret, of an allowed suffix."""
-    parts = F.split(F.lower(path), "/")
-    name = F.element_at(parts, -1)
-    plain = (F.length(path) <= 512) & ~F.contains(path, F.lit("\\")) & ~F.contains(path, F.lit("\0")) & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
-    generated = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.isin(".next", "build", "coverage", "dist", "node_modules", "vendor"))
-    secret = F.exists(parts, lambda p: p.isin(".aws", ".ssh", "credentials", "secrets")) | name.isin("id_ed25519", "id_rsa", ".env") | name.startswith(".env.")
-    return plain & ~generated & ~secret & ~name.rlike(r"\.(map|min\.css|min\.js|lock)$") & F.regexp_extract(name, r"\.([^.]*)$", 1).isin(SUFFIXES)
-
-
-def _files(f):
-    return f.spark.sql(f"SELECT * FROM {_FILES.format(d='{docs}')}", docs=f.table("documents"))
-
-
-def tokens(text):
-    """Words of letters, digits, _ and - (2 to 64 long), lower-cased, and their parts of 2 or more."""
-    whole = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9_-]{1,63})"), F.lit(1)), F.lower)
-    return F.array_distinct(F.concat(whole, F.filter(F.flatten(F.transform(whole, lambda w: F.split(w, "[_-]+"))), lambda p: F.length(p) >= 2)))
-
-
-add("safe_paths", lambda f: _files(f).filter(safe_path(F.col("path"))).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_SAFE}")
-add("patch_paths", lambda f: _files(f).filter(safe_path(F.col("path")) & ~F.col("path").rlike(r"[\x00-\x1f:]|[. ](/|$)|(^|/)(?i:con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|/|$)")).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_SAFE}")
-add("language_hint", lambda f: _files(f).select("doc_id", pick(F.regexp_extract("path", r"\.([^./]*)$", 1), {"py": "python", "js": "javascript", "ts": "typescript", "md": "markdown"}).alias("language")), "SELECT doc_id, CASE doc_id%7 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN NULL WHEN 3 THEN 'typescript' ELSE 'markdown' END AS language FROM documents")
-add("signal_tokens", lambda f: _files(f).select("doc_id", F.array_join(F.array_sort(tokens(F.col("source"))), ",").alias("tokens")), "SELECT doc_id, lower(source) AS tokens FROM documents")
-add("source_rank", lambda f: _files(f).filter(safe_path(F.col("path")) & (F.col("size") <= 8192)).withColumn("hits", F.size(F.array_intersect(tokens(F.col("path")), F.array(F.lit("src3"), F.lit("ts"))))).withColumn("rk", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("hits"), "size", "path"))).filter("rk <= 6").select("source", "doc_id", F.col("rk").cast("long").alias("rk")),
-    f"SELECT source, doc_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN source='src3' THEN 1 ELSE 0 END + CASE WHEN doc_id%7=3 THEN 1 ELSE 0 END DESC, size, path) AS rk FROM {_FILES.format(d='documents')} WHERE {_SAFE} AND size<=8192) WHERE rk<=6")
-
-
-def _budget(f, total=48 * 1024):
-    """Files taken in order while they fit; one that does not is skipped, not the end."""
-    rows = _files(f).filter(safe_path(F.col("path")) & (F.col("size") <= 8192)).groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct("path", "size", "doc_id"))), 1, 40).alias("files"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    step = lambda s, x: F.when(s["used"] + x["size"] <= total, F.struct((s["used"] + x["size"]).alias("used"), F.array_append(s["taken"], x["doc_id"]).alias("taken"))).otherwise(s)
-    return rows.select("source", F.aggregate("files", start, step).alias("r")).select("source", F.col("r.used").alias("used"), F.size("r.taken").cast("long").alias("files"))
-
-
-add("source_context", _budget)
-add("snapshot_inventory", lambda f: _files(f).dropDuplicates(["path"]).groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")), "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY source")
-add("excerpt_rows", lambda f: _files(f).filter(F.trim("text") != "").select("doc_id", (F.size(F.split("text", "\n", -1))).cast("long").alias("lines")), "SELECT doc_id, len(text)-len(replace(text, chr(10), ''))+1 AS lines FROM documents WHERE trim(text)<>''")
-add("context_digest", lambda f: _files(f).groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "size"))), lambda x: F.concat_ws("|", x["path"], x["size"].cast("string"))), "\n"), 256).alias("digest")),
-    f"SELECT source, sha256(string_agg(path||'|'||size, chr(10) ORDER BY path, size)) AS digest FROM {_FILES.format(d='documents')} GROUP BY source")
-add("evidence_grounding", lambda f: _files(f).select("doc_id", F.size(F.split("text", "\n", -1)).alias("lines")).filter((F.col("doc_id") % 5 + 1 <= F.col("lines")) & (F.col("doc_id") % 5 + 1 >= 1)).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id%5+1 <= len(text)-len(replace(text, chr(10), ''))+1")
-# the classes of Python's regular expressions over text, which Java's \s and \b are not
-_S = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-_RULES = [
-    (r"(?s)```.*?```", "[source code omitted]"),
-    (r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "[secret omitted]"),
-    (rf"{_B}(?:gh[pousr]_[A-Za-z0-9_]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}){_E}", "[GitHub token omitted]"),
-    (rf"(?iu){_B}Bearer{_S}+[A-Za-z0-9._~+/-]{{8,}}", "Bearer [token omitted]"),
-    (rf"(?iu){_B}(?:api[_-]?key|token|secret|password){_S}*[:=]{_S}*['\"]?[^{_S[1:-1]},;\])'\"]{{6,}}", "[secret omitted]"),
-]
-_LINE = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
-_SOURCE = rf"^{_S}*(?:async{_S}+def{_E}|(?:def|class|function|import|from|return|const|let|var|package|#include){_E}|[A-Za-z_][A-Za-z0-9_.]*{_S}*={_S}*[^=])"
-
-
-def sanitize_text(text, maximum=None):
-    """Explanation text without code blocks, secrets and lines like source code, on one line; cut to maximum characters if given."""
-    for pattern, instead in _RULES:
-        text = F.regexp_replace(text, pattern, instead)
-    lines = F.transform(F.split(text, _LINE, -1), lambda x: F.when(x.rlike(_SOURCE), "[source code omitted]").otherwise(x))
-    clean = F.trim(F.regexp_replace(F.array_join(lines, " "), f"{_S}+", " "))
-    clean = F.when(clean == "", "[details omitted]").otherwise(clean)
-    return clean if maximum is None else F.substring(clean, 1, maximum)
-
-
-add("sanitize_text", lambda f: f.table("documents").select("doc_id", sanitize_text(F.col("text")).alias("clean")),
-    r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '(?i)(token|secret|password)[\t\n\f\r ]*=[\t\n\f\r ]*"?[^\t\n\f\r "]+"?', '[redacted]', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 80) AS clean FROM documents""")
-add("incident_signals", lambda f: f.alerts().select("event_id", F.size(F.array_distinct(F.concat(F.array("service", "alertname", "severity_raw"), F.map_keys("labels"), F.map_values("labels")))).cast("long").alias("n")), "SELECT event_id, len(list_distinct([service, alertname, severity_raw, 'cluster', 'environment', 'pod', cluster, environment, pod])) AS n FROM alerts", ALERTS)
-
-# suppliers stand for repositories, nations for installations, parts for snapshots
-sql("repository_listing", "SELECT s_suppkey, s_name, n_name, array_join(array_sort(collect_set(p_brand)), ',') AS services FROM {supplier} JOIN {nation} ON n_nationkey=s_nationkey LEFT JOIN (SELECT *, p_partkey%100 AS k FROM {part}) p ON k=s_suppkey GROUP BY ALL",
-    "SELECT s_suppkey, s_name, n_name, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand),'') AS services FROM supplier JOIN nation ON n_nationkey=s_nationkey LEFT JOIN (SELECT *, p_partkey%100 AS k FROM part) p ON k=s_suppkey GROUP BY ALL", None, "supplier", "nation", "part")
-_SNAP = "SELECT s_suppkey, n_name, snapshot FROM (SELECT s_suppkey, n_name, p_partkey AS snapshot, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_retailprice DESC, p_partkey DESC) AS rn FROM {s} JOIN {n} ON n_nationkey=s_nationkey JOIN (SELECT *, p_partkey%100 AS k FROM {p}) p ON k=s_suppkey WHERE s_acctbal>0) q WHERE rn=1"
-sql("service_snapshot", _SNAP.format(s="{supplier}", n="{nation}", p="{part}"), _SNAP.format(s="supplier", n="nation", p="part"), None, "supplier", "nation", "part")
-_INST = "SELECT n_nationkey, r_name, CASE WHEN n_nationkey%7=0 THEN 'deleted' WHEN n_nationkey%5=0 THEN 'suspended' WHEN r_regionkey=1 THEN 'repository_selection_required' WHEN n_nationkey%3=0 THEN 'permission_misconfigured' ELSE 'active' END AS status FROM {n} JOIN {r} ON r_regionkey=n_regionkey"
-sql("installation_status", _INST.format(n="{nation}", r="{region}"), _INST.format(n="nation", r="region"), None, "nation", "region")
-_STATE = "SELECT n_nationkey, count(s_suppkey) AS repositories FROM {n} LEFT JOIN {s} ON s_nationkey=n_nationkey GROUP BY n_nationkey"
-sql("installation_state", _STATE.format(n="{nation}", s="{supplier}"), _STATE.format(n="nation", s="supplier"), None, "nation", "supplier")
-_SYNC = "SELECT coalesce(a.s_suppkey, b.k) AS repository, b.k IS NOT NULL AS selected FROM {s} a FULL OUTER JOIN (SELECT DISTINCT p_partkey%150 AS k FROM {p}) b ON a.s_suppkey=b.k"
-sql("repo_replace_sync", _SYNC.format(s="{supplier}", p="{part}"), _SYNC.format(s="supplier", p="part"), None, "supplier", "part")
