@@ -63,24 +63,99 @@ def test_edges_equal_a_sequential_fold(spark):
     from tidewatch.sources.alerts import ordinary, read_alerts
 
     alerts = ordinary(read_alerts(spark, SF))
-    rows = sorted(alerts.select("fired_ms", "event_id", "scope_key", "inc", "status").collect())
+    rows = sorted(alerts.select("ingested_ms", "event_id", "fired_ms", "scope_key", "inc", "status").collect())
+    assert any(a.fired_ms > b.fired_ms for a, b in zip(rows, rows[1:], strict=False))  # some arrive late
     last, weights = {}, {}
-    for t, _, scope, inc, status in rows:
-        last[inc] = (t, len(last), scope, status)
+    for now, _, t, scope, inc, status in rows:
+        last[inc] = (now, t, scope, status)
         order = [k for k in last if k != inc] + [inc]
         last = {k: last[k] for k in order}
         if status == "resolved":
             continue
-        live = [k for k in reversed(order) if last[k][2] == scope and last[k][0] >= t - 900_000 and last[k][3] != "resolved"][:25]
+        live = [k for k in reversed(order) if last[k][2] == scope and last[k][0] >= now - 900_000 and last[k][3] != "resolved"][:25]
         for k in live:
             if k != inc:
-                w, at = weights.get((k, inc), (0.0, t))
-                weights[k, inc] = (w * math.exp(-math.log(2) * (t - at) / 3_600_000) + 1, t)
+                pair = (k, inc) if last[k][1] <= t else (inc, k)
+                w, at = weights.get(pair, (0.0, t))
+                weights[pair] = (w * math.exp(-math.log(2) * max(0, t - at) / 3_600_000) + 1, t)
     got = {(r.src, r.dst): r.weight for r in graph.edges(graph.observations(alerts)).collect()}
     assert got.keys() == weights.keys()
     assert all(abs(got[k] - w) < 1e-6 for k, (w, _) in weights.items())
 
 
+ALERT = "scope_key string, inc string, service string, alertname string, severity string, message string, event_id long, fired_ms long, ingested_ms long, status string"
+
+
+def alerts_of(spark, rows):
+    """(incident, event, fired, ingested, status) as alerts of one scope."""
+    return spark.createDataFrame([("s", i, i, "x", "high", "m", e, f, t, st) for i, e, f, t, st in rows], ALERT)
+
+
+def test_late_alerts_have_gap_0_and_neighbours_follow_arrival(spark):
+    from tidewatch.operators import incidents
+
+    base = 1_700_000_000_000
+    rows = alerts_of(spark, [("a", 1, base + 1000, base + 1000, "firing"), ("a", 2, base + 500, base + 2000, "firing"), ("a", 3, base + 1500, base + 3000, "firing"), ("b", 4, base - 2_000_000, base + 4000, "firing"), ("c", 5, base + 5000, base + 1_000_000, "firing")])
+    assert {r.event_id: r.gap for r in incidents.gaps(rows).collect()} == {1: None, 2: 0, 3: 1000, 4: None, 5: None}
+    one = {r.incident_id: r for r in incidents.incidents(rows).collect()}["a"]
+    assert (one.alert_count, one.first_alert_ms, one.last_alert_ms, one.last_ingested_ms) == (3, base + 1000, base + 1500, base + 3000)
+    # b fired long ago on its own clock but arrives among a's alerts: they meet, and b leads; c arrives too late for both
+    got = {(r.src, r.dst): r.weight for r in graph.edges(graph.observations(rows)).collect()}
+    assert got == {("a", "b"): 1.0} or got == {("b", "a"): 1.0}
+    assert ("a", "b") not in got  # a fired after b
+
+
+def test_final_rhythm_equals_the_fold_and_the_prefixes(spark):
+    import random
+
+    import numpy as np
+
+    from tidewatch.operators import incidents
+    from tidewatch.streaming.lifecycle import paced
+
+    r, rows, gaps, event = random.Random(3), [], defaultdict(list), 0
+    for inc, n in [("one", 1), ("two", 2), ("three", 3), ("many", 400)]:
+        fired = now = 1_700_000_000_000
+        for k in range(n):
+            event += 1
+            step = r.randint(-5000, 90_000) if k else 0
+            now += r.randint(1, 100_000)
+            fired += step
+            rows.append((inc, event, fired, now, "firing"))
+            if k:
+                gaps[inc].append(float(max(0, step)))
+    table = alerts_of(spark, rows)
+    for x in incidents.incidents(table).collect():
+        mean, variance = paced(gaps[x.incident_id])
+        assert math.isclose(x.mean_gap, mean, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(x.variance, variance, rel_tol=1e-9, abs_tol=1e-6), x
+    means, variances = incidents.refolded(np.array(gaps["many"]))
+    assert all((means[k], variances[k]) == paced(gaps["many"][: k + 1]) for k in range(0, 399, 13))
+
+
+def test_verdicts_with_lift_hints_and_their_withdrawal(spark):
+    edges = spark.createDataFrame([("cause", "x", "s", 6.0, 0, 6), ("cause", "y", "s", 5.0, 0, 5), ("x", "y", "s", 1.0, 0, 1), ("far", "x", "s", 50.0, 0, 50)], EDGES)
+    candidates = spark.createDataFrame([("s", i) for i in ("cause", "x", "y")] + [("t", "z")], "scope_key string, incident_id string")
+    nodes = spark.createDataFrame([("s", i, 8.0) for i in ("cause", "x", "y", "far")], "scope_key string, node string, observations double")
+    scopes = spark.createDataFrame([("s", 16.0)], "scope_key string, rounds double")
+    verdicts = graph.root_cause(graph.node_lead(graph.among(edges, candidates), nodes, scopes))
+    first = verdicts.collect()
+    # far is no candidate; lift: 6 * 16 / 64 = 1.5 and 1.25
+    assert [(v.leader, v.support) for v in first] == [("cause", 11.0)] and abs(first[0].mean_lift - 1.375) < 1e-12
+    titles = spark.createDataFrame([("cause", "db — slow")], "incident_id string, title string")
+    said = {r.incident_id: r.hint for r in graph.hints(candidates, verdicts, titles).collect()}
+    assert said == dict.fromkeys(("cause", "x", "y"), "db — slow (confidence 100%)") | {"z": None}
+    assert {r.hint for r in graph.hints(candidates, verdicts.limit(0), titles).collect()} == {None}
+
+
+def test_breaker_keeps_its_state_until_a_success(spark):
+    hour = 3_600_000
+    rows = [("slack", i, i * hour, 503, 1, "pending", 0) for i in range(5)] + [("slack", 5, 5 * hour, 200, 0, "pending", 0), ("slack", 6, 6 * hour, 200, 1, "sent", 2), ("slack", 7, 7 * hour, 503, 1, "sent", 2)]
+    box = spark.createDataFrame(rows, "channel string, outbox_id long, created_ms long, http int, k int, status string, priority int")
+    folded = {r.outbox_id: (r.state, r.failures, r.step) for r in folds.breaker(box).collect()}
+    assert folded == {0: ("CLOSED", 1, 0), 1: ("CLOSED", 2, 0), 2: ("OPEN", 3, 0), 3: ("OPEN", 4, 1), 4: ("OPEN", 5, 2), 5: ("HALF_OPEN", 0, 2), 6: ("CLOSED", 0, 0), 7: ("CLOSED", 1, 0)}
+    assert [tuple(r) for r in folds.outages(folds.breaker(box)).collect()] == [("slack", 2 * hour, 6 * hour, 0, 3, 3)]
+
+
 def test_chain_verifies_and_shows_tampering(spark):
     from tidewatch.sources.alerts import ordinary, read_alerts
 
@@ -98,7 +173,7 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     query = stream_incidents(stream_alerts(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {r.incident_id: (r.state, r.alert_count, r.reopen_count) for r in spark.table("streamed").collect()}
-    batch = defaultdict(tuple)
+    batch: dict = defaultdict(tuple)
     for r in folds.lifecycle(ordinary(read_alerts(spark, SF))).collect():
         batch[r.incident_id] = max(batch[r.incident_id], (r.alert_count, r.state, r.reopen_count))
     assert got == {k: (s, n, c) for k, (n, s, c) in batch.items()}
@@ -119,3 +194,23 @@ def test_every_query_has_the_columns_of_its_oracle(spark):
 
 #: These run jobs when they are built.
 ITERATIVE = {"storm_components", "storm_anchor", "group_rollup", "group_root", "group_snapshot"}
+
+
+def test_stream_timers_make_incidents_quiescent_and_resolve_them(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewatch.streaming.lifecycle import stream_transitions
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    base = 1_700_000_000_000
+    steps = [[("a", 1, base, base, "firing")], [("b", 2, base + 20_000, base + 20_000, "firing")], [("b", 3, base + 60_000, base + 60_000, "resolved")], [("c", 4, base + 4_000_000, base + 4_000_000, "firing")]]
+    schema = ALERT + ", bypass string"
+    for k, rows in enumerate(steps):
+        alerts_of(spark, rows).withColumn("bypass", F.lit(None).cast("string")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = stream_transitions(stream).writeStream.outputMode("update").format("memory").queryName("moved").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {(r.incident_id, r.cause, r.state, r.at_ms - base) for r in spark.table("moved").collect()}
+    assert ("a", "quiet_deadline", "QUIESCENT", 5_000) in got and ("a", "inferred_silence", "RESOLVED", 900_000) in got
+    assert ("b", "alert", "RESOLVED", 60_000) in got and not [x for x in got if x[0] == "b" and x[1] == "inferred_silence"]
+    assert ("c", "alert", "ACKNOWLEDGED", 4_000_000) in got
