@@ -29,8 +29,8 @@ from .arrays import Ragged, at, pieces, ragged, slices, utf8
 
 #: Unicode's white space beyond ASCII, in UTF-8.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_BATCH_BYTES = 8 << 20
-_KEPT, _KEPT_BYTES = 1 << 18, 80 << 20
+_BATCH_BYTES = 4 << 20
+_KEPT, _KEPT_BYTES = 1 << 17, 40 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
