@@ -29,7 +29,8 @@ from .arrays import Ragged, at, pieces, ragged, slices, utf8
 
 #: Unicode's white space beyond ASCII, in UTF-8.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_BATCH_BYTES = 4 << 20
+#: Texts encoded together, in bytes: what a worker holds for a slice is some 25 times as much.
+_BATCH_BYTES = 1 << 20
 _KEPT, _KEPT_BYTES = 1 << 17, 40 << 20
 
 
@@ -76,7 +77,7 @@ class Codec:
         self.single = {b: i for b, i in ids.items() if len(b) == 1}
         self.ids = {b: i for b, i in ids.items() if len(b) == 1 or self.rank[i] >= 0}
         self.shorter: dict[int, int] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.marks = regex.compile(b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if special else None
         sizes = np.array([len(b) for b in self.token], np.int64)
@@ -96,7 +97,7 @@ class Codec:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b side by side when given their joined bytes."""
-        key = (a, b)
+        key = a * len(self.token) + b
         if key in self.compatible:
             return self.compatible[key]
         # undo the merges of either side, latest first; a merge across the border that would have come earlier breaks the pair
