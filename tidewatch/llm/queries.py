@@ -81,6 +81,18 @@ def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording_report(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tones).withColumnRenamed("id", "vec_id")
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_report
+
+    return cluster_report(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=1024, dim=64, k=8, seed="3", rounds=10)
+
+
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .veccodes import code_report
+
+    return code_report(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", scale=256, dim=64, parts=16, entries=64, rounds=2)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_spans": op2_pii_spans,
@@ -92,9 +104,58 @@ QUERIES = {
     "op4_warc_archives": op4_warc_archives,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
+    "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_hamerly_codes": op13_hamerly_codes,
 }
 
+#: Vectors of finite components as integers; the floor of a division, for either sign.
+_KEPT = """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""
+_FLOOR = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT)"
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after another, each assigning every vector anew."""
+    steps = [
+        "WITH " + _KEPT.format(scale=1024),
+        "x AS MATERIALIZED (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept)",
+        f"s AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS y FROM s)",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS b FROM (SELECT r, c, sum((x - y) * (x - y)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT b.c AS c, i, {_FLOOR} AS z FROM x JOIN a{n} USING (r) GROUP BY ALL)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(z, y) AS y FROM c{n} LEFT JOIN m{n} USING (c, i))")
+    steps.append(f"h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return ",\n".join(steps) + f"""
+        SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+          CAST(sum(b.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN h ON h.c = b.c"""
+
+
+def _codes_sql(entries: int = 64, rounds: int = 2) -> str:
+    steps = [
+        "WITH " + _KEPT.format(scale=256),
+        "x AS MATERIALIZED (SELECT r, (i - 1) // 4 AS p, (i - 1) % 4 AS j, x FROM (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept))",
+        f"s AS (SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS e, v FROM kept WHERE vec_id IS NOT NULL QUALIFY e < {entries})",
+        "c0 AS MATERIALIZED (SELECT e, (i - 1) // 4 AS p, (i - 1) % 4 AS j, y FROM (SELECT e, generate_subscripts(v, 1) AS i, unnest(v) AS y FROM s))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'e': e}}) AS b FROM (SELECT r, p, e, sum((x - y) * (x - y)) AS d FROM x JOIN c{n} USING (p, j) GROUP BY r, p, e) GROUP BY r, p)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT b.e AS e, p, j, {_FLOOR} AS z FROM x JOIN a{n} USING (r, p) GROUP BY ALL)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT e, p, j, coalesce(z, y) AS y FROM c{n} LEFT JOIN m{n} USING (e, p, j))")
+    return ",\n".join(steps) + f""",
+        o AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+          (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256
+        FROM o JOIN kept USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_delta_lloyd": _lloyd_sql(),
+    "op13_hamerly_codes": _codes_sql(),
     "op4_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
