@@ -81,6 +81,12 @@ def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording_report(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tones).withColumnRenamed("id", "vec_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_report
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op4_warc_archives": op4_warc_archives,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_codec": op6_bpe_codec,
+    "op11_toxicity": op11_toxicity,
     "op12_delta_lloyd": op12_delta_lloyd,
     "op13_hamerly_codes": op13_hamerly_codes,
 }
