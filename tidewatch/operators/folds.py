@@ -10,28 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LIFECYCLE, PRIORITIES
+from .counts import counted
 
-GENESIS, SLICE_MS = "0" * 64, 3_600_000
+GENESIS = "0" * 64
 FLAP_REOPENS, FLAP_DIGEST_MS = 3, 1_800_000
 THRESHOLD, PROBE_BASE, PROBE_MAX = 3, 5, 120
 
 
-def counted(rows: DataFrame, keys: list[str], ms: str, by: list[str], **what: Column) -> DataFrame:
-    """rows with, for each of what, how many rows of the key hold it up to each row, in the order of by (ms first).
-
-    Counted within slices of time, each a group of its own, and then over the slices' totals: no key's rows meet in one task.
-    """
-    sliced = rows.withColumn("__slice", F.floor(F.col(ms) / SLICE_MS))
-    within = Window.partitionBy(*keys, "__slice").orderBy(*by)
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy(*keys, "__slice").agg(*(F.count_if(c).alias(f"__all_{n}") for n, c in what.items()))
-    totals = totals.select(*keys, "__slice", *(F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in what))
-    # a join on nothing but the slice where there is no key
-    out = sliced.join(totals, [*keys, "__slice"])
-    out = out.withColumns({n: F.col(f"__before_{n}") + F.coalesce(F.sum(c.cast("long")).over(within), F.lit(0)) for n, c in what.items()})
-    return out.drop("__slice", *(f"__before_{n}" for n in what))
-
-
 def ledger(ordinary: DataFrame) -> DataFrame:
     """Alerts in order of arrival: seq within the incident, ledger_seq within the whole ledger; the payload is what the chain covers."""
     seq = F.row_number().over(Window.partitionBy("inc").orderBy("ingested_ms", "event_id")).cast("long")

@@ -1,4 +1,4 @@
-"""The co-occurrence graph: a bounded interval self-join, decayed weights, root causes, storms.
+"""The co-occurrence graph: who was active when an alert arrived, decayed weights, root causes, storms.
 
 Who was there is decided on our clock (ingest time, in order of arrival); how old evidence is, on the sources' clocks. An
 alert that arrives late ages nothing: elapsed time is never below 0.
@@ -6,65 +6,105 @@ alert that arrives late ages nothing: elapsed time is never below 0.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .incidents import ARRIVAL
+from .counts import counted
 from .store import written
 
 WINDOW_MS, NEIGHBOURS, HALF_LIFE = 900_000, 25, 3_600_000.0
-BUCKET_MS, SLICE_MS = 60_000, 3_600_000
+#: Alerts of a scope that are folded together, and how many such runs make a part of its history.
+RUN, PARTS, BUCKET_MS = 512, 64, 60_000
 MIN_SUPPORT, FULL_SUPPORT, MIN_CONFIDENCE, MIN_DOMINANCE = 1.5, 6.0, 0.35, 0.25
 STORM_WEIGHT, ROUNDS = 1.5, 50
 
 
+def numbered(ordinary: DataFrame) -> DataFrame:
+    """scope_key, inc, ct, event_id, cf, status, pos of each alert: its place in its scope, in order of arrival."""
+    rows = ordinary.select("scope_key", "inc", F.col("ingested_ms").alias("ct"), "event_id", F.col("fired_ms").alias("cf"), "status")
+    return counted(rows, ["scope_key"], "ct", ["ct", "event_id"], pos=F.lit(True))
+
+
 def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """An alert with the incidents of its scope that were active and had arrived within the window before it (itself among
-    them), latest arrivals first, at most neighbours: event_id, ct, cf, scope_key, ci, ni, nf, rk (t: arrival, f: fired).
+    them), latest arrivals first, at most neighbours: event_id, ct, cf, scope_key, ci, ni, nf, rk, part (t: arrival, f: fired).
 
-    An incident's alert stands for it until its next one arrives, at most for the window. These stretches and the alerts
-    meet by scope and short time bucket, so a scope's rows spread over many keys, and an alert meets each incident once,
-    however many alerts the incident has had.
+    A scope's alerts are cut into runs of RUN alerts, each a group of its own, however many arrive in a minute. A run starts
+    from the incidents active at its first alert, of which the latest neighbours + RUN suffice: each of its alerts takes one
+    away at most. From there the run is folded with its incidents in order of arrival, so an alert costs as much as it
+    observes, whatever else is active.
     """
-    per_incident = Window.partitionBy("inc").orderBy(*ARRIVAL)
-    seen = ordinary.select("scope_key", F.col("inc").alias("ni"), F.col("ingested_ms").alias("nt"), F.col("event_id").alias("ne"), F.col("fired_ms").alias("nf"), "status", F.lead("ingested_ms").over(per_incident).alias("until"), F.lead("event_id").over(per_incident).alias("until_id"))
-    seen = seen.filter("status <> 'resolved'").drop("status")
-    end = F.least(F.coalesce("until", F.col("nt") + window_ms), F.col("nt") + window_ms)
-    seen = seen.withColumn("b", F.explode(F.sequence(F.floor(F.col("nt") / BUCKET_MS), F.floor(end / BUCKET_MS))))
-    now = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("inc").alias("ci"), F.col("ingested_ms").alias("ct"), F.col("fired_ms").alias("cf"), "event_id", F.floor(F.col("ingested_ms") / BUCKET_MS).alias("b"))
-    arrived = (F.col("nt") < F.col("ct")) | ((F.col("nt") == F.col("ct")) & (F.col("ne") <= F.col("event_id")))
-    latest = F.col("until").isNull() | (F.col("ct") < F.col("until")) | ((F.col("ct") == F.col("until")) & (F.col("event_id") < F.col("until_id")))
-    pairs = now.join(seen.hint("shuffle_hash"), ["scope_key", "b"]).filter(arrived & latest & (F.col("nt") >= F.col("ct") - window_ms))
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("nt"), F.desc("ne")))
-    return pairs.withColumn("rk", rank).filter(F.col("rk") <= neighbours).select("event_id", "ct", "cf", "scope_key", "ci", "ni", "nf", "rk")
+    alerts = written(numbered(ordinary).withColumn("run", F.floor((F.col("pos") - 1) / RUN)), "numbered")
+    arrivals = Window.partitionBy("inc").orderBy("ct", "event_id")
+    stretches = alerts.withColumns({"until": F.lead("ct").over(arrivals), "until_run": F.lead("run").over(arrivals)}).filter("status <> 'resolved'")
+    columns = ["scope_key", "inc", "ct", "event_id", "cf"]
+    renewed = F.col("until") <= F.col("ct") + window_ms
+    # until the incident's next alert the runs are known; else they are those that begin in the minutes of the window
+    held = stretches.filter(renewed & (F.col("until_run") > F.col("run"))).select(*columns, F.explode(F.sequence(F.col("run") + 1, F.col("until_run"))).alias("run"))
+    begun = alerts.filter((F.col("pos") - 1) % RUN == 0).groupBy("scope_key", F.floor(F.col("ct") / BUCKET_MS).alias("minute")).agg(F.min("run").alias("r0"), F.max("run").alias("r1"))
+    left = stretches.filter(~F.coalesce(renewed, F.lit(False))).withColumn("minute", F.explode(F.sequence(F.floor(F.col("ct") / BUCKET_MS), F.floor((F.col("ct") + window_ms) / BUCKET_MS))))
+    left = left.join(begun, ["scope_key", "minute"]).withColumn("begins", F.explode(F.sequence("r0", "r1"))).filter(F.col("begins") > F.col("run")).select(*columns, F.col("begins").alias("run"))
+    latest = F.row_number().over(Window.partitionBy("scope_key", "run").orderBy(F.desc("ct"), F.desc("event_id")))
+    start = held.unionByName(left).withColumn("rk", latest).filter(F.col("rk") <= neighbours + RUN).drop("rk").withColumns({"status": F.lit(None).cast("string"), "arrives": F.lit(False)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, present = None, {}
+        for frame in frames:
+            out: list[tuple] = []
+            for scope, number, arrives, at, event, inc, fired, status in frame.itertuples(index=False, name=None):
+                if (scope, number) != key:
+                    key, present = (scope, number), {}
+                present.pop(inc, None)
+                if arrives and status == "resolved":
+                    continue
+                present[inc] = (at, fired)  # the latest comes last
+                if arrives:
+                    for rank, name in enumerate(itertools.islice(reversed(present), neighbours), 1):
+                        seen, when = present[name]
+                        if seen < at - window_ms:
+                            break
+                        out.append((event, at, fired, scope, inc, name, when, rank, number // PARTS))
+            yield pd.DataFrame(out, columns=["event_id", "ct", "cf", "scope_key", "ci", "ni", "nf", "rk", "part"])
+
+    rows = alerts.select(*columns, "run", "status", F.lit(True).alias("arrives")).unionByName(start)
+    rows = rows.select("scope_key", "run", "arrives", "ct", "event_id", "inc", "cf", "status").repartition("scope_key", "run").sortWithinPartitions("scope_key", "run", "arrives", "ct", "event_id")
+    return rows.mapInPandas(run, "event_id long, ct long, cf long, scope_key string, ci string, ni string, nf long, rk int, part long")
 
 
 def decayed(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
     """keys, value, latest, n: one for each row (ct, event_id: arrival; cf: its time), halved for each half-life that passes.
 
     Of n rows in order of arrival the k-th has aged by the sum of the elapsed times after it, each at least 0. That sum is
-    taken within slices of arrival time first, each a group of its own, and then over the few slices of a key: no key's
-    rows meet in one task.
+    taken within parts of a scope's alerts first, each a group of its own of bounded size, and then over the parts of a key:
+    no key's rows meet in one task.
     """
-    ordered = Window.partitionBy(*keys, "slice").orderBy(F.desc("ct"), F.desc("event_id"))
-    sliced = rows.select(*keys, "ct", "event_id", "cf", F.floor(F.col("ct") / SLICE_MS).alias("slice"))
+    ordered = Window.partitionBy(*keys, "part").orderBy(F.desc("ct"), F.desc("event_id"))
+    sliced = rows.select(*keys, "ct", "event_id", "cf", "part")
     sliced = sliced.withColumn("step", F.greatest(F.lit(0), F.coalesce(F.lag("cf").over(ordered) - F.col("cf"), F.lit(0))))
     sliced = sliced.withColumn("age", F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct("ct", "event_id")
-    parts = sliced.groupBy(*keys, "slice").agg(F.sum(C.decay(F.lit(1.0), F.col("age"), HALF_LIFE)).alias("w"), F.max("age").alias("span"), F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.count(F.lit(1)).alias("m"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("slice"))
+    parts = sliced.groupBy(*keys, "part").agg(F.sum(C.decay(F.lit(1.0), F.col("age"), HALF_LIFE)).alias("w"), F.max("age").alias("span"), F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.count(F.lit(1)).alias("m"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("part"))
     between = F.greatest(F.lit(0), F.lag("first_cf").over(later) - F.col("last_cf")) + F.lag("span").over(later)
     parts = parts.withColumn("step", F.coalesce(between, F.lit(0)))
     parts = parts.withColumn("age", F.sum("step").over(later.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy(*keys).agg(F.sum(C.decay(F.col("w"), F.col("age"), HALF_LIFE)).alias(value), F.max_by("last_cf", "slice").alias(latest), F.sum("m").alias("n"))
+    return parts.groupBy(*keys).agg(F.sum(C.decay(F.col("w"), F.col("age"), HALF_LIFE)).alias(value), F.max_by("last_cf", "part").alias(latest), F.sum("m").alias("n"))
 
 
-def edges(observed: DataFrame) -> DataFrame:
-    """scope_key, src, dst, weight, last_seen_ms, n: src had fired by the time dst did."""
+def directed(observed: DataFrame, *also: str) -> DataFrame:
+    """scope_key, src, dst, ct, event_id, cf, part of observations of two incidents: src had fired by the time dst did."""
     leads = F.col("nf") <= F.col("cf")
-    rows = observed.filter("ni <> ci").select("scope_key", F.when(leads, F.col("ni")).otherwise(F.col("ci")).alias("src"), F.when(leads, F.col("ci")).otherwise(F.col("ni")).alias("dst"), "ct", "event_id", "cf")
-    return decayed(rows, ["scope_key", "src", "dst"], "weight", "last_seen_ms")
+    return observed.filter("ni <> ci").select("scope_key", F.when(leads, F.col("ni")).otherwise(F.col("ci")).alias("src"), F.when(leads, F.col("ci")).otherwise(F.col("ni")).alias("dst"), "ct", "event_id", "cf", "part", *also)
+
+
+def edges(observed: DataFrame) -> DataFrame:
+    """scope_key, src, dst, weight, last_seen_ms, n."""
+    return decayed(directed(observed), ["scope_key", "src", "dst"], "weight", "last_seen_ms")
 
 
 def node_stats(observed: DataFrame) -> DataFrame:
@@ -74,7 +114,7 @@ def node_stats(observed: DataFrame) -> DataFrame:
 
 def scope_stats(ordinary: DataFrame) -> DataFrame:
     """scope_key, rounds, last_observed_ms, observed_revision: every alert that leaves its incident active is a round."""
-    rows = ordinary.filter("status <> 'resolved'").select("scope_key", F.col("ingested_ms").alias("ct"), "event_id", F.col("fired_ms").alias("cf"))
+    rows = numbered(ordinary).filter("status <> 'resolved'").withColumn("part", F.floor((F.col("pos") - 1) / (RUN * PARTS)))
     return decayed(rows, ["scope_key"], "rounds", "last_observed_ms").withColumnRenamed("n", "observed_revision")
 
 

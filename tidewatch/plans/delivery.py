@@ -12,7 +12,7 @@ from .duck import ALERTS, EDGES, INCIDENTS, OUTBOX
 from .graphs import REVISIONS, _STORM, _storms, revisions
 from .registry import Frames, query
 
-NOW = 1704090000000
+NOW, HOUR_MS = 1704090000000, 3_600_000
 FAULTS = ["unavailable", "rejected", "rate_limited", "transport", "http", "answer", "other"]
 DETAILS = ["no_text", "token_revoked", "odd_code", "ConnectTimeout"]
 
@@ -125,7 +125,7 @@ def recovery_digest(f: Frames) -> DataFrame:
 
     Incidents and queue rows meet the outages of their hour; an outage stands in every hour that it touches.
     """
-    hour = folds.SLICE_MS
+    hour = HOUR_MS
     ended = folds.outages(folds.breaker(f.outbox())).filter("recovered_ms IS NOT NULL").select("channel", "detected_ms", "recovered_ms")
     ended = f.kept("outages", lambda: ended)
     spread = ended.withColumn("h", F.explode(F.sequence(F.floor(F.col("detected_ms") / hour), F.floor(F.col("recovered_ms") / hour))))

@@ -136,6 +136,7 @@ LIFTED, UNLIFTED = _LEAD.replace("{unit}", "false"), _LEAD.replace("{unit}", "tr
 
 
 def _lead(f: Frames, lifted: bool = True) -> DataFrame:
+    f.settled()
     candidates = f.kept("candidates", lambda: G.rank_candidates(f.incidents()))
     # of each scope a few nodes are in question: their rounds alone are summed
     rounds = f.observed().join(candidates.select("scope_key", F.col("incident_id").alias("ni")), ["scope_key", "ni"], "left_semi")

@@ -36,13 +36,17 @@ class Frames:
         return read_alerts(self.spark, self.sf_dir)
 
     def o(self) -> DataFrame:
-        return ordinary(self.alerts())
+        return self._kept["ordinary"] if "ordinary" in self._kept else ordinary(self.alerts())
+
+    def settled(self) -> DataFrame:
+        """Ordinary alerts as a table: for what reads them more than twice, as deriving them costs more than writing them once."""
+        return self.kept("ordinary", self.o)
 
     def incidents(self) -> DataFrame:
         return incidents.incidents(self.o())
 
     def observed(self) -> DataFrame:
-        return graph.observations(self.o())
+        return graph.observations(self.settled())
 
     def edges(self) -> DataFrame:
         return graph.edges(self.observed())
@@ -51,7 +55,7 @@ class Frames:
         return graph.node_stats(self.observed())
 
     def scopes(self) -> DataFrame:
-        return graph.scope_stats(self.o())
+        return graph.scope_stats(self.settled())
 
     def outbox(self) -> DataFrame:
         k, at = F.col("k"), F.col("ingested_ms")
