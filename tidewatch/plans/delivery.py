@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions import delivery as D
 from ..operators import folds
 from .duck import ALERTS, EDGES, INCIDENTS, OUTBOX
-from .graphs import REVISIONS, _STORM, _storms, revisions
+from .graphs import REVISIONS, ROOTS, _STORM, _storms, group_root, revisions
 from .registry import Frames, query
 
 NOW, HOUR_MS = 1704090000000, 3_600_000
@@ -274,18 +274,18 @@ def pager_events(f: Frames) -> DataFrame:
 
 @query(
     "hydrate_payloads",
-    """SELECT outbox_id, CASE WHEN member_count>1 THEN title||' (+'||(member_count-1)||' correlated)' ELSE title END AS title, summary, CASE WHEN member_count>1 THEN s.severity ELSE i.severity END AS severity, i.status AS state,
+    f"""SELECT outbox_id, CASE WHEN member_count>1 THEN r.title ELSE i.title END AS title, summary, CASE WHEN member_count>1 THEN s.severity ELSE i.severity END AS severity, i.status AS state,
     CASE WHEN member_count>1 THEN total_alerts ELSE alert_count END AS alert_count, CASE WHEN member_count>1 THEN member_count END AS members
-    FROM outbox b LEFT JOIN incidents i USING (incident_id) LEFT JOIN storm s ON s.anchor=b.incident_id WHERE b.status='pending'""",
+    FROM outbox b LEFT JOIN incidents i USING (incident_id) LEFT JOIN storm s ON s.anchor=b.incident_id LEFT JOIN ({ROOTS}) r ON r.component=s.component WHERE b.status='pending'""",
     _BOXED,
 )
 def hydrate_payloads(f: Frames) -> DataFrame:
-    """Pending rows filled from the incident as it is now; an anchor's card is its storm's."""
-    storms = storm_members(f).filter("member_count > 1").select(F.col("anchor").alias("incident_id"), "member_count", "total_alerts", F.col("severity").alias("worst"))
+    """Pending rows filled from the incident as it is now; an anchor's card is its storm's, titled by the storm's root."""
+    titles = group_root(f).select("component", F.col("title").alias("storm_title"))
+    storms = storm_members(f).filter("member_count > 1").join(titles, "component", "left").select(F.col("anchor").alias("incident_id"), "member_count", "total_alerts", F.col("severity").alias("worst"), "storm_title")
     live = f.incidents().select("incident_id", "title", "summary", "severity", F.col("status").alias("state"), "alert_count")
     rows = f.outbox().filter("status = 'pending'").select("outbox_id", "incident_id").join(live, "incident_id", "left").join(storms, "incident_id", "left")
-    title = F.when(F.col("member_count").isNotNull(), F.concat("title", F.lit(" (+"), (F.col("member_count") - 1).cast("string"), F.lit(" correlated)"))).otherwise(F.col("title"))
-    return rows.select("outbox_id", title.alias("title"), "summary", F.coalesce("worst", "severity").alias("severity"), "state", F.coalesce("total_alerts", "alert_count").alias("alert_count"), F.col("member_count").alias("members"))
+    return rows.select("outbox_id", F.coalesce("storm_title", "title").alias("title"), "summary", F.coalesce("worst", "severity").alias("severity"), "state", F.coalesce("total_alerts", "alert_count").alias("alert_count"), F.col("member_count").alias("members"))
 
 
 @query(

@@ -261,15 +261,14 @@ def group_rollup(f: Frames) -> DataFrame:
     )
 
 
-@query(
-    "group_root",
-    """SELECT m.component, coalesce(r.src, m.first) AS root, coalesce(r.outbound, 0) AS outbound, t.title||' (+'||(m.members-1)||' correlated)' AS title FROM (
+ROOTS = """SELECT m.component, coalesce(r.src, m.first) AS root, coalesce(r.outbound, 0) AS outbound, t.title||' (+'||(m.members-1)||' correlated)' AS title FROM (
     SELECT component, count(*) AS members, arg_min(node, {'t': first_alert_ms, 'n': node}) AS first FROM comp JOIN incidents ON incident_id=node GROUP BY component) m
     LEFT JOIN (SELECT component, src, outbound FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY outbound DESC, src) AS rk FROM (
       SELECT a.component, src, round(sum(weight),6) AS outbound FROM edges JOIN comp a ON a.node=src JOIN comp b ON b.node=dst AND a.component=b.component GROUP BY ALL)) WHERE rk=1) r ON r.component=m.component
-    JOIN incidents t ON t.incident_id=coalesce(r.src, m.first)""",
-    _STORM,
-)
+    JOIN incidents t ON t.incident_id=coalesce(r.src, m.first)"""
+
+
+@query("group_root", ROOTS, _STORM)
 def group_root(f: Frames) -> DataFrame:
     """Each storm's root, what it leads by, and the storm's title."""
     storms = _storms(f)

@@ -159,13 +159,16 @@ def result_error(status: Column, hypothesis: Column, evidence: Column, fix: Colu
 @query(
     "diagnosis_shape",
     """SELECT event_id, CASE WHEN event_id%7=6 THEN 'confidence out of range' WHEN k%2=0 THEN CASE WHEN event_id%5=0 THEN 'no hypothesis' WHEN k%4=0 THEN 'no evidence' WHEN event_id%5=1 THEN 'no fix' WHEN event_id%5=2 THEN 'fallback beside a diagnosis' END
-    ELSE CASE WHEN event_id%5<>0 OR event_id%5<>1 THEN 'ungrounded diagnosis' END END AS error FROM alerts""",
+    ELSE CASE WHEN event_id%3<>0 THEN 'ungrounded diagnosis' WHEN event_id%5<>2 THEN 'no fallback' WHEN event_id%4<>0 THEN 'confident fallback' END END AS error FROM alerts""",
     ALERTS,
 )
 def diagnosis_shape(f: Frames) -> DataFrame:
     e, k = F.col("event_id"), F.col("k")
     status = F.when(k % 2 == 0, "diagnosed").otherwise("fallback")
-    error = result_error(status, F.when(e % 5 != 0, "h"), F.when(k % 4 != 0, 1).otherwise(0), F.when(e % 5 != 1, "f"), F.when(e % 5 == 2, "b"), F.when(e % 7 == 6, 1.5).otherwise(0.5))
+    diagnosed = k % 2 == 0
+    hypothesis, fix = F.when(F.when(diagnosed, e % 5 != 0).otherwise(e % 3 == 1), "h"), F.when(F.when(diagnosed, e % 5 != 1).otherwise(e % 3 == 2), "f")
+    evidence = F.when(diagnosed & (k % 4 != 0), 1).otherwise(0)
+    error = result_error(status, hypothesis, evidence, fix, F.when(e % 5 == 2, "b"), F.when(e % 7 == 6, 1.5).when(~diagnosed & (e % 4 == 0), 0.0).otherwise(0.5))
     return f.alerts().select("event_id", error.alias("error"))
 
 

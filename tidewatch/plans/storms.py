@@ -35,7 +35,7 @@ def _links(f: Frames) -> DataFrame:
     return f.kept("links", lambda: S.links(f.settled(), f.kept("observed", f.observed)))
 
 
-def _members(f: Frames) -> DataFrame:
+def members(f: Frames) -> DataFrame:
     return f.kept("members", lambda: S.storm_members(_links(f), f.kept("incidents", f.incidents)))
 
 
@@ -49,7 +49,7 @@ def storm_links(f: Frames) -> DataFrame:
 @query("storm_members", "SELECT * FROM member", STORMS)
 def storm_members(f: Frames) -> DataFrame:
     """The storm of each incident that ever joined one, by its anchor, with the alert that formed it."""
-    return _members(f)
+    return members(f)
 
 
 @query(
@@ -66,4 +66,4 @@ def storm_members(f: Frames) -> DataFrame:
 def storm_groups(f: Frames) -> DataFrame:
     """Each storm with its fixed anchor and what its members make of it now: resolved once all are, titled by the root."""
     rank = C.pick(F.col("severity"), C.PRIORITIES, 9)
-    return S.storm_facts(_members(f), f.kept("incidents", f.incidents), f.kept("edges", lambda: G.edges(f.kept("observed", f.observed))), rank).select("group_id", "scope_key", "formed_event", "formed_ms", "members", "severity", "status", "root", "title")
+    return S.storm_facts(members(f), f.kept("incidents", f.incidents), f.kept("edges", lambda: G.edges(f.kept("observed", f.observed))), rank).select("group_id", "scope_key", "formed_event", "formed_ms", "members", "severity", "status", "root", "title")
