@@ -16,6 +16,8 @@ LANGUAGES = {
     "c": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "css": "css", "go": "go", "h": "c", "hpp": "cpp", "html": "html", "java": "java", "js": "javascript", "json": "json", "jsx": "javascript",
     "kt": "kotlin", "md": "markdown", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "sh": "shell", "sql": "sql", "toml": "toml", "ts": "typescript", "tsx": "typescript", "yaml": "yaml", "yml": "yaml",
 }
+# File names that some file systems reserve, whatever their suffix.
+RESERVED = r"(^|/)(?i:con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])(\.[^/]*)?[. ]*(/|$)"
 MAX_PATH = 512
 
 
@@ -29,11 +31,12 @@ def safe_path(path):
     return plain & ~generated & ~secret & ~name.rlike(r"\.(map|min\.css|min\.js|lock)$") & F.regexp_extract(name, r"\.([^.]*)$", 1).isin(SUFFIXES)
 
 
-
 def patch_path(path):
-    """Whether a path may be written: as it may be read, and plain on every file system, in characters and bytes."""
-    plain = (F.octet_length(path) <= MAX_PATH) & ~path.rlike(r"[\x00-\x1f:\\]") & ~path.rlike(r"[. ](/|$)")
-    return safe_path(path) & plain & ~path.rlike(r"(^|/)(?i:con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])(\.[^/]*)?[. ]*(/|$)")
+    """Whether a path may be written: relative, plain on every file system, at most MAX_PATH characters and bytes; of any name and suffix."""
+    parts = F.split(path, "/")
+    short = (F.length(path) <= MAX_PATH) & (F.octet_length(path) <= MAX_PATH)
+    whole = ~F.exists(parts, lambda p: p.isin("", ".", "..")) & ~path.rlike(r"[\x00-\x1f:\\]") & ~path.rlike(r"[. ](/|$)")
+    return short & whole & ~path.rlike(RESERVED)
 
 
 def language(path):
@@ -50,9 +53,10 @@ def tokens(text):
 # the classes of Python's regular expressions over text, which Java's \s and \b are not
 _S = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_SECRET = r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----"
 _RULES = [
     (r"(?s)```.*?```", "[source code omitted]"),
-    (r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----", "[secret omitted]"),
+    (_SECRET, "[secret omitted]"),
     (rf"{_B}(?:gh[pousr]_[A-Za-z0-9_]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}){_E}", "[GitHub token omitted]"),
     (rf"(?iu){_B}Bearer{_S}+[A-Za-z0-9._~+/-]{{8,}}", "Bearer [token omitted]"),
     (rf"(?iu){_B}(?:api[_-]?key|token|secret|password){_S}*[:=]{_S}*['\"]?[^{_S[1:-1]},;\])'\"]{{6,}}", "[secret omitted]"),
@@ -64,7 +68,14 @@ _SOURCE = rf"^{_S}*(?:async{_S}+def{_E}|(?:def|class|function|import|from|return
 def sanitize_text(text, maximum=None):
     """Explanation text without code blocks, secrets and lines like source code, on one line; cut to maximum characters if given."""
     for pattern, instead in _RULES:
-        text = F.regexp_replace(text, pattern, instead)
+        if pattern == _SECRET:
+            # every opening without an end would look for one up to the end of the text: only what comes before the last end is searched
+            to = F.length(text) - F.locate("DNE-----", F.reverse(text)) + 1
+            closing = F.instr(F.substring(text, to + 1, F.length(text)), "-----")
+            head = F.when(F.contains(text, F.lit("-----END ")), F.substring(text, F.lit(1), to + F.when(closing > 0, closing + 4).otherwise(0))).otherwise("")
+            text = F.concat(F.regexp_replace(head, pattern, instead), F.substring(text, F.length(head) + 1, F.length(text)))
+        else:
+            text = F.regexp_replace(text, pattern, instead)
     lines = F.transform(F.split(text, _LINE, -1), lambda x: F.when(x.rlike(_SOURCE), "[source code omitted]").otherwise(x))
     clean = F.trim(F.regexp_replace(F.array_join(lines, " "), f"{_S}+", " "))
     clean = F.when(clean == "", "[details omitted]").otherwise(clean)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 SECOND_MS, SECONDS = 1000, 3600
 
 
@@ -28,3 +30,18 @@ def counted(rows: DataFrame, keys: list[str], ms: str, by: list[str], **what: Co
     out = timed.join(earlier, [*keys, "__s"])
     out = out.withColumns({n: F.col(f"__h_{n}") + F.col(f"__s_{n}") + F.coalesce(F.sum(c.cast("long")).over(within), F.lit(0)) for n, c in what.items()})
     return out.drop("__s", *(f"__{x}_{n}" for n in names for x in "hs"))
+
+
+def latest_before(moments: DataFrame, states: DataFrame, keys: list[str], ms: str, tie: str, after: bool = False) -> DataFrame:
+    """moments with now, a struct of the key's latest of states at or before each (null where there is none); or, with after, its first later one.
+
+    Both are counted through time together: a moment's count of states is the number of the one it meets, so the as-of join
+    is on equal numbers, and no key's history has to pass through one task. Both have the keys, ms and tie.
+    """
+    columns, others = moments.columns, [c for c in states.columns if c not in keys]
+    first = written(states.select(*keys, ms, tie, F.lit(0).alias("__turn"), F.struct(*others).alias("now")), "states")
+    second = written(moments.select(*keys, ms, tie, F.lit(1).alias("__turn"), F.struct(*columns).alias("__m")), "moments")
+    rows = counted(first.unionByName(second, allowMissingColumns=True), keys, ms, [ms, "__turn", tie], __upto=F.col("__turn") == 0)
+    numbered = rows.filter("__turn = 0").select(*keys, F.col("__upto").alias("__n"), "now")
+    asked = rows.filter("__turn = 1").select(*keys, (F.col("__upto") + (1 if after else 0)).alias("__n"), "__m")
+    return asked.join(numbered, [*keys, "__n"], "left").select("__m.*", "now")

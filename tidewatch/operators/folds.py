@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import LIFECYCLE, PRIORITIES
-from .counts import counted
+from ..functions.columns import FAILOVER, LIFECYCLE, PRIORITIES
+from .counts import counted, latest_before
+from .store import written
 
 GENESIS = "0" * 64
 FLAP_REOPENS, FLAP_DIGEST_MS = 3, 1_800_000
@@ -168,6 +169,26 @@ def outages(folded: DataFrame) -> DataFrame:
     return grouped.filter("d IS NOT NULL").select("channel", F.col("d.at_ms").alias("detected_ms"), recovered.alias("recovered_ms"), "probes", F.col("d.queued").alias("queued_at_peak"), F.col("d.urgent").alias("failed_over"))
 
 
+def failovers(outbox: DataFrame, folded: DataFrame) -> DataFrame:
+    """outbox_id, incident_id, channel (the first fallback that is up when the row's own channel is found down), action, failover_from, moved_ms.
+
+    Urgent pending rows that are no failover themselves move at the first outage found after they were queued; where no
+    fallback is up at that moment they wait.
+    """
+    waiting = outbox.filter("status = 'pending' AND coalesce(priority, 2) <= 1 AND failover_of IS NULL")
+    waiting = waiting.select("outbox_id", "incident_id", "channel", "action", F.col("created_ms").alias("at_ms"))
+    folded = written(folded.select("channel", "at_ms", "outbox_id", "state", "stretch", "kind", "queued", "urgent"), "breaker")
+    found = outages(folded).select("channel", F.col("detected_ms").alias("at_ms"), F.lit(0).cast("long").alias("outbox_id"))
+    # an outage found in the very millisecond counts as later
+    met = latest_before(waiting.withColumn("at_ms", F.col("at_ms") - 1), found, ["channel"], "at_ms", "outbox_id", after=True).filter("now IS NOT NULL")
+    places = F.create_map(*(x for c, to in FAILOVER.items() for x in (F.lit(c), F.array(*map(F.lit, to)).cast("array<string>"))))
+    tried = met.select("outbox_id", "incident_id", F.col("channel").alias("failover_from"), "action", F.col("now.at_ms").alias("at_ms"), F.posexplode(F.element_at(places, F.col("channel"))).alias("place", "channel"))
+    up = latest_before(tried, folded.select("channel", "at_ms", "outbox_id", "state"), ["channel"], "at_ms", "outbox_id").filter(F.coalesce(F.col("now.state") != "OPEN", F.lit(True)))
+    best = up.groupBy("outbox_id").agg(F.min_by(F.struct("incident_id", "channel", "action", "failover_from", F.col("at_ms").alias("moved_ms")), "place").alias("x"))
+    action = F.when(F.col("x.action") == "update", "create").otherwise(F.col("x.action"))
+    return best.select("outbox_id", "x.incident_id", "x.channel", action.alias("action"), "x.failover_from", "x.moved_ms")
+
+
 def installations(orders: DataFrame) -> DataFrame:
     """Provider-ordered events of installations (customers stand for them): newer wins, at equal times the higher priority; deleted is terminal."""
 

@@ -59,25 +59,6 @@ def delivery_outcome(f: Frames) -> DataFrame:
     return rows.select("outbox_id", D.outcome(F.col("v"), F.col("attempts"), F.col("created_ms"), probe).alias("o")).select("outbox_id", "o.*")
 
 
-_MOVED = "status='pending' AND coalesce(priority,2)<=1 AND channel='slack' AND failover_of IS NULL"
-
-
-@query(
-    "failover_pending",
-    f"""SELECT outbox_id, incident_id, 'pagerduty' AS channel, CASE WHEN action='update' THEN 'create' ELSE action END AS action, outbox_id AS failover_of, 'slack' AS failover_from, NULL AS delivered_via_fallback FROM outbox WHERE {_MOVED}
-    UNION ALL SELECT outbox_id, incident_id, channel, action, failover_of, NULL, 'pagerduty' FROM outbox WHERE {_MOVED}""",
-    OUTBOX,
-)
-def failover_pending(f: Frames) -> DataFrame:
-    """Urgent rows of a chat outage: the new row on the first fallback, and the original, still pending, tagged with it."""
-    rows = f.outbox().filter("status = 'pending' AND coalesce(priority, 2) <= 1 AND channel = 'slack' AND failover_of IS NULL")
-    target = C.FAILOVER["slack"][0]
-    none = F.lit(None).cast("string")
-    moved = rows.select("outbox_id", "incident_id", F.lit(target).alias("channel"), F.when(F.col("action") == "update", "create").otherwise(F.col("action")).alias("action"), F.col("outbox_id").alias("failover_of"), F.lit("slack").alias("failover_from"), none.alias("delivered_via_fallback"))
-    tagged = rows.select("outbox_id", "incident_id", "channel", "action", "failover_of", none.alias("failover_from"), F.lit(target).alias("delivered_via_fallback"))
-    return moved.unionByName(tagged)
-
-
 #: The breaker in SQL: the results of a channel one after another.
 BREAKER = (
     OUTBOX.replace("ev AS", "RECURSIVE ev AS", 1)
@@ -96,6 +77,37 @@ outages AS (SELECT channel, min(at_ms) AS detected_ms, max(CASE WHEN state='CLOS
 )
 
 
+#: Every urgent row with the first outage found after it, and the fallbacks that are not open at that moment.
+_MOVED = """,
+wait AS (SELECT b.outbox_id, b.incident_id, b.channel, b.action, b.failover_of, min(g.detected_ms) AS moved_ms FROM outbox b JOIN outages g ON g.channel=b.channel AND g.detected_ms>=b.created_ms WHERE b.status='pending' AND coalesce(b.priority,2)<=1 AND b.failover_of IS NULL GROUP BY ALL),
+tried AS (SELECT w.*, t.target, t.place, (SELECT arg_max(state, n) FROM br WHERE br.channel=t.target AND br.at_ms<=w.moved_ms) AS state FROM wait w JOIN (VALUES ('slack','pagerduty',0),('slack','email',1),('pagerduty','slack',0),('pagerduty','email',1)) t(channel, target, place) ON t.channel=w.channel),
+moved AS (SELECT outbox_id, any_value(incident_id) AS incident_id, any_value(channel) AS failover_from, any_value(action) AS action, any_value(moved_ms) AS moved_ms, arg_min(target, place) AS target FROM tried WHERE coalesce(state,'CLOSED')<>'OPEN' GROUP BY outbox_id)"""
+
+
+@query(
+    "failover_pending",
+    """SELECT outbox_id, incident_id, target AS channel, CASE WHEN action='update' THEN 'create' ELSE action END AS action, outbox_id AS failover_of, failover_from, NULL AS delivered_via_fallback FROM moved
+    UNION ALL SELECT outbox_id, incident_id, failover_from, action, NULL, NULL, target FROM moved""",
+    BREAKER + _MOVED,
+)
+def failover_pending(f: Frames) -> DataFrame:
+    """Urgent rows of a channel that goes down: the new row on the first fallback that is up then, and the original, still pending, tagged with it."""
+    box = f.kept("outbox", f.outbox)
+    moved = f.kept("moved", lambda: folds.failovers(box, folds.breaker(box)))
+    none = lambda kind: F.lit(None).cast(kind)
+    copies = moved.select("outbox_id", "incident_id", "channel", "action", F.col("outbox_id").alias("failover_of"), "failover_from", none("string").alias("delivered_via_fallback"))
+    old = box.select("outbox_id", F.col("action").alias("old"))
+    tagged = moved.join(old, "outbox_id").select("outbox_id", "incident_id", F.col("failover_from").alias("channel"), F.col("old").alias("action"), none("long").alias("failover_of"), none("string").alias("failover_from"), F.col("channel").alias("delivered_via_fallback"))
+    return copies.unionByName(tagged)
+
+
+@query("failover_targets", "SELECT failover_from, target AS channel, count(*) AS n, min(moved_ms) AS first_ms FROM moved GROUP BY ALL", BREAKER + _MOVED)
+def failover_targets(f: Frames) -> DataFrame:
+    """Where urgent rows went, by the channel that was down."""
+    box = f.kept("outbox", f.outbox)
+    return folds.failovers(box, folds.breaker(box)).groupBy("failover_from", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("moved_ms").alias("first_ms"))
+
+
 @query("breaker_fold", "SELECT channel, outbox_id, kind, state, failures, step FROM br", BREAKER)
 def breaker_fold(f: Frames) -> DataFrame:
     """A channel's breaker after each of its results, from first to last."""

@@ -38,7 +38,7 @@ def safe_paths(f: Frames) -> DataFrame:
     return files(f).filter(T.safe_path(F.col("path"))).select("doc_id", "path")
 
 
-_PATCH = rf"""{_SAFE} AND strlen(path)<=512 AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: contains(p, ':') OR ends_with(p, '.') OR ends_with(p, ' ') OR regexp_matches(string_split(p, '.')[1], '^(?i:con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])$')))"""
+_PATCH = r"""length(path)<=512 AND strlen(path)<=512 AND NOT contains(path, chr(92)) AND NOT regexp_matches(path, '[\x00-\x1f]') AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: p IN ('','.','..'))) AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: contains(p, ':') OR ends_with(p, '.') OR ends_with(p, ' ') OR regexp_matches(string_split(p, '.')[1], '^(?i:con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])$')))"""
 
 
 @query("patch_paths", f"WITH {_FILES} SELECT doc_id, path FROM files WHERE {_PATCH}")
