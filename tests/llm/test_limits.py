@@ -239,3 +239,32 @@ def test_media_columns_of_wav_files(spark):
     assert H.recording_report(rows.limit(0), "media_id", "media", H.wave16).count() == 0
     whole = H.fingerprint_batch(np.stack([songs[0], songs[1]]))
     assert all(np.array_equal(a, H.fingerprint(b)) for a, b in zip(whole, songs, strict=False))
+
+
+def test_a_long_word_takes_bounded_memory():
+    """Besides the tables, an encoder keeps a few bytes for each byte of a piece."""
+    import tracemalloc
+
+    from tidewatch.llm.bpe import codec
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    coder = codec(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.encode("warm up")
+    piece = ("abcdefghij" * 30_000).encode()
+    tracemalloc.start()
+    ids = coder.encode_piece(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"".join(coder.token[i] for i in ids) == piece
+    assert peak < 40 * len(piece)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    from tidewatch.llm.linededup import remove_lines
+
+    line = "one shared line of boilerplate"
+    rows = [(k, f"own words {k}\n{line}", f"s{k}", f"k{k}", k, "t", "g") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string, others int, __text string, __gone string")
+    out = {r.doc_id: r for r in remove_lines(df).collect()}
+    assert [(r["__key"], r.others, r["__text"], r["__gone"]) for _, r in sorted(out.items())] == [(f"k{k}", k, "t", "g") for k in range(12)]
+    assert [r.text for _, r in sorted(out.items())] == [rows[0][1], *(f"own words {k}" for k in range(1, 12))]

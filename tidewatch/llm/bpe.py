@@ -126,11 +126,12 @@ class Codec:
         whole = self.ids.get(piece)
         if whole is not None and len(piece) <= 2:
             return [whole]
-        longest: dict[int, tuple[int, int]] = {}
-        for end, (n, i) in self.automaton.iter(piece.decode("latin-1")):
-            begin = end - n + 1
-            if begin not in longest or longest[begin][0] < n:
-                longest[begin] = (n, i)
+        # the automaton's own pairs, one pointer for each byte: a piece may be a whole long line
+        longest: list[tuple[int, int] | None] = [None] * len(piece)
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
+            begin = end - found[0] + 1
+            if longest[begin] is None or longest[begin][0] < found[0]:
+                longest[begin] = found
         out: list[int] = []
         dead = set()
         place, trial = 0, longest[0][1]
@@ -263,7 +264,10 @@ def encode_documents(docs: DataFrame, file: str, text: str = "text", ids: str =
 
 
 def recode_documents(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
-    """docs with ids, n_tokens and decoded (the ids turned back into text), in one pass with one set of tables."""
+    """docs with ids, n_tokens and decoded (the ids turned back into text), in one pass with one set of tables.
+
+    A column of docs that has one of these names goes; keep it under another name to have both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(file)

@@ -76,7 +76,10 @@ def line_report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 
 def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs without boilerplate lines; texts that had words and lose them all go."""
-    cleaned = _cleaned(docs, site, min_sites)
+    """docs without boilerplate lines; texts that had words and lose them all go. Other columns stay, whatever their names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", site)]
+    used = docs.select("doc_id", "text", site, F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in others)).alias("others") if others else F.lit(None).alias("others"))
+    cleaned = _cleaned(used, site, min_sites)
     emptied = F.col("__gone").isNotNull() & (word_count(F.col("__text")) == 0)
-    return cleaned.filter(~emptied).withColumn("text", F.col("__text")).select(*docs.columns)
+    rows = cleaned.filter(~emptied).withColumn("text", F.col("__text"))
+    return rows.select(*(F.col(c) if c in ("doc_id", "text", site) else F.col("others").getField(c).alias(c) for c in docs.columns))
