@@ -31,7 +31,7 @@ from .arrays import Ragged, at, pieces, ragged, slices, utf8
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Texts encoded together, in bytes: what a worker holds for a slice is some 25 times as much.
 _BATCH_BYTES = 1 << 20
-_KEPT, _KEPT_BYTES = 1 << 17, 40 << 20
+_KEPT, _KEPT_BYTES = 1 << 17, 80 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
