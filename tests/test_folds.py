@@ -110,7 +110,7 @@ def test_final_rhythm_equals_the_fold_and_the_prefixes(spark):
 
     import numpy as np
 
-    from tidewatch.operators import incidents
+    from tidewatch.operators import incidents, prefixes
     from tidewatch.streaming.lifecycle import paced
 
     r, rows, gaps, event = random.Random(3), [], defaultdict(list), 0
@@ -128,8 +128,44 @@ def test_final_rhythm_equals_the_fold_and_the_prefixes(spark):
     for x in incidents.incidents(table).collect():
         mean, variance = paced(gaps[x.incident_id])
         assert math.isclose(x.mean_gap, mean, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(x.variance, variance, rel_tol=1e-9, abs_tol=1e-6), x
-    means, variances = incidents.refolded(np.array(gaps["many"]))
+    means, variances = prefixes.refolded(np.array(gaps["many"]))
     assert all((means[k], variances[k]) == paced(gaps["many"][: k + 1]) for k in range(0, 399, 13))
+    place = defaultdict(int)
+    for x in incidents.rhythm(table).orderBy("inc", "ingested_ms").collect():
+        mean, variance = paced(gaps[x.inc][: place[x.inc]]) if place[x.inc] else (0.0, 0.0)
+        assert math.isclose(x.mean_ms, mean, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(x.variance, variance, rel_tol=1e-9, abs_tol=1e-6), x
+        place[x.inc] += 1
+
+
+def test_prefixes_in_linear_time_equal_the_fold():
+    import time
+
+    import numpy as np
+
+    from tidewatch.operators.prefixes import Prefixes, refolded
+
+    rng = np.random.default_rng(5)
+    spread = np.floor(rng.exponential(60_000, 5000))
+    histories = {"spread": spread, "even": np.full(2000, 777.0), "jump": np.repeat([10.0, 1e7, 3.0], 1500), "first": np.append(1e9, spread // 10_000), "none": np.zeros(600), "empty": np.empty(0)}
+    for name, gaps in histories.items():
+        prefixes, parts, at = Prefixes(), [], 0
+        while at < len(gaps):
+            step = int(rng.integers(1, 900))
+            parts.append(np.stack(prefixes.take(gaps[at : at + step])))
+            at += step
+        mean, variance = np.concatenate(parts, axis=1) if parts else np.empty((2, 0))
+        means, variances = refolded(gaps)
+        assert np.allclose(mean, means, rtol=1e-9, atol=1e-9) and np.allclose(variance, variances, rtol=1e-9, atol=1e-9), name
+    # a million alerts of one incident
+    long, began, prefixes = np.floor(rng.exponential(60_000, 1_000_000)), time.time(), Prefixes()
+    found = [np.stack(prefixes.take(long[k : k + 10_000]))[:, -1] for k in range(0, len(long), 10_000)]
+    assert time.time() - began < 30
+    for k in (3, 49, 99):
+        n = 10_000 * (k + 1)
+        alpha, mean, variance = 2 / (n + 1), long[0], 0.0
+        for gap in long[1:n]:
+            mean, variance = (1 - alpha) * mean + alpha * gap, (1 - alpha) * (variance + alpha * (gap - mean) ** 2)
+        assert np.allclose(found[k], (mean, variance), rtol=1e-9, atol=0)
 
 
 def test_verdicts_with_lift_hints_and_their_withdrawal(spark):

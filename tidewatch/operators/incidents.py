@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .prefixes import Prefixes
 
 ARRIVAL = ["ingested_ms", "event_id"]
 
@@ -92,46 +93,29 @@ def incidents(ordinary: DataFrame) -> DataFrame:
     )
 
 
-def refolded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of every prefix of the gaps, each folded from the first gap on with its own alpha = 2 / (n + 1).
-
-    All prefixes take one gap after another side by side, in the order of operations of a single fold. The work is
-    quadratic in the gaps of one incident, as the operator's definition is; the memory is linear.
-    """
-    alpha = 2.0 / (np.arange(1, len(values) + 1) + 1)
-    rest = 1 - alpha
-    mean, variance = np.full(len(values), values[0] if len(values) else 0.0), np.zeros(len(values))
-    for k in range(1, len(values)):
-        variance[k:] = rest[k:] * (variance[k:] + alpha[k:] * (values[k] - mean[k:]) ** 2)
-        mean[k:] = rest[k:] * mean[k:] + alpha[k:] * values[k]
-    return mean, variance
-
-
 def rhythm(ordinary: DataFrame) -> DataFrame:
     """For each alert the gaps up to it folded into mean and variance, and the quiet deadline that follows.
 
     The first and second alert find no history and take the initial window; a resolved state has no deadline. Sorted
-    partitions stream by; one incident's gaps are held at a time.
+    partitions stream by: an incident's gaps go through Prefixes batch by batch, in linear time and bounded memory.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        mean, variance = refolded(rows["gap"].to_numpy(np.float64)[1:])
-        off = (rows["status"] == "resolved").to_numpy()
-        few = np.arange(len(rows)) <= 1
-        rows["mean_ms"] = np.where(off, 0.0, np.concatenate([[0.0], mean]))
-        rows["variance"] = np.where(off | few, 0.0, np.concatenate([[0.0], variance]))
-        return rows
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        key, prefixes = None, Prefixes()
         for frame in frames:
-            for _, rows in frame.groupby("inc", sort=False):
-                if held and held[0]["inc"].iloc[0] != rows["inc"].iloc[0]:
-                    yield fold(pd.concat(held, ignore_index=True))
-                    held = []
-                held.append(rows)
-        if held:
-            yield fold(pd.concat(held, ignore_index=True))
+            incs, gap = frame["inc"].to_numpy(), frame["gap"].to_numpy(np.float64)
+            mean, variance = np.zeros(len(frame)), np.zeros(len(frame))
+            cuts = [0, *(np.flatnonzero(incs[1:] != incs[:-1]) + 1), len(frame)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                if incs[start] != key:
+                    # an incident's first alert has no gap
+                    key, prefixes, start = incs[start], Prefixes(), start + 1
+                mean[start:end], variance[start:end] = prefixes.take(gap[start:end])
+            off = (frame["status"] == "resolved").to_numpy()
+            few = frame["place"].to_numpy() <= 2
+            yield frame.assign(mean_ms=np.where(off, 0.0, mean), variance=np.where(off | few, 0.0, variance))
 
     w = _per_incident()
     rows = gaps(ordinary).withColumns({"first_ms": F.first("ingested_ms").over(w), "next_ms": F.lead("ingested_ms").over(w)})
