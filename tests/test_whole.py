@@ -98,14 +98,24 @@ def test_paths_that_may_be_written(spark):
     assert {r.p for r in rows.filter(patch_path(rows.p)).collect()} == set(good)
 
 
-def test_tree_walk_reaches_every_level_and_refuses_more_than_its_bound(spark, tmp_path):
-    from tidewatch.plans.extra import tree_walk
-
-    chain = spark.range(14).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
-    assert {r.id: (r.path, r.depth) for r in tree_walk(chain, 13).collect()} == {k: ("/".join(f"n{i}" for i in range(k + 1)), k) for k in range(14)}
-    with pytest.raises(ValueError, match="deeper than 2"):
-        tree_walk(chain, 2)
-    assert tree_walk(chain.filter("id > 0")).count() == 0
+def test_tree_walk_doubles_finds_cycles_and_keeps_its_bounds(spark, tmp_path):
+    from tidewatch.operators import tree
+
+    name = F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")
+    chain = spark.range(65).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), name)
+    found = {r.id: r for r in tree.walk(chain).collect()}
+    assert {k: (r.path, r.depth, r.verdict) for k, r in found.items()} == {k: ("/".join(f"n{i}" for i in range(k + 1)), k, "ok") for k in range(65)}
+    assert max(r.steps for r in found.values()) == 7
+    with pytest.raises(ValueError, match="deeper than 63"):
+        tree.walk(chain, 63)
+    with pytest.raises(ValueError, match="64 entries"):
+        tree.walk(chain, max_entries=64)
+    with pytest.raises(ValueError, match="63 inner"):
+        tree.walk(chain, max_requests=63)
+    # 1 -> 2 -> 3 -> 1 with 4 and 5 below; 7 below 6, whose parent is not there; a tree beside them
+    odd = spark.createDataFrame([(1, 3, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d"), (5, 4, None), (6, 99, "f"), (7, 6, "g"), (8, None, "h"), (9, 8, "i"), (10, 10, "self")], "id long, parent int, name string")
+    assert {r.id: (r.path, r.verdict) for r in tree.walk(odd).collect()} == {**dict.fromkeys([1, 2, 3, 4, 5, 10], (None, "cycle")), 6: (None, "no parent"), 7: (None, "no parent"), 8: ("h", "ok"), 9: ("h/i", "ok")}
+    assert tree.walk(chain.limit(0)).count() == 0
     keys = [1, 8, 64, 512, 4096, 32768, 262144, 2097152]
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted((r.id, r.depth) for r in catalog.QUERIES["tree_walk"](spark, str(tmp_path)).collect()) == [(k, d) for d, k in enumerate(keys)]

@@ -6,12 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.store import new_path
+from ..operators import tree
 from .duck import OUTBOX
 from .registry import add
 
-MAX_DEPTH = 64
-
 
 def reconcile(outbox: DataFrame) -> DataFrame:
     """Callbacks applied to incidents: a known id is a duplicate, an unknown kind or an edge that does not exist is ignored."""
@@ -28,27 +26,19 @@ add("reconcile_actions", lambda f: reconcile(f.outbox()), """SELECT outbox_id, C
     SELECT outbox_id, incident_id, CASE WHEN k%4=0 THEN 'resolve' WHEN k%4=1 THEN 'acknowledge' ELSE 'note' END AS kind, row_number() OVER (PARTITION BY channel||'/'||external_ref ORDER BY outbox_id) AS copy FROM outbox WHERE external_ref IS NOT NULL))""", OUTBOX)
 
 
-def tree_walk(entries: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """id, path, depth of a tree given as (id, parent, name): one join for each level until one is empty, roots have no parent;
-    cycles are never reached from a root. What lies deeper than depth is an error."""
-    spark = entries.sparkSession
-    folder = new_path(spark, "tree")
-    level, paths = entries.filter("parent IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), []
-    while True:
-        # each level is kept as a table, read again by the next one and by the result
-        paths.append(f"{folder}/{len(paths)}")
-        level.write.parquet(paths[-1])
-        level = spark.read.schema(level.schema).parquet(paths[-1])
-        if level.isEmpty():
-            return spark.read.schema(level.schema).parquet(*paths)
-        if len(paths) > depth + 1:
-            raise ValueError(f"tree is deeper than {depth}")
-        level = entries.join(level.select(F.col("id").alias("parent"), F.col("path").alias("up")), "parent").select("id", F.concat_ws("/", "up", "name").alias("path"), F.lit(len(paths)).alias("depth"))
-
-
-add("tree_walk", lambda f: tree_walk(f.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 8, F.expr("p_partkey div 8")).alias("parent"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))),
-    """WITH RECURSIVE e AS (SELECT p_partkey AS id, CASE WHEN p_partkey>=8 THEN p_partkey//8 END AS parent, 'n'||p_partkey AS name FROM part),
-    w(id, path, depth) AS (SELECT id, name, 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path||'/'||e.name, w.depth+1 FROM w JOIN e ON e.parent=w.id WHERE w.depth<64) SELECT id, path, depth FROM w""")
+def _tree(f) -> DataFrame:
+    """Parts as a tree of eight branches; some are their own ancestors, some hang below a part that does not exist."""
+    key = F.col("p_partkey")
+    parent = F.when(key % 97 == 13, key).when(key % 89 == 17, -key).when(key >= 8, F.expr("p_partkey div 8"))
+    return f.table("part").select(key.alias("id"), parent.alias("parent"), F.concat(F.lit("n"), key.cast("string")).alias("name"))
+
+
+add("tree_walk", lambda f: tree.walk(_tree(f)).drop("steps"),
+    """WITH RECURSIVE e AS (SELECT p_partkey AS id, CASE WHEN p_partkey%97=13 THEN p_partkey WHEN p_partkey%89=17 THEN -p_partkey WHEN p_partkey>=8 THEN p_partkey//8 END AS parent, 'n'||p_partkey AS name FROM part),
+    w(id, path, depth) AS (SELECT id, name, 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path||'/'||e.name, w.depth+1 FROM w JOIN e ON e.parent=w.id),
+    up(id, hi) AS (SELECT id, parent FROM e WHERE parent IS NOT NULL UNION SELECT up.id, e.parent FROM up JOIN e ON e.id=up.hi WHERE e.parent IS NOT NULL),
+    lost AS (SELECT DISTINCT id FROM up WHERE hi NOT IN (SELECT id FROM e))
+    SELECT e.id, w.path, w.depth, CASE WHEN w.id IS NOT NULL THEN 'ok' WHEN lost.id IS NOT NULL THEN 'no parent' ELSE 'cycle' END AS verdict FROM e LEFT JOIN w USING (id) LEFT JOIN lost USING (id)""")
 
 
 def causal_layers(edges: DataFrame) -> DataFrame:
