@@ -56,3 +56,17 @@ def test_decay_halves_and_lift_is_capped(spark):
 def test_silence_threshold_and_backoffs(spark):
     r = one(spark, low=C.silence_threshold(F.lit(0.0), F.lit(0.0), F.lit("low"), F.lit(0)), crit=C.silence_threshold(F.lit(0.0), F.lit(0.0), F.lit("critical"), F.lit(0)), flap=C.silence_threshold(F.lit(0.0), F.lit(0.0), F.lit("low"), F.lit(99)), retry=C.retry_backoff(F.lit(9)), probe=C.probe_delay(F.lit(2)))
     assert tuple(r) == (900_000, 3_000_000, 10_251_562, 300, 20)
+
+
+def test_canonical_json_equals_python_on_every_plane(spark):
+    import hashlib
+    import json
+
+    texts = ["", "plain", 'say "so" \\ / <b>', "\b\t\n\f\r\x00\x01\x1f\x7f", "caf\u00e9 \u4e2d \u2028 \ue000 \ufffd", "\U0001f600 \U00010000 \U0002a6d6 \U000e0041 \U0010ffff", "e\u0301" * 300]
+    texts += ["".join(map(chr, range(k, k + 64))) for k in (0, 0x60, 0x7C0, 0xD7C0, 0xE000, 0xFFC0, 0x1F600)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert {r.k: r.j for r in rows.select("k", C.json_string(F.col("t")).alias("j")).collect()} == {k: json.dumps(t) for k, t in enumerate(texts)}
+    labels = {"b\u00e9": "x", "a": "\U0001f600", "\ud7ff": "1", "\U00010000": "2"}
+    made = spark.createDataFrame([("s\u00e9", "n", "error", labels)], "s string, a string, v string, l map<string,string>")
+    want = json.dumps({"service": "s\u00e9", "alertname": "n", "severity": "error", "labels": labels}, sort_keys=True, separators=(",", ":"))
+    assert made.select(C.stable_fingerprint(F.col("s"), F.col("a"), F.col("v"), F.col("l"))).first()[0] == hashlib.sha256(want.encode()).hexdigest()

@@ -81,10 +81,21 @@ def fingerprint(service: Column, alertname: Column, labels: Column) -> Column:
     return F.sha2(F.concat_ws("|", service, alertname, F.array_join(pairs, ",")), 256)
 
 
+def json_string(text: Column) -> Column:
+    """text as a JSON string in ASCII, as canonical JSON has it: what is not printable is escaped by its UTF-16 units."""
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(quoted, "UTF-16BE"))), F.lit("(.{4})"), F.lit(1))
+    named = {"0008": "\\b", "0009": "\\t", "000a": "\\n", "000c": "\\f", "000d": "\\r"}
+    printable = lambda u: F.char(F.conv(u, 16, 10).cast("int"))
+    escaped = F.transform(units, lambda u: F.when(u.between("0020", "007e"), printable(u)).otherwise(F.coalesce(pick(u, named), F.concat(F.lit("\\u"), u))))
+    return F.concat(F.lit('"'), F.when(text.rlike("[^ -~]"), F.array_join(escaped, "")).otherwise(quoted), F.lit('"'))
+
+
 def stable_fingerprint(service: Column, alertname: Column, severity_raw: Column, labels: Column) -> Column:
-    """SHA-256 over canonical JSON (sorted keys) of what stays the same between repeats. Text outside ASCII is not escaped."""
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(stable_labels(labels))))
-    return F.sha2(F.to_json(F.struct(alertname.alias("alertname"), ordered.alias("labels"), service.alias("service"), severity_raw.alias("severity"))), 256)
+    """SHA-256 over canonical JSON (sorted keys, ASCII) of what stays the same between repeats. What is null is left out."""
+    pairs = F.transform(F.array_sort(F.map_entries(stable_labels(labels))), lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_string(e["value"])))
+    fields = {"alertname": json_string(alertname), "labels": F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), "service": json_string(service), "severity": json_string(severity_raw)}
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items())), F.lit("}")), 256)
 
 
 def transition(state: Column, trigger: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import delivery as D
-from ..operators import folds
+from ..operators import folds, ledger
+from ..operators.store import written
 from .duck import ALERTS, EDGES, INCIDENTS, OUTBOX
 from .graphs import REVISIONS, ROOTS, _STORM, _storms, group_root, revisions
 from .registry import Frames, query
@@ -338,6 +339,33 @@ def hash_chain(f: Frames) -> DataFrame:
     return folds.hash_chain(f.o()).select("event_id", "row_hash")
 
 
+_SEGMENTS = (
+    ALERTS
+    + f""",
+led AS (SELECT event_id, row_number() OVER (ORDER BY ingested_ms, event_id) AS n, status||'|'||message||'|'||fired_ms AS p FROM o),
+low AS (SELECT (n-1)//{ledger.SEGMENT}*{ledger.SEGMENT}+1 AS segment, count(*) AS n, list_reduce(list_prepend(repeat('0',64), list(p ORDER BY n)), lambda h, x: sha256(h||x)) AS head FROM led GROUP BY 1),
+top AS (SELECT 1 AS segment, count(*) AS n, list_reduce(list_prepend(repeat('0',64), list(head||':'||n ORDER BY segment)), lambda h, x: sha256(h||x)) AS head FROM low HAVING count(*)>1)"""
+)
+
+
+@query("ledger_seals", "SELECT 0 AS level, segment, n, head FROM low UNION ALL SELECT 1, segment, n, head FROM top", _SEGMENTS)
+def ledger_seals(f: Frames) -> DataFrame:
+    """Heads of the segments of one ledger over all alerts, and of the chain of those heads."""
+    return ledger.sealed(ledger.segmented(f.o()))
+
+
+@query(
+    "ledger_check",
+    f"""SELECT 0 AS level, (n-1)//{ledger.SEGMENT}*{ledger.SEGMENT}+1 AS segment, min(n) AS first_bad, CASE WHEN min(n)=min(CASE WHEN event_id%1501=7 THEN n END) THEN 'lost' ELSE 'changed' END AS kind
+    FROM led WHERE event_id%997=5 OR event_id%1501=7 GROUP BY 2""",
+    _SEGMENTS,
+)
+def ledger_check(f: Frames) -> DataFrame:
+    """Where a ledger that lost some rows and had others changed departs from its seals first, in each segment."""
+    chain = written(ledger.segmented(f.o()), "ledger")
+    return ledger.verified(folds.tampered(chain).filter("event_id % 1501 <> 7"), ledger.sealed(chain))
+
+
 @query("verify_chain", "SELECT inc, min(n) AS first_bad FROM chain JOIN led USING (inc, n) WHERE sha256(prev||CASE WHEN led.event_id%997=5 THEN p||'!' ELSE p END)<>h GROUP BY inc", _CHAIN)
 def verify_chain(f: Frames) -> DataFrame:
     """The first row of each chain whose hash is not that of what it now holds."""
