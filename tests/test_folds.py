@@ -250,3 +250,30 @@ def test_stream_timers_make_incidents_quiescent_and_resolve_them(spark, tmp_path
     assert ("a", "quiet_deadline", "QUIESCENT", 5_000) in got and ("a", "inferred_silence", "RESOLVED", 900_000) in got
     assert ("b", "alert", "RESOLVED", 60_000) in got and not [x for x in got if x[0] == "b" and x[1] == "inferred_silence"]
     assert ("c", "alert", "ACKNOWLEDGED", 4_000_000) in got
+
+
+def test_selections_follow_events_that_take_effect(spark):
+    import random
+
+    r, rows, nr = random.Random(4), [], 0
+    for inst in range(12):
+        for _ in range(r.randint(0, 14)):
+            nr += 1
+            action = r.choice(["created", "removed", "created", "removed", "created", "suspend", "unsuspend", "deleted"] if inst % 3 else ["created", "removed"])
+            names = [r.randrange(6) for _ in range(3)] if action in ("created", "removed") else []
+            rows.append((inst, nr, r.randint(1, 9) + nr // 3, r.choice([10, 70]), action, names[:2] or None, names[2:] or None, "odd"))
+    known = [(inst, repository, inst % 2 == 0) for inst in range(13) for repository in (0, 1)]
+    want, due, states = {(i, p): s for i, p, s in known}, set(), {}
+    for inst, _, at, prio, action, added, removed, _ in rows:
+        state = states.get(inst)
+        blocked = state and (state[2] == "deleted" or (at, prio) <= state[:2] or (state[2] == "suspend" and action not in ("unsuspend", "deleted")))
+        if blocked:
+            due |= {inst} if action in ("created", "removed") else set()
+            continue
+        states[inst] = (at, prio, action)
+        want |= {(inst, p): True for p in added or []}
+        want |= {(inst, p): False for p in removed or []}
+    schema = "inst long, nr long, at_us long, prio int, action string, added array<int>, removed array<int>, selected string"
+    got = folds.selections(spark.createDataFrame(known, "inst long, repository int, selected boolean"), spark.createDataFrame(rows, schema)).collect()
+    assert {(x.inst, x.repository): x.selected for x in got} == want and len(got) == len(want)
+    assert {x.inst for x in got if x.sync_due} == due and due

@@ -189,33 +189,69 @@ def failovers(outbox: DataFrame, folded: DataFrame) -> DataFrame:
     return best.select("outbox_id", "x.incident_id", "x.channel", action.alias("action"), "x.failover_from", "x.moved_ms")
 
 
-def installations(orders: DataFrame) -> DataFrame:
-    """Provider-ordered events of installations (customers stand for them): newer wins, at equal times the higher priority; deleted is terminal."""
+def installation_step(state: tuple | None, at: int, prio: int, action: str) -> tuple[tuple, bool]:
+    """(at, priority, revision, action) of an installation after one more event of its provider, and whether the event took
+    effect: newer wins, at equal times the higher priority; deleted is terminal, suspended ends by unsuspend or deleted only."""
+    if state is None:
+        return (at, prio, 1, action), True
+    if state[3] == "deleted" or (at, prio) <= state[:2] or (state[3] == "suspend" and action not in ("unsuspend", "deleted")):
+        return state, False
+    return (at, prio, state[2] + 1, action), True
+
+
+def installation_events(orders: DataFrame) -> DataFrame:
+    """Provider-ordered events of installations (customers stand for them), nr is their order of delivery."""
+    action = F.element_at(F.array(*map(F.lit, ["created", "suspend", "unsuspend", "removed", "deleted"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    # some events open all repositories
+    prio = F.when(action == "deleted", 100).when(action == "suspend", 90).when(F.col("o_orderkey") % 7 == 3, 80).when(action == "removed", 70).otherwise(10)
+    return orders.select(F.col("o_custkey").alias("inst"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at_us"), prio.alias("prio"), action.alias("action"), F.col("o_orderkey").alias("nr"))
+
+
+def installation_states(events: DataFrame) -> DataFrame:
+    """inst, nr, action, applied and the state (at_us, prio, revision, state) after each event; other columns are left out.
+
+    Sorted partitions stream by with one state at a time, however many events an installation has.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
-        done: list[tuple] = []
         for frame in frames:
-            for inst, at, prio, action in zip(frame.inst, frame.at_us, frame.prio, frame.action, strict=True):
+            rows = []
+            for inst, nr, at, prio, action in zip(frame.inst, frame.nr, frame.at_us, frame.prio, frame.action, strict=True):
                 if inst != key:
-                    if key is not None:
-                        done.append((key, *state))
                     key, state = inst, None
-                if state is None:
-                    state = (at, prio, 1, action)
-                elif state[3] != "deleted" and (at, prio) > state[:2] and not (state[3] == "suspend" and action not in ("unsuspend", "deleted")):
-                    state = (at, prio, state[2] + 1, action)
-            yield pd.DataFrame(done, columns=["inst", "at_us", "prio", "revision", "action"])
-            done = []
-        if key is not None:
-            yield pd.DataFrame([(key, *state)], columns=["inst", "at_us", "prio", "revision", "action"])
+                state, applied = installation_step(state, at, prio, action)
+                rows.append((inst, nr, action, applied, *state))
+            yield pd.DataFrame(rows, columns=["inst", "nr", "action", "applied", "at_us", "prio", "revision", "state"])
 
-    action = F.element_at(F.array(*map(F.lit, ["created", "suspend", "unsuspend", "removed", "deleted"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    # some events open all repositories
-    prio = F.when(action == "deleted", 100).when(action == "suspend", 90).when(F.col("o_orderkey") % 7 == 3, 80).when(action == "removed", 70).otherwise(10)
-    events = orders.select(F.col("o_custkey").alias("inst"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at_us"), prio.alias("prio"), action.alias("action"), "o_orderkey")
-    ordered = events.repartition("inst").sortWithinPartitions("inst", "o_orderkey")
-    return ordered.mapInPandas(run, "inst long, at_us long, prio int, revision long, action string")
+    ordered = events.select("inst", "nr", "at_us", "prio", "action").repartition("inst").sortWithinPartitions("inst", "nr")
+    return ordered.mapInPandas(run, "inst long, nr long, action string, applied boolean, at_us long, prio int, revision long, state string")
+
+
+def installations(orders: DataFrame) -> DataFrame:
+    """inst, at_us, prio, revision, action: each installation's state after its last event."""
+    last = installation_states(installation_events(orders)).groupBy("inst").agg(F.max_by(F.struct("at_us", "prio", "revision", "state"), "nr").alias("x"))
+    return last.select("inst", "x.at_us", "x.prio", "x.revision", F.col("x.state").alias("action"))
+
+
+def selections(known: DataFrame, events: DataFrame) -> DataFrame:
+    """inst, repository, selected, sync_due after events that add and remove repositories (added, removed: arrays or null).
+
+    Only events that took effect, and left their installation active, change the selection; in one event removals come after
+    additions. One that came too late is left to a full sync, which its installation is then due for. A repository's last
+    change is an aggregate over (installation, repository), so a large installation is many groups and partial ones at that;
+    what is stepped through in order carries no repositories. known: inst, repository, selected.
+    """
+    mine = F.col("action").isin("created", "removed")
+    stepped = written(installation_states(events).filter(mine).select("inst", "nr", "applied"), "events")
+    lists = events.join(stepped.filter("applied").select("inst", "nr"), ["inst", "nr"])
+    sides = [("added", 0, True), ("removed", 1, False)]
+    each = [lists.select("inst", F.explode(name).alias("repository"), F.struct("nr", F.lit(turn).alias("turn")).alias("place"), F.lit(chosen).alias("chosen")) for name, turn, chosen in sides]
+    last = each[0].unionByName(each[1]).groupBy("inst", "repository").agg(F.max_by("chosen", "place").alias("chosen"))
+    rows = known.select("inst", "repository", "selected").join(last, ["inst", "repository"], "full")
+    late = stepped.groupBy("inst").agg(F.count_if(~F.col("applied")).alias("late"))
+    rows = rows.join(late, "inst", "left")
+    return rows.select("inst", "repository", F.coalesce("chosen", "selected", F.lit(False)).alias("selected"), (F.coalesce("late", F.lit(0)) > 0).alias("sync_due"))
 
 
 def skew_warnings(alerts: DataFrame) -> DataFrame:

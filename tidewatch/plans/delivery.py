@@ -479,3 +479,24 @@ w(source, scope_key, event_id, n, last, tell) AS (SELECT source, scope_key, even
 )
 def skew_warnings(f: Frames) -> DataFrame:
     return folds.skew_warnings(f.alerts())
+
+
+@query(
+    "selection_deltas",
+    """WITH RECURSIVE e AS (SELECT o_custkey AS inst, o_orderkey AS nr, epoch_us(o_orderdate) AS at_us, ['created','suspend','unsuspend','removed','deleted'][CAST(o_orderkey%5 AS INT)+1] AS action,
+      CASE WHEN o_orderkey%5=4 THEN 100 WHEN o_orderkey%5=1 THEN 90 WHEN o_orderkey%7=3 THEN 80 WHEN o_orderkey%5=3 THEN 70 ELSE 10 END AS prio, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    s(inst, n, nr, at_us, prio, action, mine, ok) AS (SELECT inst, n, nr, at_us, prio, action, action IN ('created','removed'), true FROM e WHERE n=1 UNION ALL
+      SELECT e.inst, e.n, e.nr, CASE WHEN good THEN e.at_us ELSE x.at_us END, CASE WHEN good THEN e.prio ELSE x.prio END, CASE WHEN good THEN e.action ELSE x.action END, e.action IN ('created','removed'), good
+      FROM s x JOIN e ON e.inst=x.inst AND e.n=x.n+1, LATERAL (SELECT x.action<>'deleted' AND (e.at_us>x.at_us OR (e.at_us=x.at_us AND e.prio>x.prio)) AND NOT (x.action='suspend' AND e.action NOT IN ('unsuspend','deleted')) AS good)),
+    d AS (SELECT inst, nr, unnest([nr%40, nr*7%40, nr*3%40]) AS repository, unnest([true,true,false]) AS chosen FROM s WHERE mine AND ok),
+    l AS (SELECT inst, repository, chosen FROM d QUALIFY row_number() OVER (PARTITION BY inst, repository ORDER BY nr DESC, chosen)=1),
+    k AS (SELECT c_custkey AS inst, unnest([c_custkey%40, (c_custkey+11)%40]) AS repository, c_custkey%2=0 AS selected FROM customer)
+    SELECT inst, repository, coalesce(chosen, selected, false) AS selected, inst IN (SELECT inst FROM s WHERE mine AND NOT ok) AS sync_due FROM k FULL JOIN l USING (inst, repository)""",
+)
+def selection_deltas(f: Frames) -> DataFrame:
+    """Repositories selected after all events; an event that creates or removes names up to two to add and one to remove."""
+    nr, key = F.col("nr"), F.col("c_custkey")
+    mine = F.col("action").isin("created", "removed")
+    events = folds.installation_events(f.table("orders")).withColumns({"added": F.when(mine, F.array(nr % 40, nr * 7 % 40)), "removed": F.when(mine, F.array(nr * 3 % 40))})
+    known = f.table("customer").select(key.alias("inst"), F.explode(F.array(key % 40, (key + 11) % 40)).alias("repository"), (key % 2 == 0).alias("selected"))
+    return folds.selections(known, events)
