@@ -229,7 +229,7 @@ def test_every_query_has_the_columns_of_its_oracle(spark):
 
 
 #: These run jobs when they are built.
-ITERATIVE = {"storm_components", "storm_anchor", "group_rollup", "group_root", "group_snapshot"}
+ITERATIVE = {"storm_components", "storm_anchor", "group_rollup", "group_root", "group_snapshot", "tree_walk", "ledger_seals", "ledger_check", "patch_verdicts", "patch_proposals", "selection_deltas"}
 
 
 def test_stream_timers_make_incidents_quiescent_and_resolve_them(spark, tmp_path):
