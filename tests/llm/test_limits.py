@@ -268,3 +268,25 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     out = {r.doc_id: r for r in remove_lines(df).collect()}
     assert [(r["__key"], r.others, r["__text"], r["__gone"]) for _, r in sorted(out.items())] == [(f"k{k}", k, "t", "g") for k in range(12)]
     assert [r.text for _, r in sorted(out.items())] == [rows[0][1], *(f"own words {k}" for k in range(1, 12))]
+
+
+def test_copies_of_a_text_are_one_trial(spark):
+    from tidewatch.llm import quality as Q
+
+    rule = [1] + [0] * (len(Q.RULES) - 1)
+    rows = [("copies", True, k % 3, [0] * len(Q.RULES) if k else rule) for k in range(3000)]
+    rows += [("texts", True, k, [0] * len(Q.RULES) if k % 400 else rule) for k in range(12000)]
+    data = spark.createDataFrame(rows, "stratum string, good boolean, text_key long, levels array<int>")
+    floors = {x.stratum: x.floors for x in Q.calibrate(data, 0.02, 0.1).collect()}
+    # three texts, however often they occur, show nothing; twelve thousand do
+    assert not any(floors["copies"]) and any(floors["texts"])
+
+
+def test_a_kind_without_a_threshold_is_an_error(monkeypatch):
+    from tidewatch.llm import pii as P
+
+    P.model.cache_clear()
+    monkeypatch.setattr(P, "examples", lambda kind, seed: [([0.0] * 11, i % 2 == 0) for i in range(200)])
+    with pytest.raises(ValueError, match="no threshold"):
+        P.model(P.KINDS[4])
+    P.model.cache_clear()

@@ -184,9 +184,10 @@ def _fraction(a: float, b: float, x: float) -> float:
 def calibrate(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
     """stratum, floors: of each rule the number of exceeded cutoffs from which it rejects (0: the rule is off).
 
-    labelled: text_key, stratum, good, levels.
+    labelled: text_key, stratum, good, levels. Rows of a stratum with one text_key are one trial: the exact bound takes its
+    trials for independent, which copies of a text are not.
     """
-    good = labelled.filter("good").select("stratum", (F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(2)) == 0).alias("tune"), "levels")
+    good = labelled.filter("good").dropDuplicates(["stratum", "text_key"]).select("stratum", (F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(2)) == 0).alias("tune"), "levels")
     # tuning: how many good documents of a stratum reach each level of each rule
     tune = good.filter("tune")
     reached = tune.select("stratum", F.posexplode("levels").alias("rule", "level")).groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("c"))
