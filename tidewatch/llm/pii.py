@@ -203,6 +203,8 @@ def model(kind: str) -> tuple[list[Tree], float]:
         bound = (p + z * z / (2 * i) - z * math.sqrt(p * (1 - p) / i + z * z / (4 * i * i))) / (1 + z * z / i)
         if bound >= 0.98 and (i == len(scored) or scored[i][0] < score):
             best = score
+    if best == math.inf:
+        raise ValueError(f"no threshold finds {kind} with a precision of 0.98")
     # leaves have six digits: half a digit below, so that the order of summing is no matter
     return trees, best - 5e-7
 
