@@ -76,24 +76,36 @@ def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: in
     return rows.mapInPandas(run, "event_id long, ct long, cf long, scope_key string, ci string, ni string, nf long, rk int, part long")
 
 
-def decayed(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
-    """keys, value, latest, n: one for each row (ct, event_id: arrival; cf: its time), halved for each half-life that passes.
+def partial(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, w, span, first_cf, last_cf, m of rows (ct, event_id: arrival; cf: its time): their weight as at the last
+    row of the part, halved for each half-life that passed, and what it takes to age it further.
 
-    Of n rows in order of arrival the k-th has aged by the sum of the elapsed times after it, each at least 0. That sum is
-    taken within parts of a scope's alerts first, each a group of its own of bounded size, and then over the parts of a key:
-    no key's rows meet in one task.
+    Of n rows in order of arrival the k-th has aged by the sum of the elapsed times after it, each at least 0.
     """
     ordered = Window.partitionBy(*keys, "part").orderBy(F.desc("ct"), F.desc("event_id"))
     sliced = rows.select(*keys, "ct", "event_id", "cf", "part")
     sliced = sliced.withColumn("step", F.greatest(F.lit(0), F.coalesce(F.lag("cf").over(ordered) - F.col("cf"), F.lit(0))))
     sliced = sliced.withColumn("age", F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct("ct", "event_id")
-    parts = sliced.groupBy(*keys, "part").agg(F.sum(C.decay(F.lit(1.0), F.col("age"), HALF_LIFE)).alias("w"), F.max("age").alias("span"), F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.count(F.lit(1)).alias("m"))
+    return sliced.groupBy(*keys, "part").agg(F.sum(C.decay(F.lit(1.0), F.col("age"), HALF_LIFE)).alias("w"), F.max("age").alias("span"), F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.count(F.lit(1)).alias("m"))
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, w, span, first_cf, last_cf, m of the parts of a key in their order, as one part: merging is associative."""
     later = Window.partitionBy(*keys).orderBy(F.desc("part"))
     between = F.greatest(F.lit(0), F.lag("first_cf").over(later) - F.col("last_cf")) + F.lag("span").over(later)
     parts = parts.withColumn("step", F.coalesce(between, F.lit(0)))
     parts = parts.withColumn("age", F.sum("step").over(later.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy(*keys).agg(F.sum(C.decay(F.col("w"), F.col("age"), HALF_LIFE)).alias(value), F.max_by("last_cf", "part").alias(latest), F.sum("m").alias("n"))
+    return parts.groupBy(*keys).agg(F.sum(C.decay(F.col("w"), F.col("age"), HALF_LIFE)).alias("w"), F.max(F.col("age") + F.col("span")).alias("span"), F.min_by("first_cf", "part").alias("first_cf"), F.max_by("last_cf", "part").alias("last_cf"), F.sum("m").alias("m"))
+
+
+def decayed(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
+    """keys, value, latest, n: one for each row, halved for each half-life that passes.
+
+    Ages are summed within parts of a scope's alerts first, each a group of its own of bounded size, and then over the parts
+    of a key: no key's rows meet in one task.
+    """
+    return merged(partial(rows, keys), keys).select(*keys, F.col("w").alias(value), F.col("last_cf").alias(latest), F.col("m").alias("n"))
 
 
 def directed(observed: DataFrame, *also: str) -> DataFrame:
