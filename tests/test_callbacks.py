@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import LIFECYCLE
 from tidewatch.operators import callbacks, folds
-from tidewatch.operators.counts import counted, latest_before
+from tidewatch.operators.counts import counted, latest_before, placed
 
 TOLD = "callback_id long, inbound_id string, incident_id string, provider string, kind string, actor string, source string, detail string, at_ms long"
 KINDS = {"acknowledge": "ACKNOWLEDGE", "resolve": "RESOLVE"}
@@ -88,3 +88,14 @@ def test_counts_and_as_of_joins_on_uneven_times(spark):
     for m in latest_before(moments, states, ["c"], "ms", "id", after=True).collect():
         new = [(s[1], s[2]) for s in known if s[0] == m.c and s[1] > m.ms]
         assert (m.now and (m.now.ms, m.now.id)) == (min(new) if new else None)
+
+
+def test_places_in_an_order_over_many_ranges(spark):
+    r = random.Random(3)
+    rows = [(k, r.choice([None, 1, 1, 2, 7]), r.choice("ab")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n int, place string").repartition(5)
+    got = placed(df, [F.desc("n"), F.asc("id")], "at")
+    assert got.columns == ["id", "n", "place", "at"]
+    want = sorted(rows, key=lambda x: (-(x[1] if x[1] is not None else -1), x[0]))
+    assert {x.id: x.at for x in got.collect()} == {row[0]: k for k, row in enumerate(want, 1)}
+    assert placed(df.limit(0), [F.asc("id")], "at").count() == 0

@@ -45,3 +45,16 @@ def latest_before(moments: DataFrame, states: DataFrame, keys: list[str], ms: st
     numbered = rows.filter("__turn = 0").select(*keys, F.col("__upto").alias("__n"), "now")
     asked = rows.filter("__turn = 1").select(*keys, (F.col("__upto") + (1 if after else 0)).alias("__n"), "__m")
     return asked.join(numbered, [*keys, "__n"], "left").select("__m.*", "now")
+
+
+def placed(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) in the order of by, which has to be an order without ties to be the same in every run.
+
+    Rows are dealt by ranges of the order and numbered where they lie; what is brought together is a count for each range.
+    """
+    ranged = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("__p", F.shiftright("__m", 33))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(F.broadcast(offsets), "__p").select(*rows.columns, place.alias(name))

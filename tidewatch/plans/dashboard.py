@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import incidents as I
+from ..operators.counts import placed
 from .duck import ALERTS, INCIDENTS, RHYTHM
 from .registry import Frames, query
 
@@ -87,9 +88,8 @@ RECENT = 1704108000000
 
 @query("incidents_recent", f"SELECT incident_id, last_ingested_ms, row_number() OVER (ORDER BY last_ingested_ms DESC, incident_id) AS place FROM incidents WHERE last_ingested_ms > {RECENT}", INCIDENTS)
 def incidents_recent(f: Frames) -> DataFrame:
-    """Incidents touched since a poll's cursor, newest first. A row per incident: the ordering is over identities, not alerts."""
-    newest = Window.orderBy(F.desc("last_ingested_ms"), "incident_id")
-    return f.incidents().filter(F.col("last_ingested_ms") > RECENT).select("incident_id", "last_ingested_ms", F.row_number().over(newest).cast("long").alias("place"))
+    """Incidents touched since a poll's cursor, newest first."""
+    return placed(f.incidents().filter(F.col("last_ingested_ms") > RECENT).select("incident_id", "last_ingested_ms"), [F.desc("last_ingested_ms"), F.asc("incident_id")], "place")
 
 
 @query(
@@ -101,9 +101,11 @@ def incidents_recent(f: Frames) -> DataFrame:
 )
 def incidents_by_urgency(f: Frames) -> DataFrame:
     """The place of each incident in the table's three orders."""
-    rank, newest = C.pick(F.col("severity"), C.PRIORITIES, 3), F.desc("last_ingested_ms")
-    orders = {"urgency": [rank, newest], "recent": [newest, rank], "volume": [F.desc("alert_count"), rank, newest]}
-    return f.incidents().select("incident_id", *(F.row_number().over(Window.orderBy(*o, "incident_id")).cast("long").alias(name) for name, o in orders.items()))
+    rank, newest, last = F.asc("rank"), F.desc("last_ingested_ms"), F.asc("incident_id")
+    out = f.incidents().select("incident_id", C.pick(F.col("severity"), C.PRIORITIES, 3).alias("rank"), "last_ingested_ms", "alert_count")
+    for name, order in {"urgency": [rank, newest], "recent": [newest, rank], "volume": [F.desc("alert_count"), rank, newest]}.items():
+        out = placed(out, [*order, last], name)
+    return out.select("incident_id", "urgency", "recent", "volume")
 
 
 def matches(incidents: DataFrame, tab: list[str], severities: list[str], text: str) -> DataFrame:
@@ -250,7 +252,7 @@ def recover_deadlines(f: Frames) -> DataFrame:
     low, high = F.min("last_ingested_ms"), F.max("last_ingested_ms")
     now = f.incidents().agg((low + F.expr("(max(last_ingested_ms) - min(last_ingested_ms)) div 2")).alias("now_ms"), high.alias("high"))  # one row
     due = f.incidents().join(F.broadcast(now)).filter("status = 'ACKNOWLEDGED' AND quiet_at_ms > now_ms")
-    return due.select("incident_id", "quiet_at_ms", F.row_number().over(Window.orderBy("quiet_at_ms", "incident_id")).cast("long").alias("place"))
+    return placed(due.select("incident_id", "quiet_at_ms"), [F.asc("quiet_at_ms"), F.asc("incident_id")], "place")
 
 
 SEPARATOR = "[ \t\n\r\x0b\x0c]+[—·][ \t\n\r\x0b\x0c]+"
