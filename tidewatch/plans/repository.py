@@ -16,7 +16,8 @@ _DIRS = "['/', '/node_modules/', '/../', '/src/', '/.ssh/', '/Build/', '/a\\b/',
 _NAMES = "['.py', '.min.js', '.exe', '.ts', '.md', '.tsx', '.YML', '.env', '.go', '']"
 #: The path of a document, in SQL that both engines read; {d} and {n} take an element of a list.
 _PATH = "source || {d} || 'f' || doc_id || {n}"
-_FILES = f"files AS (SELECT doc_id, source, text, n_chars, strlen(text) AS size, {_PATH.format(d=f'{_DIRS}[CAST(doc_id%13 AS INT)+1]', n=f'{_NAMES}[CAST(doc_id%10 AS INT)+1]')} AS path FROM documents WHERE text IS NOT NULL)"
+_DOCUMENTS = f"SELECT doc_id, source, text, n_chars, strlen(text) AS size, {_PATH.format(d=f'{_DIRS}[CAST(doc_id%13 AS INT)+1]', n=f'{_NAMES}[CAST(doc_id%10 AS INT)+1]')} AS path FROM documents"
+_FILES = f"files AS ({_DOCUMENTS} WHERE text IS NOT NULL)"
 _PARTS = r"string_split(lower(path), '/')"
 _SAFE = rf"""(length(path)<=512 AND NOT contains(path, chr(92)) AND NOT list_bool_or(list_transform({_PARTS}, lambda p: p IN ('','.','..')))
   AND NOT coalesce(list_bool_or(list_transform({_PARTS}[:-2], lambda p: p IN ('.next','build','coverage','dist','node_modules','vendor'))), false)
@@ -25,12 +26,17 @@ _SAFE = rf"""(length(path)<=512 AND NOT contains(path, chr(92)) AND NOT list_boo
   AND regexp_matches({_PARTS}[-1], '\.(c|cc|cpp|cs|css|go|h|hpp|html|java|js|json|jsx|kt|md|php|py|rb|rs|sh|sql|toml|ts|tsx|txt|yaml|yml)$'))"""
 
 
-def files(f: Frames) -> DataFrame:
-    """doc_id, source, path, size (bytes), text of documents as files; paths of every awkward kind."""
+def paths(f: Frames) -> DataFrame:
+    """doc_id, source, path, size (bytes), text of all documents, with or without a text; paths of every awkward kind."""
     array = lambda names: F.array(*(F.lit(n.strip().strip("'")) for n in names.strip("[]").split("', ")))
     take = lambda names, m: F.element_at(array(names), (F.col("doc_id") % m + 1).cast("int"))
     path = F.concat("source", take(_DIRS, 13), F.lit("f"), F.col("doc_id").cast("string"), take(_NAMES, 10))
-    return f.table("documents").filter("text IS NOT NULL").select("doc_id", "source", path.alias("path"), F.octet_length("text").alias("size"), "text", "n_chars")
+    return f.table("documents").select("doc_id", "source", path.alias("path"), F.octet_length("text").alias("size"), "text", "n_chars")
+
+
+def files(f: Frames) -> DataFrame:
+    """The documents that have a text, as files."""
+    return paths(f).filter("text IS NOT NULL")
 
 
 @query("safe_paths", f"WITH {_FILES} SELECT doc_id, path FROM files WHERE {_SAFE}")
@@ -41,9 +47,11 @@ def safe_paths(f: Frames) -> DataFrame:
 _PATCH = r"""length(path)<=512 AND strlen(path)<=512 AND NOT contains(path, chr(92)) AND NOT regexp_matches(path, '[\x00-\x1f]') AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: p IN ('','.','..'))) AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: contains(p, ':') OR ends_with(p, '.') OR ends_with(p, ' ') OR regexp_matches(string_split(p, '.')[1], '^(?i:con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])$')))"""
 
 
-@query("patch_paths", f"WITH {_FILES} SELECT doc_id, path FROM files WHERE {_PATCH}")
+@query("patch_paths", f"WITH files AS ({_DOCUMENTS}) SELECT doc_id, path, {_SAFE} AS readable FROM files WHERE {_PATCH}")
 def patch_paths(f: Frames) -> DataFrame:
-    return files(f).filter(T.patch_path(F.col("path"))).select("doc_id", "path")
+    """The paths that may be written, and whether each may be read too. A path is judged before what it holds, and a deletion
+    has no content: so documents without a text count."""
+    return paths(f).filter(T.patch_path(F.col("path"))).select("doc_id", "path", T.safe_path(F.col("path")).alias("readable"))
 
 
 _LANG = "{" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
