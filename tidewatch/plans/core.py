@@ -82,5 +82,6 @@ add("snapshot_incidents", lambda f: f.incidents().orderBy(F.desc("last_ingested_
 _T = lambda: F.timestamp_millis("fired_ms")
 add("alerts_tumbling", lambda f: f.alerts().groupBy(F.window(_T(), "15 minutes").alias("w"), "alertname").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "alertname", "n"), "SELECT fired_ms//900000*900000 AS start_ms, alertname, count(*) AS n FROM alerts GROUP BY ALL", ALERTS)
 add("alerts_sliding", lambda f: f.alerts().groupBy(F.window(_T(), "30 minutes", "15 minutes").alias("w"), "scope_key").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "scope_key", "n"), "SELECT fired_ms//900000*900000 - s AS start_ms, scope_key, count(*) AS n FROM alerts, (SELECT unnest([0,900000]) AS s) GROUP BY ALL", ALERTS)
-add("alert_sessions", lambda f: f.alerts().groupBy("user_id", F.session_window(_T(), "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_millis("w.start").alias("start_ms"), "n"),
+# Spark joins what is exactly the gap apart, the SQL parts it: a millisecond less is the same in whole milliseconds
+add("alert_sessions", lambda f: f.alerts().groupBy("user_id", F.session_window(_T(), "299999 milliseconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_millis("w.start").alias("start_ms"), "n"),
     "SELECT user_id, min(fired_ms) AS start_ms, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY fired_ms, event_id) AS ep FROM (SELECT *, CASE WHEN fired_ms-lag(fired_ms) OVER (PARTITION BY user_id ORDER BY fired_ms, event_id) < 300000 THEN 0 ELSE 1 END AS brk FROM alerts)) GROUP BY user_id, ep", ALERTS)
