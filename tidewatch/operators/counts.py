@@ -10,26 +10,31 @@ from .store import written
 SECOND_MS, SECONDS = 1000, 3600
 
 
-def counted(rows: DataFrame, keys: list[str], ms: str, by: list[str], **what: Column) -> DataFrame:
-    """rows with, for each of what, how many rows of the key hold it up to each row, in the order of by (ms first).
+def counted(rows: DataFrame, keys: list[str], ms: str, by: list[str], greatest: dict[str, Column] | None = None, **what: Column) -> DataFrame:
+    """rows with, for each of what, the key's sum of it (how many rows hold it, where it is a condition) up to each row, in
+    the order of by (ms first); and for each of greatest the greatest of the key so far, null where there is none.
 
-    Counted within seconds, each a group of its own, then over the seconds of an hour and the hours of a key, which are few
+    Taken within seconds, each a group of its own, then over the seconds of an hour and the hours of a key, which are few
     however many rows they stand for.
     """
-    names = list(what)
+    sums, tops = list(what), dict(greatest or {})
+    names = [*sums, *tops]
     timed = rows.withColumn("__s", F.floor(F.col(ms) / SECOND_MS))
-    seconds = timed.groupBy(*keys, "__s").agg(*(F.count_if(c).alias(f"__{n}") for n, c in what.items())).withColumn("__h", F.floor(F.col("__s") / SECONDS))
+    fold = lambda name: F.max if name in tops else F.sum
+    seconds = timed.groupBy(*keys, "__s").agg(*(F.sum(c.cast("long")).alias(f"__{n}") for n, c in what.items()), *(F.max(c).alias(f"__{n}") for n, c in tops.items())).withColumn("__h", F.floor(F.col("__s") / SECONDS))
 
     def before(order: str, *within: str) -> list[Column]:
         window = Window.partitionBy(*keys, *within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(f"__{n}").over(window), F.lit(0)).alias(f"__{order[2]}_{n}") for n in names]
+        return [fold(n)(f"__{n}").over(window).alias(f"__{order[2]}_{n}") for n in names]
 
-    hours = seconds.groupBy(*keys, "__h").agg(*(F.sum(f"__{n}").alias(f"__{n}") for n in names)).select(*keys, "__h", *before("__h"))
+    hours = seconds.groupBy(*keys, "__h").agg(*(fold(n)(f"__{n}").alias(f"__{n}") for n in names)).select(*keys, "__h", *before("__h"))
     earlier = seconds.select(*keys, "__h", "__s", *before("__s", "__h")).join(hours, [*keys, "__h"]).drop("__h")
     within = Window.partitionBy(*keys, "__s").orderBy(*by)
     out = timed.join(earlier, [*keys, "__s"])
-    out = out.withColumns({n: F.col(f"__h_{n}") + F.col(f"__s_{n}") + F.coalesce(F.sum(c.cast("long")).over(within), F.lit(0)) for n, c in what.items()})
-    return out.drop("__s", *(f"__{x}_{n}" for n in names for x in "hs"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    new = {n: zero(F.col(f"__h_{n}")) + zero(F.col(f"__s_{n}")) + zero(F.sum(c.cast("long")).over(within)) for n, c in what.items()}
+    new |= {n: F.greatest(f"__h_{n}", f"__s_{n}", F.max(c).over(within)) for n, c in tops.items()}
+    return out.withColumns(new).drop("__s", *(f"__{x}_{n}" for n in names for x in "hs"))
 
 
 def latest_before(moments: DataFrame, states: DataFrame, keys: list[str], ms: str, tie: str, after: bool = False) -> DataFrame:

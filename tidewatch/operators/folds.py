@@ -16,6 +16,8 @@ from .store import written
 GENESIS = "0" * 64
 FLAP_REOPENS, FLAP_DIGEST_MS = 3, 1_800_000
 THRESHOLD, PROBE_BASE, PROBE_MAX = 3, 5, 120
+#: Steps after which the wait has reached its maximum: a power of the step itself would grow with the history.
+PROBE_STEPS = 5
 
 
 def ledger(ordinary: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def lifecycle(ordinary: DataFrame) -> DataFrame:
 def breaker_step(state: dict, kind: str, at_ms: int, retry_after: float | None = None) -> dict:
     """A channel's breaker after one more result: ok, message_fatal, transient, channel_down, probe_ok or probe_fail."""
     new = dict(state)
-    delay = lambda step: 1000 * min(PROBE_BASE * 2**step, PROBE_MAX)
+    delay = lambda step: 1000 * min(PROBE_BASE * 2 ** min(step, PROBE_STEPS), PROBE_MAX)
     if kind == "ok":
         new |= {"state": "CLOSED", "failures": 0, "step": 0, "opened": None, "probe": None}
     elif kind == "channel_down":
@@ -121,35 +123,47 @@ def breaker_step(state: dict, kind: str, at_ms: int, retry_after: float | None =
 
 def results(outbox: DataFrame) -> DataFrame:
     """What the channel answers: kind (ok, message_fatal, transient, channel_down, probe_ok or probe_fail) of each row, with the
-    rows pending and the urgent ones among them so far, and the stretch: successes before it. A success closes the breaker
-    whatever came before, so stretches are folded apart from each other."""
+    rows pending, the urgent ones among them and the times the channel was down so far, and the stretch: successes before it.
+    A success closes the breaker whatever came before."""
     k, http = F.col("k"), F.col("http")
     sent = F.when((http >= 200) & (http < 300), "ok").when(http == 429, "transient").when(http.isin(401, 403) | (http >= 500), "channel_down").otherwise("message_fatal")
     kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "probe_ok").otherwise("probe_fail")).otherwise(sent)
     urgent = (F.col("status") == "pending") & (F.coalesce(F.col("priority") if "priority" in outbox.columns else F.lit(PRIORITIES["medium"]), F.lit(2)) <= 1)
-    rows = outbox.withColumn("kind", kind)
-    rows = counted(rows, ["channel"], "created_ms", ["created_ms", "outbox_id"], oks=F.col("kind") == "ok", queued=F.col("status") == "pending", urgent=urgent)
-    return rows.select("channel", (F.col("oks") - (F.col("kind") == "ok").cast("long")).alias("stretch"), "outbox_id", F.col("created_ms").alias("at_ms"), "kind", "queued", "urgent")
+    rows = outbox.select("channel", "outbox_id", F.col("created_ms").alias("at_ms"), kind.alias("kind"), (F.col("status") == "pending").alias("queued"), urgent.alias("urgent"))
+    rows = counted(written(rows, "results"), ["channel"], "at_ms", ["at_ms", "outbox_id"], oks=F.col("kind") == "ok", downs=F.col("kind") == "channel_down", queued=F.col("queued"), urgent=F.col("urgent"))
+    return rows.select("channel", (F.col("oks") - (F.col("kind") == "ok").cast("long")).alias("stretch"), "outbox_id", "at_ms", "kind", "queued", "urgent", "downs")
 
 
-def breaker(outbox: DataFrame) -> DataFrame:
-    """channel, stretch, outbox_id, at_ms, kind, state, failures, step, probe_ms, queued, urgent after each result of a channel, in order."""
+def states(outbox: DataFrame) -> DataFrame:
+    """channel, stretch, outbox_id, at_ms, kind, queued, urgent, run, state, failures after each result of a channel, in order.
+
+    `breaker_step` needs no replay: with run, how often the channel was down since its last success, it opens at THRESHOLD and
+    stays so but for a probe that succeeds, after which it is half open until the channel is down again. So all follows
+    from counts up to a row and from what they were at the last success and the last such probe, and no channel's history
+    has to pass through one task, however long it has been without a success.
+    """
+    at = lambda kind: F.when(F.col("kind") == kind, F.col("downs"))
+    rows = counted(results(outbox), ["channel"], "at_ms", ["at_ms", "outbox_id"], greatest={"closed": at("ok"), "probed": at("probe_ok")})
+    closed = F.coalesce("closed", F.lit(0))
+    # a probe before the breaker opened changes nothing
+    probed = F.coalesce(F.col("probed") - closed >= THRESHOLD, F.lit(False))
+    failures = F.col("downs") - F.when(probed, F.col("probed")).otherwise(closed)
+    rows = rows.withColumns({"run": F.col("downs") - closed, "failures": failures.cast("int")})
+    state = F.when(F.col("run") < THRESHOLD, "CLOSED").when(F.col("failures") == 0, "HALF_OPEN").otherwise("OPEN")
+    return rows.select("channel", "stretch", "outbox_id", "at_ms", "kind", "queued", "urgent", "run", state.alias("state"), "failures")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for frame in frames:
-            rows = []
-            for channel, stretch, at, kind in zip(frame["channel"], frame["stretch"], frame["at_ms"], frame["kind"], strict=True):
-                if (channel, stretch) != key:
-                    key, state = (channel, stretch), {"state": "CLOSED", "failures": 0, "step": 0, "opened": None, "probe": None}
-                state = breaker_step(state, kind, int(at))
-                rows.append((state["state"], state["failures"], state["step"], state["probe"]))
-            found = pd.DataFrame(rows, columns=["state", "failures", "step", "probe_ms"], index=frame.index)
-            yield frame.assign(state=found["state"], failures=found["failures"], step=found["step"], probe_ms=found["probe_ms"].astype("float64"))
 
-    ordered = results(outbox).repartition("channel", "stretch").sortWithinPartitions("channel", "stretch", "at_ms", "outbox_id")
-    folded = ordered.mapInPandas(run, "channel string, stretch long, outbox_id long, at_ms long, kind string, queued long, urgent long, state string, failures int, step int, probe_ms double")
-    return folded.withColumn("probe_ms", F.col("probe_ms").cast("long"))
+def breaker(outbox: DataFrame) -> DataFrame:
+    """channel, stretch, outbox_id, at_ms, kind, state, failures, step, probe_ms, queued, urgent after each result of a channel, in order."""
+    rows = written(states(outbox), "states")
+    opened = F.col("run") >= THRESHOLD
+    missed = (F.col("kind") == "probe_fail") & (F.col("state") == "OPEN")
+    planned = F.when(missed | (opened & (F.col("kind") == "channel_down")), F.col("at_ms"))
+    rows = counted(rows, ["channel", "stretch"], "at_ms", ["at_ms", "outbox_id"], greatest={"planned": planned}, missed=missed)
+    rows = rows.withColumn("step", F.when(opened, F.col("run") - THRESHOLD + F.col("missed")).otherwise(0).cast("int"))
+    delay = 1000 * F.least(F.lit(PROBE_BASE) * F.pow(F.lit(2.0), F.least("step", F.lit(PROBE_STEPS))), F.lit(PROBE_MAX))
+    probe = F.when(F.col("state") == "OPEN", F.col("planned") + delay.cast("long"))
+    return rows.select("channel", "stretch", "outbox_id", "at_ms", "kind", "state", "failures", "step", probe.alias("probe_ms"), "queued", "urgent")
 
 
 def outages(folded: DataFrame) -> DataFrame:
@@ -157,6 +171,11 @@ def outages(folded: DataFrame) -> DataFrame:
 
     A stretch ends with the success that closes the breaker, so it holds one outage at most.
     """
+    return outages_by_stretch(folded).drop("stretch")
+
+
+def outages_by_stretch(folded: DataFrame) -> DataFrame:
+    """outages() with the stretch of each, as a channel may go down and recover more than once in a millisecond."""
     place = F.struct("at_ms", "outbox_id")
     down = F.col("state") != "CLOSED"
     grouped = folded.groupBy("channel", "stretch").agg(
@@ -166,7 +185,7 @@ def outages(folded: DataFrame) -> DataFrame:
         F.count_if(down & (F.col("kind") == "probe_fail")).alias("probes"),
     )
     recovered = F.when(F.col("last") == "ok", F.col("end_ms"))
-    return grouped.filter("d IS NOT NULL").select("channel", F.col("d.at_ms").alias("detected_ms"), recovered.alias("recovered_ms"), "probes", F.col("d.queued").alias("queued_at_peak"), F.col("d.urgent").alias("failed_over"))
+    return grouped.filter("d IS NOT NULL").select("channel", "stretch", F.col("d.at_ms").alias("detected_ms"), recovered.alias("recovered_ms"), "probes", F.col("d.queued").alias("queued_at_peak"), F.col("d.urgent").alias("failed_over"))
 
 
 def failovers(outbox: DataFrame, folded: DataFrame) -> DataFrame:

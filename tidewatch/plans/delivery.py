@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import delivery as D
 from ..operators import folds, ledger
+from ..operators.counts import counted
 from ..operators.store import written
 from .duck import ALERTS, EDGES, INCIDENTS, OUTBOX
 from .graphs import REVISIONS, ROOTS, _STORM, _storms, group_root, revisions
 from .registry import Frames, query
 
-NOW, HOUR_MS = 1704090000000, 3_600_000
+NOW = 1704090000000
 FAULTS = ["unavailable", "rejected", "rate_limited", "transport", "http", "answer", "other"]
 DETAILS = ["no_text", "token_revoked", "odd_code", "ConnectTimeout"]
 
@@ -94,7 +95,7 @@ moved AS (SELECT outbox_id, any_value(incident_id) AS incident_id, any_value(cha
 def failover_pending(f: Frames) -> DataFrame:
     """Urgent rows of a channel that goes down: the new row on the first fallback that is up then, and the original, still pending, tagged with it."""
     box = f.kept("outbox", f.outbox)
-    moved = f.kept("moved", lambda: folds.failovers(box, folds.breaker(box)))
+    moved = f.kept("moved", lambda: folds.failovers(box, folds.states(box)))
     none = lambda kind: F.lit(None).cast(kind)
     copies = moved.select("outbox_id", "incident_id", "channel", "action", F.col("outbox_id").alias("failover_of"), "failover_from", none("string").alias("delivered_via_fallback"))
     old = box.select("outbox_id", F.col("action").alias("old"))
@@ -106,7 +107,7 @@ def failover_pending(f: Frames) -> DataFrame:
 def failover_targets(f: Frames) -> DataFrame:
     """Where urgent rows went, by the channel that was down."""
     box = f.kept("outbox", f.outbox)
-    return folds.failovers(box, folds.breaker(box)).groupBy("failover_from", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("moved_ms").alias("first_ms"))
+    return folds.failovers(box, folds.states(box)).groupBy("failover_from", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("moved_ms").alias("first_ms"))
 
 
 @query("breaker_fold", "SELECT channel, outbox_id, kind, state, failures, step FROM br", BREAKER)
@@ -117,7 +118,7 @@ def breaker_fold(f: Frames) -> DataFrame:
 
 @query("outage_intervals", "SELECT channel, detected_ms, recovered_ms, probes, queued_at_peak, failed_over FROM outages", BREAKER)
 def outage_intervals(f: Frames) -> DataFrame:
-    return folds.outages(folds.breaker(f.outbox()))
+    return folds.outages(folds.states(f.outbox()))
 
 
 @query(
@@ -136,19 +137,20 @@ def outage_intervals(f: Frames) -> DataFrame:
 def recovery_digest(f: Frames) -> DataFrame:
     """For each outage that ended, the row that goes out ahead of the backlog and says what the channel missed.
 
-    Incidents and queue rows meet the outages of their hour; an outage stands in every hour that it touches.
+    Incidents and queue rows are counted through time, and an outage takes the counts at its end less those at its start: no
+    outage meets rows, however many of either there are.
     """
-    hour = HOUR_MS
-    ended = folds.outages(folds.breaker(f.outbox())).filter("recovered_ms IS NOT NULL").select("channel", "detected_ms", "recovered_ms")
+    ended = folds.outages_by_stretch(folds.states(f.outbox())).filter("recovered_ms IS NOT NULL").select("channel", "stretch", "detected_ms", "recovered_ms")
     ended = f.kept("outages", lambda: ended)
-    spread = ended.withColumn("h", F.explode(F.sequence(F.floor(F.col("detected_ms") / hour), F.floor(F.col("recovered_ms") / hour))))
-    one, none = lambda c: c.cast("long"), F.lit(0).cast("long")
-    seen = f.incidents().select(F.col("last_ingested_ms").alias("t"), F.lit(1).cast("long").alias("touched"), one(F.col("severity") == "critical").alias("critical"), one(F.col("status") == "RESOLVED").alias("resolved"), none.alias("queued"), none.alias("collapsed"), none.alias("failed_over"))
-    sent = f.outbox().select(F.col("created_ms").alias("t"), none.alias("touched"), none.alias("critical"), none.alias("resolved"), one(F.col("status") == "pending").alias("queued"), one(F.col("status") == "superseded").alias("collapsed"), one(F.col("failover_of").isNotNull()).alias("failed_over"))
-    # counted by millisecond first: what is joined grows with time, not with the queue
+    seen = f.incidents().select(F.col("last_ingested_ms").alias("t"), F.lit(True).alias("touched"), (F.col("severity") == "critical").alias("critical"), (F.col("status") == "RESOLVED").alias("resolved"))
+    sent = f.outbox().select(F.col("created_ms").alias("t"), (F.col("status") == "pending").alias("queued"), (F.col("status") == "superseded").alias("collapsed"), F.col("failover_of").isNotNull().alias("failed_over"))
     counts = ["touched", "critical", "resolved", "queued", "collapsed", "failed_over"]
-    rows = seen.unionByName(sent).groupBy("t").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("h", F.floor(F.col("t") / hour))
-    inside = spread.join(rows, "h").filter("t BETWEEN detected_ms AND recovered_ms").groupBy("channel", "detected_ms", "recovered_ms").agg(*(F.sum(c).alias(c) for c in counts))
+    # by millisecond first: what is counted grows with time, not with the queue
+    rows = seen.unionByName(sent, allowMissingColumns=True).groupBy("t").agg(*(F.count_if(c).alias(c) for c in counts))
+    ends = ended.select("channel", "stretch", "detected_ms", "recovered_ms", F.explode(F.array(F.struct(F.col("detected_ms").alias("t"), F.lit(-1).alias("turn")), F.struct(F.col("recovered_ms").alias("t"), F.lit(1).alias("turn")))).alias("x")).select("channel", "stretch", "detected_ms", "recovered_ms", "x.*")
+    rows = written(rows.withColumn("turn", F.lit(0)).unionByName(ends, allowMissingColumns=True), "moments")
+    rows = counted(rows, [], "t", ["t", "turn"], **{c: F.col(c) for c in counts}).filter("turn <> 0")
+    inside = rows.groupBy("channel", "stretch", "detected_ms", "recovered_ms").agg(*(F.sum(F.col(c) * F.col("turn")).alias(c) for c in counts))
     key = F.concat_ws(":", F.lit("digest"), "channel", F.col("detected_ms").cast("string"))
     return inside.filter("touched > 0 OR queued > 0").select(key.alias("incident_id"), "channel", F.lit("create").alias("action"), F.lit(-1).alias("priority"), F.expr("(recovered_ms - detected_ms) div 1000").alias("duration_s"), *counts)
 
@@ -168,7 +170,7 @@ def verdict(outbox: DataFrame, alerts: DataFrame, now_ms: int = NOW, workers: di
     degraded; observations never change the verdict. workers: which background workers are alive."""
     box = outbox.agg(F.count_if(F.col("status") == "dead").alias("dead"), F.count_if(F.col("status") == "pending").alias("pending"), ((F.lit(now_ms) - F.min(F.when(F.col("status") == "pending", F.col("created_ms")))) / 1000).alias("oldest_s"))
     heard = alerts.agg(F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("skew"), ((F.lit(now_ms) - F.max("ingested_ms")) / 1000).alias("quiet_s"))
-    s = box.join(F.broadcast(heard)).join(F.broadcast(channel_signals(folds.breaker(outbox))))  # a row each
+    s = box.join(F.broadcast(heard)).join(F.broadcast(channel_signals(folds.states(outbox))))  # a row each
     dead = ",".join(sorted(name for name, alive in (workers or {}).items() if not alive))
     fatal = F.array_compact(F.array(F.when(F.lit(not database), "database"), F.when(F.lit(dead != ""), F.lit(f"workers:{dead}")), F.when(F.col("oldest_s") > 900, "stalled")))
     degraded = F.array_compact(F.array(F.when(F.col("open_channels") != "", "channel-open"), F.when(F.col("dead") > 10, "dead-letters"), F.when(F.col("skew") > 120000, "clock-skew")))
@@ -182,7 +184,7 @@ _LAST = "(SELECT channel, arg_max(state, n) AS state FROM br GROUP BY channel)"
 
 @query("selfcheck_channels", f"SELECT coalesce(string_agg(CASE WHEN state='OPEN' THEN channel END, ',' ORDER BY channel), '') AS open_channels, count(*) FILTER (WHERE state<>'CLOSED') AS ongoing_outages FROM {_LAST}", BREAKER)
 def selfcheck_channels(f: Frames) -> DataFrame:
-    return channel_signals(folds.breaker(f.outbox()))
+    return channel_signals(folds.states(f.outbox()))
 
 
 @query(
@@ -194,7 +196,7 @@ def selfcheck_channels(f: Frames) -> DataFrame:
 def selfcheck_signals(f: Frames) -> DataFrame:
     """One row: when something was last heard, the worst clock, outages that go on, scopes that wait for a ranking."""
     heard = f.alerts().agg(F.max("ingested_ms").alias("latest_ms"), F.max(F.abs(F.col("fired_ms") - F.col("ingested_ms"))).alias("worst_skew_ms"))
-    open_ = folds.outages(folds.breaker(f.outbox())).agg(F.count_if(F.col("recovered_ms").isNull()).alias("open_outages"))
+    open_ = folds.outages(folds.states(f.outbox())).agg(F.count_if(F.col("recovered_ms").isNull()).alias("open_outages"))
     waiting = revisions(f.o()).agg(F.count_if(F.col("ranked_revision") < F.col("observed_revision")).alias("unranked_scopes"))
     return heard.join(F.broadcast(open_)).join(F.broadcast(waiting))  # a row each
 
