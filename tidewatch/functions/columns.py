@@ -58,12 +58,18 @@ def alert_text(service: Column, alertname: Column, message: Column, labels: Colu
 
 
 def critical_bypass(severity_raw: Column, labels: Column, text: Column) -> Column:
-    """Why an alert skips deduplication, or null; the first rule that holds."""
+    """Why an alert skips deduplication, or null; the first rule that holds.
+
+    The text is a lambda's argument, so it is put together once for all rules, in filters too, and the words are plain.
+    """
     out = F.when(F.lower(severity_raw) == "critical", "SEVERITY_CRITICAL")
     out = out.when(F.upper(F.coalesce(F.try_element_at(labels, F.lit("priority")), F.lit(""))) == "P0", "PRIORITY_P0")
-    for reason, what, how in EMERGENCIES:
-        out = out.when(text.rlike(what) & text.rlike(how), reason)
-    return out
+    has = lambda t, words: reduce(Column.__or__, (t.contains(word) for word in words.split("|")))
+
+    def first(t: Column) -> Column:
+        return F.coalesce(*(F.when(has(t, what) & has(t, how), reason) for reason, what, how in EMERGENCIES))
+
+    return out.otherwise(F.transform(F.array(text), first)[0])
 
 
 def _is_volatile(key: Column) -> Column:
