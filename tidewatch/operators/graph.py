@@ -7,6 +7,7 @@ alert that arrives late ages nothing: elapsed time is never below 0.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,7 @@ from .store import written
 WINDOW_MS, NEIGHBOURS, HALF_LIFE = 900_000, 25, 3_600_000.0
 #: Alerts of a scope that are folded together, and how many such runs make a part of its history.
 RUN, PARTS, BUCKET_MS = 512, 64, 60_000
+_RATE = -math.log(2.0) / HALF_LIFE
 MIN_SUPPORT, FULL_SUPPORT, MIN_CONFIDENCE, MIN_DOMINANCE = 1.5, 6.0, 0.35, 0.25
 STORM_WEIGHT, ROUNDS = 1.5, 50
 
@@ -30,27 +32,39 @@ def numbered(ordinary: DataFrame) -> DataFrame:
     return counted(rows, ["scope_key"], "ct", ["ct", "event_id"], pos=F.lit(True))
 
 
-def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """An alert with the incidents of its scope that were active and had arrived within the window before it (itself among
-    them), latest arrivals first, at most neighbours: event_id, ct, cf, scope_key, ci, ni, nf, rk, part (t: arrival, f: fired).
+def _runs(ordinary: DataFrame, size: int, window_ms: int, neighbours: int) -> DataFrame:
+    """scope_key, run, arrives, ct, event_id, inc, cf, status: a scope's alerts in runs of so many, sorted partitions of whole runs.
 
-    A scope's alerts are cut into runs of RUN alerts, each a group of its own, however many arrive in a minute. A run starts
-    from the incidents active at its first alert, of which the latest neighbours + RUN suffice: each of its alerts takes one
-    away at most. From there the run is folded with its incidents in order of arrival, so an alert costs as much as it
-    observes, whatever else is active.
+    Before a run's alerts come the incidents active at its first one (arrives is false), of which the latest neighbours + size
+    suffice: each of its alerts takes one away at most.
     """
-    alerts = written(numbered(ordinary).withColumn("run", F.floor((F.col("pos") - 1) / RUN)), "numbered")
+    alerts = written(numbered(ordinary).withColumn("run", F.floor((F.col("pos") - 1) / size)), "numbered")
     arrivals = Window.partitionBy("inc").orderBy("ct", "event_id")
     stretches = alerts.withColumns({"until": F.lead("ct").over(arrivals), "until_run": F.lead("run").over(arrivals)}).filter("status <> 'resolved'")
     columns = ["scope_key", "inc", "ct", "event_id", "cf"]
     renewed = F.col("until") <= F.col("ct") + window_ms
     # until the incident's next alert the runs are known; else they are those that begin in the minutes of the window
     held = stretches.filter(renewed & (F.col("until_run") > F.col("run"))).select(*columns, F.explode(F.sequence(F.col("run") + 1, F.col("until_run"))).alias("run"))
-    begun = alerts.filter((F.col("pos") - 1) % RUN == 0).groupBy("scope_key", F.floor(F.col("ct") / BUCKET_MS).alias("minute")).agg(F.min("run").alias("r0"), F.max("run").alias("r1"))
+    begun = alerts.filter((F.col("pos") - 1) % size == 0).groupBy("scope_key", F.floor(F.col("ct") / BUCKET_MS).alias("minute")).agg(F.min("run").alias("r0"), F.max("run").alias("r1"))
     left = stretches.filter(~F.coalesce(renewed, F.lit(False))).withColumn("minute", F.explode(F.sequence(F.floor(F.col("ct") / BUCKET_MS), F.floor((F.col("ct") + window_ms) / BUCKET_MS))))
     left = left.join(begun, ["scope_key", "minute"]).withColumn("begins", F.explode(F.sequence("r0", "r1"))).filter(F.col("begins") > F.col("run")).select(*columns, F.col("begins").alias("run"))
     latest = F.row_number().over(Window.partitionBy("scope_key", "run").orderBy(F.desc("ct"), F.desc("event_id")))
-    start = held.unionByName(left).withColumn("rk", latest).filter(F.col("rk") <= neighbours + RUN).drop("rk").withColumns({"status": F.lit(None).cast("string"), "arrives": F.lit(False)})
+    start = held.unionByName(left).withColumn("rk", latest).filter(F.col("rk") <= neighbours + size).drop("rk").withColumns({"status": F.lit(None).cast("string"), "arrives": F.lit(False)})
+    rows = alerts.select(*columns, "run", "status", F.lit(True).alias("arrives")).unionByName(start)
+    return rows.select("scope_key", "run", "arrives", "ct", "event_id", "inc", "cf", "status")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("scope_key", "run").sortWithinPartitions("scope_key", "run", "arrives", "ct", "event_id")
+
+
+def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """An alert with the incidents of its scope that were active and had arrived within the window before it (itself among
+    them), latest arrivals first, at most neighbours: event_id, ct, cf, scope_key, ci, ni, nf, rk, part (t: arrival, f: fired).
+
+    A scope's alerts are cut into runs of RUN alerts, each a group of its own, however many arrive in a minute. A run is
+    folded with its incidents in order of arrival, so an alert costs as much as it observes, whatever else is active.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, present = None, {}
@@ -71,9 +85,85 @@ def observations(ordinary: DataFrame, window_ms: int = WINDOW_MS, neighbours: in
                         out.append((event, at, fired, scope, inc, name, when, rank, number // PARTS))
             yield pd.DataFrame(out, columns=["event_id", "ct", "cf", "scope_key", "ci", "ni", "nf", "rk", "part"])
 
-    rows = alerts.select(*columns, "run", "status", F.lit(True).alias("arrives")).unionByName(start)
-    rows = rows.select("scope_key", "run", "arrives", "ct", "event_id", "inc", "cf", "status").repartition("scope_key", "run").sortWithinPartitions("scope_key", "run", "arrives", "ct", "event_id")
-    return rows.mapInPandas(run, "event_id long, ct long, cf long, scope_key string, ci string, ni string, nf long, rk int, part long")
+    return _sorted(_runs(ordinary, RUN, window_ms, neighbours)).mapInPandas(run, "event_id long, ct long, cf long, scope_key string, ci string, ni string, nf long, rk int, part long")
+
+
+def rounds(present: dict[str, tuple[int, int]], inc: str, at: int, fired: int) -> Iterator[tuple[str, str, str]]:
+    """src, dst, other of an alert's rounds with the incidents present (name to arrival and time fired, the latest last; inc is the last)."""
+    low, names = at - WINDOW_MS, itertools.islice(reversed(present.items()), NEIGHBOURS)
+    next(names)
+    for name, (seen, when) in names:
+        if seen < low:
+            return
+        yield (name, inc, name) if when <= fired else (inc, name, name)
+
+
+def parts_of(ordinary: DataFrame, nodes: bool = False, cut_ms: int | None = None, size: int = RUN * PARTS) -> DataFrame:
+    """partial() of the edges (scope_key, src, dst) and, with nodes, of the nodes (src, dst is null), without their observations
+    as rows: an alert makes up to NEIGHBOURS of them, a part has a row for each edge. Parts are those of observations(), twice
+    over: 2 * part of what had arrived by cut_ms, 2 * part + 1 of the rest, so that both what was then and what is now are
+    merged from one table.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["scope_key", "src", "dst", "part", "w", "span", "first_cf", "last_cf", "m"]
+        key, present, found, late = None, {}, {}, False
+
+        def closed() -> pd.DataFrame:
+            rows = [(key[0], src, dst, 2 * key[1] + late, *x) for (src, dst), x in found.items()]
+            return pd.DataFrame(rows, columns=names)
+
+        def count(name: tuple[str, str | None], fired: int) -> None:
+            row = found.get(name)
+            if row is None:
+                found[name] = [1.0, 0, fired, fired, 1]
+                return
+            step = fired - row[3]
+            if step > 0:
+                row[0] *= math.exp(step * _RATE)
+                row[1] += step
+            row[0] += 1.0
+            row[3] = fired
+            row[4] += 1
+
+        for frame in frames:
+            for scope, number, arrives, at, _, inc, fired, status in frame.itertuples(index=False, name=None):
+                if (scope, number) != key:
+                    if found:
+                        yield closed()
+                    key, present, found, late = (scope, number), {}, {}, False
+                present.pop(inc, None)
+                if arrives and status == "resolved":
+                    continue
+                present[inc] = (at, fired)
+                if not arrives:
+                    continue
+                if not late and cut_ms is not None and at > cut_ms:
+                    if found:
+                        yield closed()
+                    found, late = {}, True
+                if nodes:
+                    count((inc, None), fired)
+                for src, dst, other in rounds(present, inc, at, fired):
+                    count((src, dst), fired)
+                    if nodes:
+                        count((other, None), fired)
+        if found:
+            yield closed()
+
+    rows = _sorted(_runs(ordinary, size, WINDOW_MS, NEIGHBOURS))
+    return rows.mapInPandas(run, "scope_key string, src string, dst string, part long, w double, span long, first_cf long, last_cf long, m long")
+
+
+def edges_of(parts: DataFrame) -> DataFrame:
+    """edges() of parts_of()."""
+    return merged(parts.filter("dst IS NOT NULL"), ["scope_key", "src", "dst"]).select("scope_key", "src", "dst", F.col("w").alias("weight"), F.col("last_cf").alias("last_seen_ms"), F.col("m").alias("n"))
+
+
+def nodes_of(parts: DataFrame) -> DataFrame:
+    """node_stats() of parts_of() with nodes."""
+    nodes = parts.filter("dst IS NULL").withColumnRenamed("src", "node")
+    return merged(nodes, ["scope_key", "node"]).select("scope_key", "node", F.col("w").alias("observations"), F.col("last_cf").alias("last_observed_ms"))
 
 
 def partial(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,9 +5,8 @@ oldest survives with its anchor, whatever arrives later. No member ever leaves,
 of all links, and a component's oldest group is the one that its first link formed: no scope has to be replayed by one task.
 `Replay` is the same as a fold over single alerts, for streams.
 
-Most alerts cannot change a group: the ones that count are those that make an edge strong, and those whose incident had
-been resolved before (others may have come back meanwhile). Only where an incident has had more strong edges than its
-rank may admit do all its alerts and weights count.
+What was joined stays joined, so of all alerts that join two incidents only the first counts. Edges are rows only as sums
+over parts of a scope's history; rounds are held in the fold of a part and never written.
 """
 
 from __future__ import annotations
@@ -19,9 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import HALF_LIFE, NEIGHBOURS, STORM_WEIGHT, WINDOW_MS, components, directed, group_roots
+from .graph import _RATE, HALF_LIFE, NEIGHBOURS, PARTS, RUN, STORM_WEIGHT, WINDOW_MS, _runs, components, directed, group_roots, partial, rounds
 from .store import written
 
+#: What rounds to STORM_WEIGHT at nine digits.
+_STRONG = STORM_WEIGHT - 5e-10
+
 
 def _halved(weight: float, elapsed: int) -> float:
     return weight * math.exp(-math.log(2.0) * max(0, elapsed) / HALF_LIFE)
@@ -45,88 +47,142 @@ def _folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, ste
     return rows.select(*first, *(c for c in rows.columns if c not in first)).repartition(*keys).sortWithinPartitions(*first).mapInPandas(run, schema)
 
 
-def edge_history(observed: DataFrame) -> DataFrame:
-    """scope_key, src, dst, ct, event_id, by (whose alert it was), weight after each round of an edge, was (before it; 0 at first).
-
-    A fold within each part of the scope's alerts, then one over an edge's parts, whose result fades on within the next part.
-    """
+def _carried(parts: DataFrame) -> DataFrame:
+    """scope_key, src, dst, part, before, seen, after, last_cf, until: an edge's weight and time as it comes into each part that
+    observes it (0 into its first), what it is after that part, and the next such part."""
     edge = ["scope_key", "src", "dst"]
 
-    def within(carried: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        cf = row[6]
-        weight, age, seen = carried or (0.0, 0, cf)
-        weight, age = _halved(weight, cf - seen) + 1.0, age + max(0, cf - seen)
-        return (*row, weight, age), (weight, age, cf)
-
     def over(carried: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        *key, first_cf, last_cf, length, own = row
+        *key, first_cf, last_cf, span, own = row
         before, seen = carried or (0.0, first_cf)
-        begins = _halved(before, first_cf - seen)
-        return (*key, before, begins), (own + _halved(begins, length), last_cf)
+        after = own + _halved(_halved(before, first_cf - seen), span)
+        return (*key, before, seen, after, last_cf), (after, last_cf)
 
-    rows = directed(observed, "ci").select(*edge, "part", "ct", "event_id", "cf", "ci")
-    rows = written(_folded(rows, [*edge, "part"], ["ct", "event_id"], "scope_key string, src string, dst string, part long, ct long, event_id long, cf long, by string, own double, age long", within), "rounds")
-    place = F.struct("ct", "event_id")
-    parts = rows.groupBy(*edge, "part").agg(F.min_by("cf", place).alias("first_cf"), F.max_by("cf", place).alias("last_cf"), F.max("age").alias("length"), F.max_by("own", place).alias("own"))
-    parts = _folded(parts, edge, ["part"], "scope_key string, src string, dst string, part long, before double, begins double", over)
-    rows = rows.join(parts, [*edge, "part"]).withColumn("weight", F.round(F.col("own") + F.col("begins") * F.pow(F.lit(2.0), -F.col("age") / F.lit(HALF_LIFE)), 9))
-    was = F.coalesce(F.lag("weight").over(Window.partitionBy(*edge, "part").orderBy("ct", "event_id")), F.round("before", 9))
-    return rows.select(*edge, "ct", "event_id", "by", "weight", was.alias("was"))
+    rows = parts.filter("dst IS NOT NULL").select(*edge, "part", "first_cf", "last_cf", "span", F.col("w").alias("own"))
+    found = _folded(rows, edge, ["part"], "scope_key string, src string, dst string, part long, before double, seen long, after double, last_cf long", over)
+    return found.withColumn("until", F.lead("part").over(Window.partitionBy(*edge).orderBy("part")))
+
+
+def _openings(ordinary: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """What a run has to know before its first alert: the weights of edges that it observes or whose strength an alert of it
+    may ask for (inc, other: the edge; weight, cf: when last observed), and the states of their ends (other is empty)."""
+    carried = written(_carried(parts), "carried")
+    last = runs.filter("arrives").groupBy("scope_key", "run", "inc").agg(F.max_by("status", F.struct("ct", "event_id")).alias("status"))
+    last = written(last, "states")
+    edge = ["scope_key", "src", "dst"]
+    observed = carried.filter("before > 0").select(*edge, F.col("part").alias("run"), F.col("before").alias("weight"), F.col("seen").alias("cf"))
+    standing = carried.filter(F.col("after") >= _STRONG).select(*edge, "part", "until", F.col("after").alias("weight"), F.col("last_cf").alias("cf"))
+    asked = [standing.join(last.select("scope_key", "run", F.col("inc").alias(end)), ["scope_key", end]).filter("run > part AND (until IS NULL OR run < until)").select(*edge, "run", "weight", "cf") for end in ("src", "dst")]
+    edges = written(observed.unionByName(asked[0].unionByName(asked[1]).distinct()), "openings")
+    ends = edges.filter(F.col("weight") >= _STRONG).select("scope_key", "run", F.explode(F.array("src", "dst")).alias("inc")).distinct()
+    # dealt by a hash of the key: Spark 4.1 takes a union of two sides dealt by the key itself for dealt by it, and adaptive plans break that
+    moments = ends.withColumn("asks", F.lit(True)).unionByName(last.withColumn("asks", F.lit(False)), allowMissingColumns=True).repartition(F.xxhash64("scope_key", "inc"))
+    before = F.last("status", ignorenulls=True).over(Window.partitionBy("scope_key", "inc").orderBy("run", F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1))
+    known = moments.withColumn("status", F.when(F.col("asks"), before)).filter("asks").select("scope_key", "run", "inc", "status", F.lit("").alias("other"), F.lit(0).cast("long").alias("cf"))
+    return edges.select("scope_key", "run", F.col("src").alias("inc"), F.col("dst").alias("other"), "weight", "cf").unionByName(known, allowMissingColumns=True)
 
 
-def _standing(rows: DataFrame) -> DataFrame:
-    """scope_key, node, ct, event_id, other, weight: of each asking alert the strong edges that its incident has at that moment.
+def _linked(rows: DataFrame) -> DataFrame:
+    """scope_key, ct, event_id, node, other: in each run the first alert that joins node with other, of runs that begin with
+    their openings (turn 0), then with the incidents present (turn 1).
 
-    Sorted partitions stream by; an incident's strong edges are held at a time.
+    Sorted partitions stream by; a run's edges are held at a time.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, strong = None, {}
+        key = None
         for frame in frames:
             out: list[tuple] = []
-            for scope, node, ct, event, asks, other, outward, weight in frame.itertuples(index=False, name=None):
-                if (scope, node) != key:
-                    key, strong = (scope, node), {}
-                if asks:
-                    best: dict[str, float] = {}
-                    for (name, _), w in strong.items():
-                        best[name] = max(w, best.get(name, w))
-                    out += [(scope, node, ct, event, name, w) for name, w in best.items()]
-                elif weight >= STORM_WEIGHT:
-                    strong[other, outward] = weight
+            for scope, number, turn, at, event, inc, fired, status, other, weight in frame.itertuples(index=False, name=None):
+                if (scope, number) != key:
+                    key = (scope, number)
+                    present: dict[str, tuple[int, int]] = {}
+                    edges: dict[tuple[str, str], list] = {}
+                    resolved: dict[str, bool] = {}
+                    strong: dict[str, dict[tuple[str, str], str]] = {}  # of a node its strong edges, with the other end
+                    joined: dict[str, set[str]] = {}
+                    open_: dict[str, set[str]] = {}  # of a node those it has a strong edge with, not yet joined
+
+                    def turned(edge: tuple[str, str], on: bool) -> None:
+                        for node, far in (edge, edge[::-1]):
+                            mine = strong.setdefault(node, {})
+                            if on:
+                                mine[edge] = far
+                                if far not in joined.get(node, ()):
+                                    open_.setdefault(node, set()).add(far)
+                            else:
+                                del mine[edge]
+                                if far not in mine.values():
+                                    open_.get(node, set()).discard(far)
+
+                if turn == 0:
+                    if not other:
+                        resolved[inc] = status == "resolved"
+                    else:
+                        on = weight >= _STRONG
+                        edges[inc, other] = [weight, fired, on]
+                        if on:
+                            turned((inc, other), True)
+                    continue
+                present.pop(inc, None)
+                if turn == 1:
+                    present[inc] = (at, fired)
+                    continue
+                resolved[inc] = status == "resolved"
+                if status != "resolved":
+                    present[inc] = (at, fired)
+                    for src, dst, _ in rounds(present, inc, at, fired):
+                        row = edges.get((src, dst))
+                        if row is None:
+                            edges[src, dst] = [1.0, fired, False]
+                            continue
+                        weight, step = row[0], fired - row[1]
+                        row[0] = weight = (weight * math.exp(step * _RATE) if step > 0 else weight) + 1.0
+                        row[1] = fired
+                        if (weight >= _STRONG) != row[2]:
+                            row[2] = not row[2]
+                            turned((src, dst), row[2])
+                wanted = open_.get(inc)
+                if not wanted:
+                    continue
+                mine = strong[inc]
+                if len(mine) <= NEIGHBOURS:
+                    near = [far for far in wanted if not resolved.get(far, False)]
                 else:
-                    strong.pop((other, outward), None)
-            yield pd.DataFrame(out, columns=["scope_key", "node", "ct", "event_id", "other", "weight"])
-
-    ordered = rows.select("scope_key", "node", "ct", "event_id", "asks", F.coalesce("other", F.lit("")).alias("other"), F.coalesce("outward", F.lit(False)).alias("outward"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    # dealt by a hash of the key: Spark 4.1 takes a union of two sides dealt by the key itself for dealt by it, and adaptive plans break that
-    ordered = ordered.repartition(F.xxhash64("scope_key", "node")).sortWithinPartitions("scope_key", "node", "ct", "event_id", "asks")
-    return ordered.mapInPandas(run, "scope_key string, node string, ct long, event_id long, other string, weight double")
+                    best: dict[str, float] = {}
+                    for edge, far in mine.items():
+                        if not resolved.get(far, False):
+                            best[far] = max(round(edges[edge][0], 9), best.get(far, 0.0))
+                    near = [far for far in sorted(best, key=lambda far: (-round(best[far], 6), far))[:NEIGHBOURS] if far in wanted]
+                for far in near:
+                    out.append((scope, at, event, inc, far))
+                    joined.setdefault(inc, set()).add(far)
+                    wanted.discard(far)
+            yield pd.DataFrame(out, columns=["scope_key", "ct", "event_id", "node", "other"])
+
+    first = ["scope_key", "run", "turn", "ct", "event_id"]
+    ordered = rows.select(*first, "inc", "cf", "status", F.coalesce("other", F.lit("")).alias("other"), F.coalesce("weight", F.lit(0.0)).alias("weight")).repartition(F.xxhash64("scope_key", "run")).sortWithinPartitions(*first)
+    return ordered.mapInPandas(run, "scope_key string, ct long, event_id long, node string, other string")
+
+
+def links_of(ordinary: DataFrame, parts: DataFrame, size: int = RUN * PARTS) -> DataFrame:
+    """scope_key, ct, event_id, node, other: the first alert that joined its incident, node, with other, of the parts_of() edges.
+
+    A scope's alerts are taken in its parts, each a group of its own that begins with the weights and states of that moment.
+    What was joined stays joined, so later alerts that join the same two change nothing.
+    """
+    runs = _runs(ordinary, size, WINDOW_MS, NEIGHBOURS)
+    parts = parts.withColumn("part", F.floor(F.col("part") / 2))
+    opened = _openings(ordinary, parts, runs).withColumns({"turn": F.lit(0), "ct": F.lit(0).cast("long"), "event_id": F.lit(0).cast("long")})
+    rows = runs.withColumn("turn", F.when(F.col("arrives"), 2).otherwise(1)).drop("arrives").unionByName(opened, allowMissingColumns=True)
+    found = _linked(rows).groupBy("scope_key", "node", "other").agg(F.min(F.struct("ct", "event_id")).alias("x"))
+    return found.select("scope_key", "x.ct", "x.event_id", "node", "other")
 
 
 def links(ordinary: DataFrame, observed: DataFrame) -> DataFrame:
-    """scope_key, ct, event_id, node, other: whom each alert's incident was joined with when it arrived (alerts that can change nothing left out)."""
-    history = written(edge_history(observed), "history")
-    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("outward")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("outward"))))
-    sides = history.filter((F.col("weight") >= STORM_WEIGHT) | (F.col("was") >= STORM_WEIGHT)).select("scope_key", "ct", "event_id", "by", "weight", "was", ends.alias("e")).select("scope_key", "ct", "event_id", "by", "weight", "was", "e.*")
-    # pairs first: a hot incident has many rounds but few partners
-    partners = sides.select("scope_key", "node", "other").distinct().groupBy("scope_key", "node").agg((F.count(F.lit(1)) > NEIGHBOURS).alias("crowded"))
-    sides = sides.join(partners, ["scope_key", "node"])
-    turns = (F.col("weight") >= STORM_WEIGHT) != (F.col("was") >= STORM_WEIGHT)
-    changes = sides.filter(turns | F.col("crowded"))
-    arrivals = Window.partitionBy("inc").orderBy("ingested_ms", "event_id")
-    alerts = ordinary.select("scope_key", F.col("inc").alias("node"), F.col("ingested_ms").alias("ct"), "event_id", "status", F.lag("status").over(arrivals).alias("before"))
-    made = changes.filter(turns & (F.col("node") == F.col("by")) & (F.col("weight") >= STORM_WEIGHT)).select("event_id", F.lit(True).alias("made")).distinct()
-    asking = alerts.join(partners, ["scope_key", "node"]).join(made, "event_id", "left").filter((F.col("before") == "resolved") | F.col("made") | F.col("crowded"))
-    rows = asking.select("scope_key", "node", "ct", "event_id", F.lit(True).alias("asks")).unionByName(changes.select("scope_key", "node", "ct", "event_id", F.lit(False).alias("asks"), "other", "outward", "weight"), allowMissingColumns=True)
-    standing = written(_standing(rows), "standing")
-    # the other's state at that moment: its latest alert so far
-    asked = standing.select(F.col("other").alias("of"), "ct", "event_id", F.lit(None).cast("string").alias("status"), "scope_key", "node", "weight")
-    states = alerts.select(F.col("node").alias("of"), "ct", "event_id", "status").join(asked.select("of").distinct(), "of", "left_semi")
-    latest = F.last("status", ignorenulls=True).over(Window.partitionBy("of").orderBy("ct", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    active = states.unionByName(asked, allowMissingColumns=True).withColumn("latest", latest).filter("node IS NOT NULL AND latest <> 'resolved'")
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.round("weight", 6).desc(), "of"))
-    return active.withColumn("rk", rank).filter(F.col("rk") <= NEIGHBOURS).select("scope_key", "ct", "event_id", "node", F.col("of").alias("other"))
+    """links_of() from observations as rows."""
+    edge = ["scope_key", "src", "dst"]
+    return links_of(ordinary, partial(directed(observed), edge).withColumn("part", F.col("part") * 2))
 
 
 def storm_members(linked: DataFrame, incidents: DataFrame) -> DataFrame:

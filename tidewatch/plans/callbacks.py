@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators import storms as S
 from .duck import OUTBOX
 from .registry import Frames, query
-from .storms import STORMS, members
+from .storms import STORMS, edge_parts, members
 
 #: Every posted row may be answered, up to seven minutes later; two rows share a delivery id, and some name no incident.
 _TOLD = """,
@@ -80,6 +80,6 @@ def storm_status_after_callbacks(f: Frames) -> DataFrame:
     """Storms as their members' callbacks leave them: over once every member is."""
     now = B.after_callbacks(f.kept("incidents", f.incidents), f.settled(), _verdicts(f))
     rank = C.pick(F.col("severity"), C.PRIORITIES, 9)
-    facts = S.storm_facts(members(f), now, f.kept("edges", lambda: G.edges(f.kept("observed", f.observed))), rank)
+    facts = S.storm_facts(members(f), now, f.kept("edges", lambda: G.edges_of(edge_parts(f))), rank)
     active = members(f).join(now.filter("status <> 'RESOLVED'").select("incident_id"), "incident_id", "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("active"))
     return facts.join(active, "group_id", "left").select("group_id", "members", F.coalesce("active", F.lit(0)).alias("active"), "status")

@@ -32,7 +32,11 @@ member AS MATERIALIZED (SELECT node AS incident_id, group_id, formed_event, form
 
 
 def _links(f: Frames) -> DataFrame:
-    return f.kept("links", lambda: S.links(f.settled(), f.kept("observed", f.observed)))
+    return f.kept("links", lambda: S.links_of(f.settled(), edge_parts(f)))
+
+
+def edge_parts(f: Frames) -> DataFrame:
+    return f.kept("edge_parts", lambda: G.parts_of(f.settled()))
 
 
 def members(f: Frames) -> DataFrame:
@@ -66,4 +70,4 @@ def storm_members(f: Frames) -> DataFrame:
 def storm_groups(f: Frames) -> DataFrame:
     """Each storm with its fixed anchor and what its members make of it now: resolved once all are, titled by the root."""
     rank = C.pick(F.col("severity"), C.PRIORITIES, 9)
-    return S.storm_facts(members(f), f.kept("incidents", f.incidents), f.kept("edges", lambda: G.edges(f.kept("observed", f.observed))), rank).select("group_id", "scope_key", "formed_event", "formed_ms", "members", "severity", "status", "root", "title")
+    return S.storm_facts(members(f), f.kept("incidents", f.incidents), f.kept("edges", lambda: G.edges_of(edge_parts(f))), rank).select("group_id", "scope_key", "formed_event", "formed_ms", "members", "severity", "status", "root", "title")
