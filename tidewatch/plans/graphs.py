@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph as G
-from ..sources.alerts import ordinary
 from .duck import EDGES
 from .registry import Frames, query
 
@@ -138,11 +137,13 @@ LIFTED, UNLIFTED = _LEAD.replace("{unit}", "false"), _LEAD.replace("{unit}", "tr
 def _lead(f: Frames, lifted: bool = True) -> DataFrame:
     f.settled()
     candidates = f.kept("candidates", lambda: G.rank_candidates(f.incidents()))
-    # of each scope a few nodes are in question: their rounds alone are summed
-    rounds = f.observed().join(candidates.select("scope_key", F.col("incident_id").alias("ni")), ["scope_key", "ni"], "left_semi")
-    observed = f.kept("observed", lambda: rounds)
-    inside = observed.join(candidates.select("scope_key", F.col("incident_id").alias("ci")), ["scope_key", "ci"], "left_semi")
-    return G.node_lead(G.edges(inside), G.node_stats(observed) if lifted else None, f.scopes() if lifted else None)
+    parts = f.kept("parts", lambda: G.parts_of(f.settled(), lifted))
+    # of each scope a few nodes are in question: their rounds alone are merged
+    edges = G.edges_of(G.among(parts, candidates))
+    if not lifted:
+        return G.node_lead(edges, None, None)
+    nodes = parts.join(candidates.select("scope_key", F.col("incident_id").alias("src")), ["scope_key", "src"], "left_semi")
+    return G.node_lead(edges, G.nodes_of(nodes), f.scopes())
 
 
 def _verdicts(f: Frames, lifted: bool = True) -> DataFrame:
@@ -182,8 +183,7 @@ def hints_at(f: Frames, until_ms: int | None = None) -> DataFrame:
     """scope_key, incident_id, hint as a ranking over the alerts that had arrived by until_ms leaves them."""
     if until_ms is None:
         return G.hints(G.rank_candidates(f.incidents()), _verdicts(f), f.incidents())
-    rows = ordinary(f.alerts()).filter(F.col("ingested_ms") <= until_ms)
-    return hints_at(_Until(f, rows))
+    return hints_at(_Until(f, f.settled().filter(F.col("ingested_ms") <= until_ms)))
 
 
 class _Until(Frames):
@@ -196,6 +196,9 @@ class _Until(Frames):
     def o(self) -> DataFrame:
         return self._rows
 
+    def settled(self) -> DataFrame:
+        return self._rows  # of a table as it is
+
 
 @query(
     "scope_hints",
@@ -210,11 +213,18 @@ def scope_hints(f: Frames) -> DataFrame:
 
 @query("hint_changes")
 def hint_changes(f: Frames) -> DataFrame:
-    """Hints that the ranking of now writes over those of a window ago: new, other, or withdrawn (null). Equal ones are left."""
-    now = f.o().agg(F.max("ingested_ms")).first()[0]
+    """Hints that the ranking of now writes over those of a window ago: new, other, or withdrawn (null). Equal ones are left.
+
+    The history is folded once: what it was a window ago is merged from the parts up to then.
+    """
+    now = f.settled().agg(F.max("ingested_ms")).first()[0]
     if now is None:
         return hints_at(f).select("incident_id", "hint")
-    before = hints_at(f, now - G.WINDOW_MS).select("incident_id", F.col("hint").alias("old"))
+    until = now - G.WINDOW_MS
+    parts = f.kept("parts", lambda: G.parts_of(f.settled(), True, until))
+    then = _Until(f, f.settled().filter(F.col("ingested_ms") <= until))
+    then.kept("parts", lambda: parts.filter("part % 2 = 0"))
+    before = hints_at(then).select("incident_id", F.col("hint").alias("old"))
     return hints_at(f).join(before, "incident_id", "left").filter(~F.col("hint").eqNullSafe(F.col("old"))).select("incident_id", "hint")
 
 
